@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import words
+
 #: White space as Unicode defines it; str.split() also splits at \x1c-\x1f, which are not white space here.
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _NO_RANK = 1 << 60
-#: Distinct chunks that a worker remembers; beyond it the memory starts anew (results don't depend on it).
-MEMORY = 400_000
+#: Bytes up to which words are merged side by side; longer ones one at a time.
+LONG = 24
 
 
 def _byte_letters() -> list[str]:
@@ -27,11 +30,10 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-class WordBpe(dict):
-    """Encoder and decoder of one vocabulary file; as a dict it maps a chunk without white space to packed ids."""
+class WordBpe:
+    """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, spec: str):
-        super().__init__()
         d = json.loads(spec)
         model, self.vocab = d["model"], d["model"]["vocab"]
         if d["normalizer"]["type"] != "Sequence" or model["type"] != "BPE" or d["decoder"] is not None:
@@ -51,6 +53,15 @@ class WordBpe(dict):
         letters = _byte_letters()
         self.inner = [ids[c] for c in letters]
         self.final = [ids[c + self.end] for c in letters]
+        self.inner_ids, self.final_ids = np.array(self.inner), np.array(self.final)
+        spaced = [(t + " ").encode() for t in self.token]
+        self.spaced, self.spaced_lengths = np.frombuffer(b"".join(spaced), np.uint8), np.array([len(t) for t in spaced])
+        self.spaced_starts = np.cumsum(self.spaced_lengths) - self.spaced_lengths
+        by_key = sorted((a * len(self.token) + b, rank) for (a, b), (rank, _) in self.pairs.items())
+        self.keys, self.key_ranks = np.array([k for k, _ in by_key] or [-2]), np.array([r for _, r in by_key] or [_NO_RANK])
+        self.merged = np.zeros(len(model["merges"]) + 1, np.int64)
+        for rank, new in self.pairs.values():
+            self.merged[rank] = new
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one pre-token: the parts and the rank of each part with its right neighbour lie in two arrays."""
@@ -70,33 +81,105 @@ class WordBpe(dict):
                 ranks[k] = pairs.get((parts[k], parts[k + 1]), none)[0]
         return parts
 
-    def __missing__(self, chunk: str) -> bytes:
-        out: list[int] = []
+    def _chunks_encoded(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of distinct chunks without white space; their distinct words side by side, a rank array a row."""
         # lower-cased letter by letter: a final sigma has no form of its own here
-        for m in self.pattern.findall("".join(map(str.lower, chunk))):
-            out += self.word(m.encode())
-        packed = np.array(out, "<u4").tobytes()
-        if len(self) >= MEMORY:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = packed
-        return packed
-
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        chunks = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.__getitem__, chunks))
+        low = [c.lower() if "\u03a3" not in c else "".join(map(str.lower, c)) for c in chunks]
+        parts = [c if c.isalpha() else tuple(self.pattern.findall(c)) for c in low]
+        distinct = list({p for p in parts if isinstance(p, str)}.union(*[p for p in parts if not isinstance(p, str)]))
+        data = [w.encode() for w in distinct]
+        order = sorted(range(len(data)), key=list(map(len, data)).__getitem__)
+        known: dict[str, bytes] = {}
+        for k in range(0, len(order), 10_000):
+            own = order[k : k + 10_000]
+            known.update(zip([distinct[i] for i in own], self._words([data[i] for i in own]), strict=True))
+        return [known[p] if isinstance(p, str) else b"".join([known[w] for w in p]) for p in parts]
+
+    def _words(self, data: list[bytes]) -> list[bytes]:
+        """`word` for many words at once: a row of parts and a row of ranks for each, the least rank merged in all rows."""
+        out: list[bytes] = [b""] * len(data)
+        lengths = np.array([len(d) for d in data])
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            out[k] = array("I", self.word(data[k])).tobytes()
+        rows = np.flatnonzero(lengths <= LONG)
+        if not len(rows):
+            return out
+        n = lengths[rows]
+        width = int(n.max()) + 1
+        parts = np.full((len(rows), width), -1, np.int64)
+        flat = np.frombuffer(b"".join([data[k] for k in rows.tolist()]), np.uint8)
+        row, starts = np.repeat(np.arange(len(rows)), n), np.cumsum(n) - n
+        column = np.arange(len(flat)) - np.repeat(starts, n)
+        parts[row, column] = np.where(column == n[row] - 1, self.final_ids[flat], self.inner_ids[flat])
+        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+        at = np.arange(width)
+        while len(rows):
+            k = np.argmin(ranks, axis=1)
+            each = np.arange(len(rows))
+            least = ranks[each, k]
+            done = least == _NO_RANK
+            if done.any():
+                packed = parts[done].astype("<u4").tobytes()
+                for a, r, m in zip(range(0, len(packed), 4 * width), rows[done].tolist(), n[done].tolist(), strict=True):
+                    out[r] = packed[a : a + 4 * m]
+                go = ~done
+                rows, parts, ranks, n, k, least = rows[go], parts[go], ranks[go], n[go], k[go], least[go]
+                each = np.arange(len(rows))
+                if not len(rows):
+                    break
+            parts[each, k] = self.merged[least]
+            shift = np.minimum(at[None, :] + (at[None, :] > k[:, None]), width - 1)
+            parts = np.take_along_axis(parts, shift, axis=1)
+            ranks = np.take_along_axis(ranks, np.minimum(at[None, :-1] + (at[None, :-1] >= k[:, None]), width - 2), axis=1)
+            n = n - 1
+            parts[each, n] = -1
+            ranks[each, np.maximum(n - 1, 0)] = _NO_RANK
+            ranks[each, k] = self._ranks(parts[each, k], parts[each, k + 1])
+            left = np.maximum(k - 1, 0)
+            ranks[each, left] = np.where(k > 0, self._ranks(parts[each, left], parts[each, left + 1]), ranks[each, left])
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = np.where((a >= 0) & (b >= 0), a * len(self.token) + b, -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.key_ranks[at], _NO_RANK)
+
+    def _odd(self, text: str) -> bytes:
+        """Ids of a text that holds special tokens, or separators that aren't white space."""
+        out = []
+        for s in self.special_split.split(text) if self.special_split else [text]:
+            if s in self.special:
+                out.append(array("I", [self.special[s]]).tobytes())
+            else:
+                out += self._chunks_encoded([c for c in _SPACE.split(unicodedata.normalize("NFC", s)) if c])
+        return b"".join(out)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit integers."""
+        odd = {k: self._odd(t) for k, t in enumerate(texts) if _SEPARATORS.search(t) or ("<|" in t and any(s in t for s in self.special))}
+        plain = ["" if k in odd else t if t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for k, t in enumerate(texts)]
+        chunks, number, edges = words.chunked(pa.array(plain, pa.string()))
+        packed = self._chunks_encoded(chunks)
+        lengths = np.array([len(p) // 4 for p in packed], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        own = lengths[number]
+        data = words.gather(np.frombuffer(b"".join(packed), "<u4"), starts[number], own).tobytes()
+        ends = np.concatenate(([0], np.cumsum(own)))[edges] * 4
+        return [odd.get(k, data[a:b]) for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False))]
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self.special_split is None or "<" not in text:
-            return self._plain(text)
-        return b"".join(np.array([self.special[s]], "<u4").tobytes() if s in self.special else self._plain(s) for s in self.special_split.split(text))
+        return self.encode_all([text])[0]
+
+    def decode_all(self, packed: list[bytes]) -> list[bytes]:
+        """UTF-8 of tokens joined by a space: what a vocabulary without a decoder gives."""
+        ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+        lengths = self.spaced_lengths[ids]
+        data = words.gather(self.spaced, self.spaced_starts[ids], lengths).tobytes()
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *(len(p) // 4 for p in packed)])]
+        return [data[a : max(a, b - 1)] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
     def decode(self, packed: bytes) -> str:
-        """Tokens joined by a space: what a vocabulary without a decoder gives."""
-        return " ".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return self.decode_all([packed])[0].decode()
 
 
 _loaded: dict[int, WordBpe] = {}
@@ -111,10 +194,6 @@ def _coder(spec: str) -> WordBpe:
     return _loaded[key]
 
 
-def _slices(batch: pa.RecordBatch, rows: int) -> Iterable[pa.RecordBatch]:
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
-
-
 def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """Encode every whole text and, with `decode`, decode it again.
 
@@ -130,13 +209,15 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec.value)
         for batch in batches:
-            for part in _slices(batch, 1000):
-                ids = [coder.encode(t or "") for t in part.column(1).to_pylist()]
-                back = [coder.decode(x) for x in ids] if decode else [None] * len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+            for part in words.by_size(batch, 1):
+                ids = coder.encode_all([t or "" for t in part.column(1).to_pylist()])
+                for k in range(0, len(ids), 1000):
+                    own = ids[k : k + 1000]
+                    back = coder.decode_all(own) if decode else [None] * len(own)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).slice(k, 1000), pa.array([len(x) // 4 for x in own], pa.int64()), pa.array(own, pa.binary()), pa.array(back, pa.binary()).cast(pa.string())],
+                        names=["doc_id", "n_tokens", "ids", "decoded"],
+                    )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

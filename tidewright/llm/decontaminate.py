@@ -16,34 +16,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import words
 from tidewright.llm.common import save, small
 
 #: Words of a passage; latent dimensions and extra columns of the sketch; items that are searched at once.
-PASSAGE, RANK, EXTRA, BLOCK = 32, 48, 16, 5_000
+PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 5_000
 #: (longest item, window, stride) by item length: an item fills most of some window.
-SCALES = ((24, 24, 8), (56, 56, 20), (1 << 30, 112, 40))
+SCALES = ((24, 24, 10), (56, 56, 20), (1 << 30, 112, 40))
 #: Cosine of a candidate; share of the item's words in a common subsequence; share of its IDF weight and of its answer
 #: (its last quarter) that must be found.
-COSINE, COMMON, WEIGHT, ANSWER = 0.6, 0.7, 0.7, 0.5
-_GAPS = bytes(0x20 if x < 0x30 or 0x3A <= x <= 0x40 or 0x5B <= x <= 0x60 or 0x7B <= x <= 0x7F else x + 32 if 0x41 <= x <= 0x5A else x for x in range(256))
-
+COSINE, COMMON, WEIGHT, ANSWER = 0.55, 0.7, 0.7, 0.5
+#: Words of more than this share of the passages carry no latent features, but for each item's RAREST rarest.
+FREQUENT, RAREST = 0.03, 3
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_GAPS).split()
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+    return (text or b"").translate(words.SIGNS).split()
 
 
 def _numbered(vocabulary):
+    """Packed numbers of a text's words, -1 for words that no item has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _Numbers(vocabulary.value)
-        kind = np.int16 if len(number) < 32_000 else np.int32
+        keys, numbers = vocabulary.value
+        kind = np.int16 if len(keys) < 32_000 else np.int32
         for batch in batches:
-            ids = [np.array(list(map(number.__getitem__, words_of(t))), kind).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            out = []
+            for _, counts, h in words.blocks(batch.column(1), words.SIGNS):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                ids = np.where(keys[at] == h, numbers[at], -1).astype(kind)
+                data, ends = ids.tobytes(), (np.concatenate(([0], np.cumsum(counts))) * ids.itemsize).tolist()
+                out += [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -82,11 +85,13 @@ def _sketched(kind, shared):
     """Each task's share of A' (A Omega), rows of A being unit TF-IDF vectors of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, omega = shared.value
+        idf, used, omega = shared.value
         v, total = len(idf), np.zeros(omega.shape, np.float64)
         for batch in batches:
             for part in _parts(batch):
                 passage, word, n = _entries(part, 0, kind, v)
+                own = used[word]
+                passage, word, n = passage[own], word[own], n[own]
                 if not len(word):
                     continue
                 x = (n * idf[word]).astype(np.float32)
@@ -152,42 +157,55 @@ def _verified(item: list[int], weight: np.ndarray, words: np.ndarray) -> float:
 
 def _searched(kind, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, vectors, items, names = shared.value
-        v = len(weight)
-        table = np.concatenate([vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)  # -1 is the last row
+        weight, used, vectors, items, names = shared.value
         groups = []
         for k, (most, window, stride) in enumerate(SCALES):
             least = SCALES[k - 1][0] if k else 0
             own = [i for i, x in enumerate(items) if least < len(x) <= most]
             if own:
-                q = np.array([table[items[i]].sum(axis=0) for i in own])
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-                groups.append((window, stride, own, q.T.copy()))
+                q = np.array([vectors[items[i]].sum(axis=0) for i in own])
+                groups.append((min(window, max(len(items[i]) for i in own) * 2), stride, own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)))
+        used = np.append(used, False)  # -1 is the last
         for batch in batches:
-            found, scores = [], []
-            for data in batch.column(1).to_pylist():
-                ids = np.frombuffer(data, kind)
-                n, hits = len(ids), {}
-                if n and (ids >= 0).any():
-                    sums = np.concatenate([np.zeros((1, table.shape[1]), np.float32), np.cumsum(table[ids], axis=0, dtype=np.float32)])
-                    for window, stride, own, q in groups:
-                        a = np.arange(0, max(1, n - window + stride), stride)
-                        b = np.minimum(a + window, n)
-                        x = sums[b] - sums[a]
-                        cosine = (x @ q) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                        for r, c in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                            i = own[c]
-                            if hits.get(i, 0) < 1:
-                                region = ids[max(0, a[r] - window // 2) : b[r] + window // 2]
-                                hits[i] = max(hits.get(i, 0), _verified(items[i], weight, region))
-                hits = {i: s for i, s in hits.items() if s}
-                found.append(sorted(names[i] for i in hits))
-                scores.append(float(max(hits.values(), default=0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(scores)], names=["doc_id", "item_ids", "overlap"])
+            for part in _parts(batch, 500):
+                data = part.column(1).to_pylist()
+                hits = _candidates_verified(np.frombuffer(b"".join(data), kind), np.array([len(d) for d in data]) // np.dtype(kind).itemsize, used, vectors, groups, items, weight)
+                found = [sorted(names[i] for i in h) for h in hits]
+                scores = [float(max(h.values(), default=0)) for h in hits]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64())], names=["doc_id", "item_ids", "overlap"])
 
     return run
 
 
+def _candidates_verified(ids, lengths, used, vectors, groups, items, weight) -> list[dict[int, float]]:
+    """For each of some documents, whose words follow one another in `ids`, the items found with their shares."""
+    hits: list[dict[int, float]] = [{} for _ in lengths]
+    ends = np.cumsum(lengths)
+    at = np.flatnonzero(used[ids])  # places of words that carry features; windows are sums between two of them
+    if not len(at):
+        return hits
+    sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[ids[at]], axis=0)])
+    for window, stride, own, q in groups:
+        n = np.maximum(1, -(-(lengths - window) // stride) + 1)
+        doc = np.repeat(np.arange(len(lengths)), n)
+        first = (ends - lengths)[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * stride
+        last = np.minimum(first + window, ends[doc])
+        lo, hi = np.searchsorted(at, first), np.searchsorted(at, last)
+        some = hi - lo >= 2
+        doc, first, last, lo, hi = doc[some], first[some], last[some], lo[some], hi[some]
+        for k in range(0, len(doc), 4096):
+            x = (sums[hi[k : k + 4096]] - sums[lo[k : k + 4096]]).astype(np.float32)
+            cosine = (x @ q) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            for r, c in zip(*(y.tolist() for y in np.nonzero(cosine >= COSINE)), strict=True):
+                i, d = own[c], doc[k + r]
+                if hits[d].get(i, 0) < 1:
+                    reach = len(items[i]) // 2 + 4
+                    share = _verified(items[i], weight, ids[max(ends[d] - lengths[d], first[k + r] - reach) : min(ends[d], last[k + r] + reach)])
+                    if share:
+                        hits[d][i] = max(hits[d].get(i, 0), share)
+    return hits
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, contaminated, item_ids (sorted, distinct), overlap (largest share found, 0 to 1).
 
@@ -219,23 +237,31 @@ def _find_block(rows: DataFrame, items: list[tuple[int, list[bytes]]], spark) ->
     if not v:
         return rows.select("doc_id", F.array().cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     kind = np.int16 if v < 32_000 else np.int32
-    numbered = save(rows.mapInArrow(_numbered(spark.sparkContext.broadcast(vocabulary)), "doc_id long, ids binary"), "numbered")
+    starts, keys = words.hashed_words(b" ".join(vocabulary))
+    order = np.argsort(keys)
+    numbered = save(rows.mapInArrow(_numbered(spark.sparkContext.broadcast((keys[order], order))), "doc_id long, ids binary"), "numbered")
     counted = save(numbered.select("ids").mapInArrow(_frequencies(kind, v), "n long, df binary"), "passage-frequencies")
     df, n = _total(counted, "df", np.int64, (v,)), counted.agg(F.sum("n")).first()[0] or 0
     idf = np.log((1 + n) / (1 + df)) + 0.05
+    numbers = [[vocabulary[w] for w in ws] for _, ws in items]
+    used = df <= FREQUENT * n
+    for x in numbers:
+        used[sorted(set(x), key=lambda w: (df[w], w))[:RAREST]] = True
     width = min(RANK + EXTRA, v)
-    omega = np.random.default_rng(7).standard_normal((v, width)).astype(np.float32)
-    z = _total(save(numbered.select("ids").mapInArrow(_sketched(kind, spark.sparkContext.broadcast((idf, omega))), "z binary"), "sketch"), "z", np.float32, (v, width)).astype(np.float64)
+    omega = np.random.default_rng(7).standard_normal((v, width)).astype(np.float32) * used[:, None]
+    sketch = save(numbered.select("ids").mapInArrow(_sketched(kind, spark.sparkContext.broadcast((idf, used, omega))), "z binary"), "sketch")
+    z = _total(sketch, "z", np.float32, (v, width)).astype(np.float64)
     # Nystrom: A'A is near Z (Omega' Z)^-1 Z'; its leading eigenvectors are A's right singular vectors
     shift = 1e-6 * max(np.linalg.norm(z), 1e-12)
     z = z + shift * omega
     core = omega.T.astype(np.float64) @ z
     values, turn = np.linalg.eigh((core + core.T) / 2)
     values = np.maximum(values, shift)
-    u, _, _ = np.linalg.svd(z @ (turn / np.sqrt(values)), full_matrices=False)
-    vectors = u[:, : min(RANK, width)] * idf[:, None]
-    numbers = [[vocabulary[w] for w in ws] for _, ws in items]
-    shared = spark.sparkContext.broadcast((idf, vectors, numbers, [i for i, _ in items]))
+    u, sigma, _ = np.linalg.svd(z @ (turn / np.sqrt(values)), full_matrices=False)
+    rank = min(RANK, width)
+    # each latent dimension counts alike: the leading ones only tell languages apart
+    vectors = u[:, :rank] * (idf * used)[:, None] / np.maximum(sigma[:rank], 1e-6 * sigma[0] + 1e-12)
+    shared = spark.sparkContext.broadcast((idf, used, vectors, numbers, [i for i, _ in items]))
     return numbered.mapInArrow(_searched(kind, shared), "doc_id long, item_ids array<long>, overlap double")
 
 

@@ -11,54 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewright.llm import words
 from tidewright.llm.common import drop, partitions, save, small
 from tidewright.llm.components import connected_components
 
 WORDS = 5
 #: Similarity as a fraction of integers, so that the test is exact: 100 * intersection >= 75 * union.
 NUM, DEN = 75, 100
-#: Distinct words that a worker remembers the hash of.
-MEMORY = 1_000_000
 #: A shingle in this many documents or more may be ordered behind the others; this many such shingles at most are
 #: sent to the executors (12 bytes each). The choice steers the work only: any order gives the same links.
 COMMON_FROM, COMMON_MOST = 8, 1_000_000
-_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each text of a column the sorted distinct 64-bit hashes of its shingles.
 
-
-_words = _WordHash()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M[1]
-    x = (x ^ (x >> np.uint64(27))) * _M[2]
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | bytes | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; under five words the whole sequence is one shingle."""
-    if not text:
-        return np.empty(0, np.uint64)
-    # bytes.lower() changes A-Z only; bytes.split() splits at \x20 and \x09-\x0D only
-    words = (text if isinstance(text, bytes) else text.encode()).lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    if n < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=n)], np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    x = h[: n - WORDS + 1]
-    for k in range(1, WORDS):
-        x = _mix(x + _M[0]) + h[k : n - WORDS + 1 + k]
-    x = np.sort(_mix(x))
-    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+    A-Z is lower-cased, ASCII white space separates words; under five words the whole sequence is one shingle.
+    """
+    for _, counts, h in words.blocks(column, words.WHITE):
+        ends = np.cumsum(counts)
+        x = h[: max(0, len(h) - WORDS + 1)]
+        for k in range(1, WORDS):
+            x = words.mix(x + _STEP) + h[k : len(h) - WORDS + 1 + k]
+        x = words.mix(x)
+        for n, end in zip(counts.tolist(), ends.tolist(), strict=True):
+            if n >= WORDS:
+                s = np.sort(x[end - n : end - WORDS + 1])
+                yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+            elif n:
+                own = np.array([n], np.uint64)
+                for w in h[end - n : end]:
+                    own = words.mix(own + _STEP) + w
+                yield words.mix(own)
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def prefix_length(n: int) -> int:
@@ -92,8 +79,7 @@ def _counted(bits: int):
 
         held, n = [], 0
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                s = shingles(text)
+            for s in shingle_sets(batch.column(0)):
                 if len(s):
                     held.append(s)
                     n += len(s)
@@ -163,8 +149,7 @@ def _prefixes(common, bits: int):
         keys, counts = common.value
         for batch in batches:
             out = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                s = shingles(text)
+            for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
                 n = len(s)
                 if n and len(keys):
                     own = (s >> np.uint64(40 - bits)).astype(np.int64)
@@ -215,12 +200,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one hub lie together, the hub's own text first (member null): compare every member with it."""
     hub_id, hub, links = None, None, []
     for batch in batches:
-        for h, m, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+        for h, m, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(3)), strict=True):
             if m is None:
-                if h != hub_id:
-                    hub_id, hub = h, shingles(text)
+                hub_id, hub = h, s
                 continue
-            s = shingles(text)
             both = len(np.intersect1d(hub, s, assume_unique=True)) if h == hub_id else 0
             if both and DEN * both >= NUM * (len(hub) + len(s) - both):
                 links.append((h, m))

@@ -13,28 +13,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewright.llm import words
+
 #: Length of a language's profile and of a document's, and the n-grams' lengths.
-PROFILE, DOCUMENT, LONGEST = 400, 300, 5
-MEMORY = 500_000
+PROFILE, DOCUMENT, LONGEST = 400, 300, 3
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each language, added up in the worker before they are shuffled."""
-
-    def out(counts):
-        return pa.RecordBatch.from_arrays([pa.array([k for k, c in counts.items() for _ in c], pa.string()), pa.array([w for c in counts.values() for w in c], pa.string()), pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["lang", "word", "n"])
+def _word_grams(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, start, key) of every n-gram of the chunks' words, each word between two `_`; with the letters joined.
 
-    counts: dict[str, Counter] = {}
+    A key packs up to three code points of 21 bits, so it is the n-gram itself.
+    """
+    owners, padded = [], []
+    for k, chunk in enumerate(chunks):
+        for w in _WORD.findall(chunk.lower()):
+            owners.append(k)
+            padded.append(f"_{w}_")
+    if not padded:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    letters = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(p) for p in padded])
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    owner = np.repeat(np.array(owners), lengths)
+    at = np.arange(len(letters))
+    keys, of = [letters[letters != ord("_")]], [owner[letters != ord("_")]]
+    key = letters
+    for k in range(1, LONGEST):
+        key = (key[:-1] << np.uint64(21)) | letters[k:]
+        inside = at[: len(key)] + k < ends[: len(key)]
+        keys.append(key[inside])
+        of.append(owner[: len(key)][inside])
+    return np.concatenate(of), np.concatenate(keys)
+
+
+def _gram(key: int) -> str:
+    out = ""
+    while key:
+        out = chr(key & 0x1FFFFF) + out
+        key >>= 21
+    return out
+
+
+def _key(gram: str) -> int:
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of each language, added up in the worker before they are shuffled."""
+    grams: dict[str, Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
-            if sum(map(len, counts.values())) > MEMORY:
-                yield out(counts)
-                counts = {}
-    if counts:
-        yield out(counts)
+        for part in words.by_size(batch, 1):
+            langs = np.array(part.column(0).to_pylist())
+            for lang in sorted(set(langs.tolist())):
+                chunks, place, _ = words.chunked(part.column(1).take(pa.array(np.flatnonzero(langs == lang))))
+                n = np.bincount(place, minlength=len(chunks))
+                for k in range(0, len(chunks), 50_000):
+                    of, keys = _word_grams(chunks[k : k + 50_000])
+                    if len(keys):
+                        found, at = np.unique(keys, return_inverse=True)
+                        sums = np.bincount(at, weights=n[k : k + 50_000][of])
+                        c = grams.setdefault(lang, Counter())
+                        for g, x in zip(found.tolist(), sums.astype(np.int64).tolist(), strict=True):
+                            c[g] += x
+    for lang, c in grams.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([_gram(g) for g in c]), pa.array(list(c.values()), pa.int64())], names=["lang", "ngram", "n"])
 
 
 def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -43,29 +90,24 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     Rows with a null language or text teach nothing. Equal counts are ordered by the n-gram.
     """
     rows = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    words = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    padded = F.concat(F.lit("_"), "word", F.lit("_"))
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(padded, i, F.lit(k))) for k in range(1, LONGEST + 1)]))
-    counted = words.select("lang", "n", F.explode(grams).alias("ngram")).where("ngram <> '_'").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(_count_grams, "lang string, ngram string, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "ngram"))
     return counted.withColumn("place", place - 1).where(F.col("place") < PROFILE).select("lang", "ngram", "place")
 
 
-class _Grams(dict):
-    """Word -> packed numbers of its n-grams that stand in any profile."""
-
-    def __init__(self, number: dict[str, int]):
-        super().__init__()
-        self.number = number
-
-    def __missing__(self, word: str) -> bytes:
-        w = f"_{word}_"
-        found = (self.number.get(w[i : i + k]) for k in range(1, LONGEST + 1) for i in range(len(w) - k + 1))
-        packed = np.array([x for x in found if x is not None], np.uint16).tobytes()
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = packed
-        return packed
+def _numbered(chunks: list[str], keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the profiles' n-grams in each chunk, one chunk after the other, and how many each has."""
+    out, counts = [np.empty(0, np.int64)], np.zeros(len(chunks), np.int64)
+    for k in range(0, len(chunks), 50_000):
+        of, own = _word_grams(chunks[k : k + 50_000])
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        held = keys[at] == own
+        of = of[held]
+        order = np.argsort(of, kind="stable")
+        out.append(ids[at[held]][order])
+        own = np.bincount(of, minlength=min(50_000, len(chunks) - k))
+        counts[k : k + len(own)] = own
+    return np.concatenate(out), counts
 
 
 def predictor(spark, profiles: DataFrame):
@@ -81,17 +123,13 @@ def predictor(spark, profiles: DataFrame):
         table[langs.index(r["lang"]), number[r["ngram"]]] = r["place"]
     shared = spark.sparkContext.broadcast((langs, number, table))
 
-    def one(text, langs, table, memory, places):
-        words = _WORD.findall(text.lower()) if text else []
-        if not words or not langs:
-            return UNKNOWN, 0.0
-        counts = np.bincount(np.frombuffer(b"".join(map(memory.__getitem__, words)), np.uint16), minlength=table.shape[1])
+    def nearest(counts, langs, table):
         held = np.flatnonzero(counts)
         top = held[np.argsort(-counts[held], kind="stable")][:DOCUMENT]
         if not len(top):
             return langs[0], 0.0
-        d = np.minimum(np.abs(table[:, top] - places[: len(top)]), PROFILE)
-        d = np.where(table[:, top] == PROFILE, PROFILE, d).mean(axis=1) / PROFILE
+        place = table[:, top]
+        d = np.where(place == PROFILE, PROFILE, np.abs(place - np.arange(len(top), dtype=np.int32))).mean(axis=1) / PROFILE
         order = np.argsort(d, kind="stable")
         if len(langs) == 1:
             return langs[0], 1.0
@@ -100,9 +138,21 @@ def predictor(spark, profiles: DataFrame):
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, number, table = shared.value
-        memory, places = _Grams(number), np.arange(DOCUMENT, dtype=np.int32)
+        by_key = sorted((_key(g), i) for g, i in number.items())
+        keys, ids = np.array([k for k, _ in by_key] or [0], np.uint64), np.array([i for _, i in by_key] or [0])
         for texts in batches:
-            yield pd.DataFrame([one(t, langs, table, memory, places) for t in texts], columns=["lang_pred", "score"])
+            out = []
+            for part in words.by_size(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), 0):
+                chunks, place, edges = words.chunked(part.column(0))
+                grams, counts = _numbered(chunks, keys, ids)
+                starts = np.cumsum(counts) - counts
+                for k, text in enumerate(part.column(0).to_pylist()):
+                    if not text or not langs or not _WORD.search(text):
+                        out.append((UNKNOWN, 0.0))
+                        continue
+                    own = place[edges[k] : edges[k + 1]]
+                    out.append(nearest(np.bincount(words.gather(grams, starts[own], counts[own]), minlength=table.shape[1]), langs, table))
+            yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return predict.asNondeterministic()  # so that a filter on the prediction doesn't compute it again
 

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import words
 from tidewright.llm.common import save, small
 
 BITS = 18
@@ -17,35 +17,31 @@ BITS = 18
 #: that fit on their own, rounds after which their weights are averaged, epochs in a round.
 SAMPLE, SHARDS, ROUNDS, EPOCHS, RATE, LEAST_DF = 20_000, 8, 3, 4, 0.2, 4
 GRADES = 3
-MEMORY = 500_000
-_LETTERS = bytes(x for x in range(256) if x >= 0x80 or chr(x).isalnum())
-_SIGNS = bytes(x for x in range(256) if x not in _LETTERS)
+#: ASCII bytes whose share of a text is a feature of its own: signs, digits and capitals each have a bucket.
+_SIGNS = np.array([x for x in range(0x21, 0x80) if not 0x61 <= x <= 0x7A and not 0x41 <= x <= 0x5A])
+_SIGN_BUCKETS = (np.arange(len(_SIGNS) + 1) * 2654435761 % (1 << BITS)).astype(np.int32)
 
 
-class _Buckets(dict):
-    """Chunk between white space -> packed buckets of its word, lower-cased, its other signs and its case."""
+def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each whole text of a column its buckets and their values.
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        word, signs = chunk.translate(None, _SIGNS), chunk.translate(None, _LETTERS)
-        shape = b"A" if len(word) > 1 and word.isupper() else b"a"
-        found = [b"w" + word.lower()] * bool(word) + [b"s" + signs] * bool(signs) + [b"c" + shape]
-        packed = np.array([xxhash.xxh3_64_intdigest(f) >> (64 - BITS) for f in found], np.int32).tobytes()
-        if len(self) >= MEMORY:
-            self.clear()
-        self[chunk] = packed
-        return packed
-
-
-_buckets = _Buckets()
-
-
-def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a whole text and their values: words count once, signs and case by their share of the chunks."""
-    chunks = (text or b"").split()
-    if not chunks:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    ids, n = np.unique(np.frombuffer(b"".join(map(_buckets.__getitem__, chunks)), np.int32), return_counts=True)
-    return ids, np.where(n > 0.05 * len(chunks), 1 + np.log1p(20 * n / len(chunks)), 1).astype(np.float32)
+    A word counts once however often it stands there; signs and capitals count by how many come to a word.
+    """
+    texts = column.cast(pa.binary()).to_pylist()
+    for first, counts, h in words.blocks(column, words.SIGNS):
+        buckets = (h >> np.uint64(64 - BITS)).astype(np.int32)
+        end = 0
+        for k, n in enumerate(counts.tolist()):
+            own = np.unique(buckets[end : end + n])
+            end += n
+            data = np.frombuffer(texts[first + k] or b"", np.uint8)
+            if not len(data):
+                yield np.empty(0, np.int32), np.empty(0, np.float32)
+                continue
+            n_bytes = np.bincount(data, minlength=256)
+            signs = np.append(n_bytes[_SIGNS], n_bytes[0x41:0x5B].sum())
+            held = np.flatnonzero(signs > 0.3 * (n + 1))
+            yield np.concatenate([own, _SIGN_BUCKETS[held]]), np.concatenate([np.ones(len(own), np.float32), (1 + np.log1p(signs[held] / (n + 1))).astype(np.float32)])
 
 
 def _tail(score: float, cuts: np.ndarray) -> np.ndarray:
@@ -91,7 +87,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(g, *(x.tobytes() for x in features(t))) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True)]
+            out = [(g, *(x.tobytes() for x in t)) for g, t in zip(batch.column(0).to_pylist(), features(batch.column(1)), strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["grade", "ids", "x"])
 
@@ -132,8 +128,7 @@ def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
         w, cuts = shared.value
         for batch in batches:
             tails = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                ids, x = features(text)
+            for ids, x in features(batch.column(1)):
                 tails.append(_tail(float(w[ids] @ x), cuts) if len(ids) else np.zeros(len(cuts)))
             t = np.array(tails).reshape(len(tails), len(cuts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t.sum(axis=1)), pa.array(t[:, 0]), pa.array(t[:, -1]), pa.array(t[:, -1] >= 0.5)], names=["doc_id", "expected_grade", "p_above_0", "tail", "keep"])
