@@ -28,7 +28,7 @@ def csv(spark: SparkSession, path: str, schema: str, mapping: dict[str, str], da
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256, kind, page, text): whole files; text files are cut at form feeds and fall back to latin-1."""
     files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), sniff(F.col("content")).alias("kind"), "content")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.where("kind in ('text', 'html')").select("path", "sha256", "kind", F.posexplode(F.split(text, "\f")).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
