@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import lower_ascii, save
 
+#: Characters of a text in a sampled splitter.
+SPLITTER = 32
 _RUNS = "doc_id long, run_id long, heads_run boolean, repeats_id boolean, text_sha256 string"
 
 
@@ -46,14 +48,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     below every other; a group of null ids only keeps one row and has a null keep_id. An empty table gives no rows.
     Other columns are ignored, whatever their names.
 
-    Spark samples splitters over (text, doc_id), so one text held by a third of the rows still spreads over many
+    Spark samples splitters over (beginning, hash, doc_id) of the texts, so one text held by a third of the rows still spreads over many
     ranges; each range is sorted externally and compared neighbour by neighbour. Runs of a text that was split over
     ranges meet again by the digest of that text, one small row per run.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    order = [F.col("norm"), F.col("doc_id").desc_nulls_last()]
-    dealt = rows.repartitionByRange(num_partitions, *order) if num_partitions else rows.repartitionByRange(*order)
-    marked = save(dealt.sortWithinPartitions(*order).mapInArrow(_mark_runs, _RUNS), "exact-runs")
+    # splitters go through the driver, so their keys are short: the text's beginning, a hash of all of it, the id
+    short = [F.substring("norm", 1, SPLITTER), F.xxhash64("norm")]
+    last = F.col("doc_id").desc_nulls_last()
+    dealt = rows.repartitionByRange(num_partitions, *short, last) if num_partitions else rows.repartitionByRange(*short, last)
+    marked = save(dealt.sortWithinPartitions(*short, "norm", last).mapInArrow(_mark_runs, _RUNS), "exact-runs")
     runs = marked.groupBy("run_id").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"), F.max("text_sha256").alias("text_sha256"))
     texts = runs.groupBy("text_sha256").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"), F.min(F.when(F.col("top").isNull(), F.col("run_id"))).alias("null_run"))
     keyed = runs.select("run_id", "text_sha256").join(texts, "text_sha256")
