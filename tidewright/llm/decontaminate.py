@@ -259,8 +259,9 @@ def _find_block(rows: DataFrame, items: list[tuple[int, list[bytes]]], spark) ->
     values = np.maximum(values, shift)
     u, sigma, _ = np.linalg.svd(z @ (turn / np.sqrt(values)), full_matrices=False)
     rank = min(RANK, width)
-    # each latent dimension counts alike: the leading ones only tell languages apart
-    vectors = u[:, :rank] * (idf * used)[:, None] / np.maximum(sigma[:rank], 1e-6 * sigma[0] + 1e-12)
+    # latent dimensions count alike, as the leading ones only tell languages apart; but not those of words that no
+    # passage holds, whose singular values are next to nothing
+    vectors = u[:, :rank] * (idf * used)[:, None] / np.maximum(sigma[:rank], 0.1 * sigma[0] + 1e-12)
     shared = spark.sparkContext.broadcast((idf, used, vectors, numbers, [i for i, _ in items]))
     return numbered.mapInArrow(_searched(kind, shared), "doc_id long, item_ids array<long>, overlap double")
 

@@ -216,7 +216,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     """Of distinct pairs (a, b) those that link. Texts travel once for each pair, and a hub's once per salt."""
     n = pairs.count()
     if not n:
-        return pairs.select("a", "b")
+        return pairs.sparkSession.createDataFrame([], "a long, b long")
     ids = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{label}-ids")
     texts = texts.join(small(ids, ids.count()), "doc_id", "left_semi")
     salt = (F.xxhash64("b") % 64).alias("salt")
