@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidewright.plans import catalog
+from tidewright.plans import catalog, records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

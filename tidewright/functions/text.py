@@ -76,17 +76,33 @@ def sniff(content: Column) -> Column:
     )
 
 
+# How an answer is written.
+YES = ["yes", "y", "done", "ಹೌದು", "हाँ", "obtained", "present"]
+NO = ["no", "n", "not done", "ಇಲ್ಲ", "नहीं", "not obtained", "absent", "nil"]
+NOT_RECORDED = ["not recorded", "", "-", "blank", "not mentioned", "n/a"]
+
+
 def yes_no(text: Column) -> Column:
-    """not_recorded, no, yes or unclear; tried in this order."""
-    t = F.trim(F.lower(text))
+    """not_recorded (also null), no, yes or unclear; tried in this order, by the whole answer or its first word."""
+    t = F.rtrim(F.lower(F.trim(text)), F.lit("."))
+    head = F.regexp_extract(t, r"^([^\s(,]*)", 1)
     return (
-        F.when(t.isNull() | t.isin("", "-", "nil", "not recorded", "not mentioned"), "not_recorded")
-        .when(F.rlike(t, F.lit("^(no|not|none|never)\\b")), "no")
-        .when(F.rlike(t, F.lit("^(yes|done|present|complied)\\b")), "yes")
+        F.when(t.isNull() | t.isin(NOT_RECORDED), "not_recorded")
+        .when(t.isin(NO) | F.startswith(t, F.lit("not ")) | head.isin(NO), "no")
+        .when(t.isin(YES) | head.isin(YES), "yes")
         .otherwise("unclear")
     )
 
 
+def language_mix(text: Column) -> Column:
+    """Scripts with more than a tenth of the letters, the largest first, joined by +; none gives unknown."""
+    n = F.length(F.regexp_replace(text, r"[^A-Za-z\u0900-\u097F\u0C80-\u0CFF]", ""))
+    share = lambda name, letters: F.struct((-F.length(F.regexp_replace(text, f"[^{letters}]", "")) / F.greatest(n, F.lit(1))).alias("s"), F.lit(name).alias("k"))
+    found = F.array(share("en", "A-Za-z"), share("hi", r"\u0900-\u097F"), share("kn", r"\u0C80-\u0CFF"))
+    mix = F.array_join(F.transform(F.filter(F.array_sort(found), lambda x: x["s"] < -0.1), lambda x: x["k"]), "+")
+    return F.when(mix == "", "unknown").otherwise(mix)
+
+
 def _jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0 if a else 0.0

@@ -64,3 +64,21 @@ def nearest(df: DataFrame, anchors: DataFrame, key: str, date: str, anchor: str)
     out = both.withColumn("_b", before).withColumn("_a", after).where("_row is not null")
     gap = F.least(F.date_diff("_at", "_b"), F.date_diff("_a", "_at"))
     return out.select("_row.*", gap.alias("days_to_anchor"))
+
+
+def page_of(pages: DataFrame, hits: DataFrame, key: str, page: str, text: str, at: str, name: str = "page") -> DataFrame:
+    """`hits` (key, at) with the last page that begins at or before the offset; pages are joined by one character.
+
+    Offsets and hits are merged into one sorted window, so there is no range join.
+    """
+    by = Window.partitionBy(key).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    begins = pages.select(key, F.col(page).alias("_p"), F.coalesce(F.sum(F.length(text) + 1).over(by), F.lit(0)).cast("long").alias("_o"))
+    both = begins.unionByName(hits.select(key, F.lit(None).cast(begins.schema["_p"].dataType).alias("_p"), F.col(at).cast("long").alias("_o")))
+    # a RANGE frame takes in pages that begin just there, whatever the order of equals
+    last = F.max("_p").over(Window.partitionBy(key).orderBy("_o").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn(name, last).where("_p is null").select(key, F.col("_o").alias(at), name)
+
+
+def remap(df: DataFrame, col: str, kept: DataFrame) -> DataFrame:
+    """Ids in `col` that were merged away (kept: old, kept) become the id that stays."""
+    return df.join(kept, F.col(col) == F.col("old"), "left").withColumn(col, F.coalesce("kept", col)).drop("old", "kept")

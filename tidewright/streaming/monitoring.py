@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -27,3 +29,18 @@ def failures_per_window(events: DataFrame, key: str, ts: str, failed, width: str
 def ingest_once(events: DataFrame, keys: list[str], ts: str, late: str = "1 day") -> DataFrame:
     """Each key set once; the state lasts as long as late rows may come."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def recompute_to_table(spark, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream of the files at `path` that ends with its input; the latest result of every key, from a table in the
+    shared folder of `spark.checkpoint.dir`."""
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewright-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    def write(batch: DataFrame, n: int) -> None:
+        compute(batch.select(key).distinct()).withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/b={n}")
+
+    source.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{root}/out/b=*")
+    rest = [c for c in out.columns if c not in (key, "_batch")]
+    return out.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_x")).select(key, "_x.*")
