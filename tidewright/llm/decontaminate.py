@@ -23,6 +23,8 @@ from tidewright.llm.common import save, small
 PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 5_000
 #: (longest item, window, stride) by item length: an item fills most of some window.
 SCALES = ((24, 24, 10), (56, 56, 20), (1 << 30, 112, 40))
+#: Words, a multiple of PASSAGE, and windows that are handled at once: they bound a task's memory, not what it handles.
+PIECE, WINDOWS = 1 << 15, 1024
 #: Cosine of a candidate; share of the item's words in a common subsequence; share of its IDF weight and of its answer
 #: (its last quarter) that must be found.
 COSINE, COMMON, WEIGHT, ANSWER = 0.55, 0.7, 0.7, 0.5
@@ -51,11 +53,23 @@ def _numbered(vocabulary):
     return run
 
 
-def _entries(batch: pa.RecordBatch, column: int, kind, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passage, word and count of every non-zero entry of a batch's passages."""
-    data = batch.column(column).to_pylist()
-    ids = np.frombuffer(b"".join(data), kind).astype(np.int64)
-    lengths = np.array([len(d) // np.dtype(kind).itemsize for d in data], np.int64)
+def _pieces(batch: pa.RecordBatch, kind) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbered words of a batch's texts and each text's length, PIECE words at most; a longer text is cut between passages."""
+    size = np.dtype(kind).itemsize
+    held, total = [], 0
+    for d in batch.column(0).to_pylist():
+        for x in (d[at : at + PIECE * size] for at in range(0, len(d), PIECE * size)):
+            if total + len(x) > PIECE * size:
+                yield np.frombuffer(b"".join(held), kind).astype(np.int64), np.array([len(h) // size for h in held])
+                held, total = [], 0
+            held.append(x)
+            total += len(x)
+    if held:
+        yield np.frombuffer(b"".join(held), kind).astype(np.int64), np.array([len(h) // size for h in held])
+
+
+def _entries(ids: np.ndarray, lengths: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, word and count of every non-zero entry of some texts' passages."""
     starts = np.cumsum(lengths) - lengths
     passages = -(-lengths // PASSAGE)
     of = np.repeat(np.cumsum(passages) - passages, lengths) + (np.arange(len(ids)) - np.repeat(starts, lengths)) // PASSAGE
@@ -64,7 +78,7 @@ def _entries(batch: pa.RecordBatch, column: int, kind, v: int) -> tuple[np.ndarr
     return keys // v, keys % v, n
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
@@ -72,8 +86,8 @@ def _frequencies(kind, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(v, np.int64), 0
         for batch in batches:
-            for part in _parts(batch):
-                passage, word, _ = _entries(part, 0, kind, v)
+            for ids, lengths in _pieces(batch, kind):
+                passage, word, _ = _entries(ids, lengths, v)
                 df += np.bincount(word, minlength=v)
                 total += len(np.unique(passage))
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([df.tobytes()], pa.binary())], names=["n", "df"])
@@ -88,8 +102,8 @@ def _sketched(kind, shared):
         idf, used, omega = shared.value
         v, total = len(idf), np.zeros(omega.shape, np.float64)
         for batch in batches:
-            for part in _parts(batch):
-                passage, word, n = _entries(part, 0, kind, v)
+            for ids, lengths in _pieces(batch, kind):
+                passage, word, n = _entries(ids, lengths, v)
                 own = used[word]
                 passage, word, n = passage[own], word[own], n[own]
                 if not len(word):
@@ -184,7 +198,6 @@ def _candidates_verified(ids, lengths, used, vectors, groups, items, weight) ->
     at = np.flatnonzero(used[ids])  # places of words that carry features; windows are sums between two of them
     if not len(at):
         return hits
-    sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[ids[at]], axis=0)])
     for window, stride, own, q in groups:
         n = np.maximum(1, -(-(lengths - window) // stride) + 1)
         doc = np.repeat(np.arange(len(lengths)), n)
@@ -193,8 +206,10 @@ def _candidates_verified(ids, lengths, used, vectors, groups, items, weight) ->
         lo, hi = np.searchsorted(at, first), np.searchsorted(at, last)
         some = hi - lo >= 2
         doc, first, last, lo, hi = doc[some], first[some], last[some], lo[some], hi[some]
-        for k in range(0, len(doc), 4096):
-            x = (sums[hi[k : k + 4096]] - sums[lo[k : k + 4096]]).astype(np.float32)
+        for k in range(0, len(doc), WINDOWS):
+            begin, end = lo[k], hi[k : k + WINDOWS].max()  # windows are in order of their places
+            sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[ids[at[begin:end]]], axis=0)])
+            x = (sums[hi[k : k + WINDOWS] - begin] - sums[lo[k : k + WINDOWS] - begin]).astype(np.float32)
             cosine = (x @ q) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             for r, c in zip(*(y.tolist() for y in np.nonzero(cosine >= COSINE)), strict=True):
                 i, d = own[c], doc[k + r]
