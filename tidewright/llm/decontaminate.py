@@ -25,6 +25,8 @@ PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 5_000
 SCALES = ((24, 24, 10), (56, 56, 20), (1 << 30, 112, 40))
 #: Words, a multiple of PASSAGE, and windows that are handled at once: they bound a task's memory, not what it handles.
 PIECE, WINDOWS = 1 << 15, 1024
+#: Singular values below this share of the largest belong to the sketch's own noise.
+NOISE = 0.02
 #: Cosine of a candidate; share of the item's words in a common subsequence; share of its IDF weight and of its answer
 #: (its last quarter) that must be found.
 COSINE, COMMON, WEIGHT, ANSWER = 0.55, 0.7, 0.7, 0.5
@@ -261,7 +263,7 @@ def _find_block(rows: DataFrame, items: list[tuple[int, list[bytes]]], spark) ->
     numbers = [[vocabulary[w] for w in ws] for _, ws in items]
     used = df <= FREQUENT * n
     for x in numbers:
-        used[sorted(set(x), key=lambda w: (df[w], w))[:RAREST]] = True
+        used[sorted(set(x), key=lambda w: (df[w] == 0, df[w], w))[:RAREST]] = True  # words that no passage holds find nothing
     width = min(RANK + EXTRA, v)
     omega = np.random.default_rng(7).standard_normal((v, width)).astype(np.float32) * used[:, None]
     sketch = save(numbered.select("ids").mapInArrow(_sketched(kind, spark.sparkContext.broadcast((idf, used, omega))), "z binary"), "sketch")
@@ -274,9 +276,10 @@ def _find_block(rows: DataFrame, items: list[tuple[int, list[bytes]]], spark) ->
     values = np.maximum(values, shift)
     u, sigma, _ = np.linalg.svd(z @ (turn / np.sqrt(values)), full_matrices=False)
     rank = min(RANK, width)
-    # latent dimensions count alike, as the leading ones only tell languages apart; but not those of words that no
-    # passage holds, whose singular values are next to nothing
-    vectors = u[:, :rank] * (idf * used)[:, None] / np.maximum(sigma[:rank], 0.1 * sigma[0] + 1e-12)
+    # latent dimensions count alike, as the leading ones only tell languages apart; but those whose singular values are
+    # next to nothing are noise of the sketch, and go
+    scale = np.where(sigma[:rank] >= NOISE * sigma[0], 1 / np.maximum(sigma[:rank], 0.1 * sigma[0] + 1e-12), 0.0)
+    vectors = u[:, :rank] * (idf * used)[:, None] * scale
     shared = spark.sparkContext.broadcast((idf, used, vectors, numbers, [i for i, _ in items]))
     return numbered.mapInArrow(_searched(kind, shared), "doc_id long, item_ids array<long>, overlap double")
 
