@@ -33,6 +33,40 @@ def phonetic_key(name: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(tokens, phonetic_token)), " ")
 
 
+# Titles that aren't part of a name, short forms, and how a last initial is spelled out.
+HONORIFICS = ["sri", "shri", "shree", "sree", "smt", "srimati", "shrimati", "mr", "mrs", "ms", "kum", "kumari", "dr", "late", "master", "baby", "janab", "sh"]
+EXPANSIONS = {
+    "md": "mohammed", "mohd": "mohammed", "mohammad": "mohammed", "muhammad": "mohammed", "mahammad": "mohammed",
+    "saiyad": "syed", "sayed": "syed", "sayyed": "syed", "saiyed": "syed",
+}
+SPELLED_INITIALS = {"es": "s", "ar": "r", "ke": "k", "em": "m", "en": "n", "bi": "b", "di": "d", "ji": "j", "pi": "p", "ti": "t", "vi": "v", "si": "c", "el": "l", "eh": "h", "ech": "h"}
+
+
+def _mapped(token: Column, table: dict[str, str]) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), token), token)
+
+
+def name_tokens(name: Column) -> Column:
+    """Latin tokens of a name without titles, short forms written out; a spelled initial counts only at the end of several."""
+    raw = F.filter(F.split(F.lower(name), "[^a-z]+"), lambda t: t != "")
+    n = F.size(raw)
+    last = F.transform(raw, lambda t, i: F.struct(t.alias("t"), ((i == n - 1) & (n > 1)).alias("last")))
+    kept = F.filter(last, lambda x: ~x["t"].isin(HONORIFICS))
+    return F.transform(kept, lambda x: F.when(x["last"], _mapped(_mapped(x["t"], EXPANSIONS), SPELLED_INITIALS)).otherwise(_mapped(x["t"], EXPANSIONS)))
+
+
+def normalised_name(name: Column) -> Column:
+    """struct(primary, aliases, relative) of tokens: "A @ B s/o C" has the name A, the alias B and the relative C."""
+    parts = F.split(name, r"(?i)\s+(?:s/o|d/o|w/o|c/o|son of|daughter of|wife of)\s+", 2)
+    names = F.filter(F.split(F.get(parts, F.lit(0)), r"(?i)\s*(?:@|\burf\b|\balias\b|\ba/k/a\b|\baka\b|\bur\b)\s*"), lambda p: F.trim(p) != "")
+    none = F.array().cast("array<string>")
+    return F.struct(
+        F.coalesce(name_tokens(F.get(names, F.lit(0))), none).alias("primary"),
+        F.transform(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), name_tokens).alias("aliases"),
+        F.coalesce(name_tokens(F.get(parts, F.lit(1))), none).alias("relative"),
+    )
+
+
 def reference_key(text: Column) -> Column:
     """Letters and digits only, upper case: how reference numbers are compared."""
     return F.upper(F.regexp_replace(text, "[^A-Za-z0-9]", ""))

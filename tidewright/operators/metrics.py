@@ -39,3 +39,19 @@ def auc_brier(df: DataFrame, score: str, label: str) -> DataFrame:
 def censored_label(start: Column, end: Column, horizon_days: int, data_end: Column) -> Column:
     """1: still open after the horizon, 0: closed within it, -1: can't be known yet."""
     return F.when(end.isNotNull(), (F.date_diff(end, start) > horizon_days).cast("int")).when(F.date_diff(data_end, start) > horizon_days, 1).otherwise(-1)
+
+
+def set_prf(found: DataFrame, truth: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(by, tp, fp, fn, precision, recall) of two sets of rows, by one of their columns; repeats count once."""
+    side = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(1))
+    j = side(found, "f").join(side(truth, "t"), keys, "full_outer")
+    out = j.groupBy(by).agg(F.count_if(F.col("f").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"))
+    return out.withColumn("precision", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6)).withColumn("recall", F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6))
+
+
+def threshold_sweep(scored: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
+    """(threshold, precision, recall): all thresholds from one pass over the rows."""
+    p, y = F.col(score), F.col(label) == 1
+    one = scored.agg(F.count_if(y).alias("real"), *[x for k, t in enumerate(thresholds) for x in (F.count_if(p >= t).alias(f"n{k}"), F.count_if((p >= t) & y).alias(f"tp{k}"))])
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.round(F.try_divide(f"tp{k}", f"n{k}"), 6).alias("precision"), F.round(F.try_divide(f"tp{k}", "real"), 6).alias("recall")) for k, t in enumerate(thresholds)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")

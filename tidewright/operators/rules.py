@@ -115,3 +115,27 @@ def most_serious(charges: DataFrame, key: str) -> DataFrame:
 def roll_up(results: DataFrame, key: str) -> DataFrame:
     """A person's most urgent status, longest overdue and number of cases."""
     return results.groupBy(key).agg(F.min_by("status_out", rank_of(F.col("status_out"), URGENCY)).alias("status"), F.max("days_overdue").alias("days_overdue"), F.count(F.lit(1)).alias("n_cases"))
+
+
+# What a companion provision makes of a maximum: numerator, denominator of the term.
+FRACTIONS = {"attempt": (1, 2), "abetment": (1, 1), "abetment_not_committed": (1, 4), "common_intention": (1, 1)}
+
+
+def derived_term(kind: Column, months: Column, modifier: Column, life_years: int = 20, not_committed_years: int = 7, serious_years: int = 2, otherwise_months: int = 6) -> Column:
+    """struct(kind, months) of an offence's maximum under a modifier (null: as it is).
+
+    A fraction is rounded up to whole months; life counts as so many years for fractions; conspiracy to a serious
+    offence is punished like it, else with a short term; a fine-only offence stays one.
+    """
+    grave = kind.isin("life", "death")
+    life = F.lit(life_years * 12)
+    part = F.coalesce(*[F.when(modifier == m, F.ceil(F.when(grave, life).otherwise(months) * n / d)) for m, (n, d) in FRACTIONS.items() if n < d]).cast("int")
+    term = lambda m: F.struct(F.lit("term").alias("kind"), m.cast("int").alias("months"))
+    same = F.struct(kind.alias("kind"), months.cast("int").alias("months"))
+    return (
+        F.when((kind == "none") | modifier.isNull(), same)
+        .when(modifier == "conspiracy", F.when(grave | (months >= serious_years * 12), same).otherwise(term(F.lit(otherwise_months))))
+        .when((modifier == "abetment_not_committed") & grave, term(F.lit(not_committed_years * 12)))
+        .when(part.isNotNull(), term(part))
+        .otherwise(same)
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewright.functions import extract, text
-from tidewright.operators import consistency, matching, relational, retrieval, timeline
+from tidewright.operators import consistency, detectors, matching, metrics, relational, retrieval, rules, timeline
 from tidewright.plans import training
 from tidewright.plans.catalog import TODAY, query
 from tidewright.sources.readers import table
@@ -231,3 +231,49 @@ def first_per_list(spark, sf):
     """At most three pieces of evidence a person, earliest first."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf, "events").withColumn("_k", F.row_number().over(w)).where("_k <= 3").select("user_id", "event_id")
+
+
+# ---- detectors, derived maxima, names, evaluation
+
+_FACTS = [
+    (1, "grounds_of_arrest", "not_recorded", 0.9), (1, "arrest_datetime", "2024-01-05T19:30", 0.95), (1, "production_datetime", "2024-01-07T10:00", 0.75), (1, "gender", "Female", 0.9), (1, "woman_officer_present", "no", 0.9),
+    (2, "remand_reasons", "as prayed", 0.9), (2, "recovery", "Recovered in presence of no independent panch", 0.9), (2, "offence_datetime", "2024-01-01", 0.95), (2, "fir_datetime", "2024-01-09", 0.95), (2, "charge_sheet_offence_date", "2024-01-02", 0.95),
+    (3, "grounds_of_arrest", "yes", 0.9), (3, "fir_delay_reason", "illness", 0.9), (3, "offence_datetime", "2024-01-01", 0.95), (3, "fir_datetime", "2024-01-09", 0.95),
+]
+
+
+@query(_values([(1, "GROUNDS_NOT_COMMUNICATED", 0.8883), (1, "PRODUCTION_BEYOND_24H", 0.8875), (1, "WOMAN_ARRESTED_AT_NIGHT", 0.7942), (2, "DATE_CONTRADICTION_FIR_CHARGESHEET", 0.6108), (2, "FIR_DELAY_UNEXPLAINED", 0.6108), (2, "MECHANICAL_REMAND", 0.705), (2, "SEIZURE_WITHOUT_INDEPENDENT_WITNESS", 0.5883)], "id, code, rank"), dates="rank")
+def lapse_detectors(spark, sf):
+    f = spark.createDataFrame([(*r, False, k) for k, r in enumerate(_FACTS)], "id int, field string, value string, confidence double, reviewed boolean, fact_id int")
+    return detectors.detect(detectors.wide_facts(f, "id"), "id").select("id", "code", F.col("rank").cast("decimal(5,4)").alias("rank"))
+
+
+@query("""with p as (select p_partkey, p_size as m, case p_partkey % 5 when 0 then 'life' when 1 then 'none' else 'term' end as k, case p_partkey % 7 when 0 then 'attempt' when 1 then 'abetment' when 2 then 'abetment_not_committed' when 3 then 'conspiracy' when 4 then 'common_intention' end as f from part)
+select p_partkey, case when k = 'none' or f is null or f in ('abetment', 'common_intention') then k when f = 'conspiracy' and (k = 'life' or m >= 24) then k else 'term' end as kind,
+cast(case when k = 'none' or f is null or f in ('abetment', 'common_intention') then m when f = 'conspiracy' then case when k = 'life' or m >= 24 then m else 6 end when k = 'life' then case f when 'attempt' then 120 else 84 end when f = 'attempt' then ceil(m / 2) else ceil(m / 4) end as int) as months from p""")
+def derived_maximum(spark, sf):
+    k = F.col("p_partkey")
+    kind = F.when(k % 5 == 0, "life").when(k % 5 == 1, "none").otherwise("term")
+    modifier = F.when(k % 7 == 0, "attempt").when(k % 7 == 1, "abetment").when(k % 7 == 2, "abetment_not_committed").when(k % 7 == 3, "conspiracy").when(k % 7 == 4, "common_intention")
+    return table(spark, sf, "part").select("p_partkey", rules.derived_term(kind, F.col("p_size"), modifier).alias("t")).select("p_partkey", "t.*")
+
+
+@query(_values([(1, "ravi kumar k", "raju", "shankar"), (2, "mohammed rafiq", "", ""), (3, "ar", "", ""), (4, "", "", "")], "id, primary_name, aliases, relative"))
+def name_parts(spark, sf):
+    n = spark.createDataFrame([(1, "Sri Ravi Kumar Ke @ Raju s/o Late Shankar"), (2, "Md. Rafiq"), (3, "Ar"), (4, None)], "id int, name string")
+    x = n.select("id", text.normalised_name(F.col("name")).alias("n"))
+    return x.select("id", F.array_join("n.primary", " ").alias("primary_name"), F.coalesce(F.array_join(F.flatten("n.aliases"), ","), F.lit("")).alias("aliases"), F.array_join("n.relative", " ").alias("relative"))
+
+
+@query("""with f as (select distinct l_orderkey as k, l_returnflag as g from lineitem where l_quantity > 10), t as (select distinct l_orderkey as k, l_returnflag as g from lineitem where l_discount > 0.03),
+j as (select coalesce(f.g, t.g) as g, f.k is not null as f, t.k is not null as t from f full outer join t on f.k = t.k and f.g = t.g), c as (select g, count(*) filter (where f and t) as tp, count(*) filter (where not t) as fp, count(*) filter (where not f) as fn from j group by g)
+select g, tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall from c""")
+def extraction_prf(spark, sf):
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("g"), "l_quantity", "l_discount")  # noqa: E741
+    return metrics.set_prf(l.where("l_quantity > 10"), l.where("l_discount > 0.03"), ["k", "g"], "g")
+
+
+@query("""with t as (select unnest([0.2, 0.5, 0.8]) as t), s as (select l_discount * 8 + 0.1 as p, l_returnflag = 'R' as y from lineitem) select cast(t as double) as threshold, round(count(*) filter (where p >= t and y) / nullif(count(*) filter (where p >= t), 0), 6) as precision, round(count(*) filter (where p >= t and y) / count(*) filter (where y), 6) as recall from s, t group by t""")
+def threshold_sweep(spark, sf):
+    s = table(spark, sf, "lineitem").select((F.col("l_discount") * 8 + 0.1).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return metrics.threshold_sweep(s, "p", "y", [0.2, 0.5, 0.8])
