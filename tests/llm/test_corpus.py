@@ -158,6 +158,55 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_contaminated(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("low,high,sixth", [(15, 59, False), (15, 59, True), (300, 900, False)])
+def test_decontamination_recall(spark, low, high, sixth):
+    """Hundreds of items cut from the documents and planted in others: all whose common subsequence suffices are due."""
+    rng = random.Random(low + sixth)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    texts = [decontaminate.words_of(r.text.encode()) for r in table.orderBy("doc_id").collect()]
+    own = [w for w in texts if len(w) >= high + 20]
+    items, planted, hosts = [], [], []
+    for _ in range(300):
+        source, host = rng.choice(own), rng.choice(texts)
+        n = rng.randint(low, high)
+        at = rng.randrange(len(source) - n)
+        items.append(source[at : at + n])
+        planted.append([b"qqfiller" if sixth and k % 6 == 3 else w for k, w in enumerate(items[-1])])
+        hosts.append(host[:60] + planted[-1] + host[60:])
+    said = lambda ws: b" ".join(ws).decode()
+    more = spark.createDataFrame([(1 << 40 | i, said(h)) for i, h in enumerate(hosts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, said(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = decontaminate.find_contaminated(table.unionByName(more), bench).where(F.col("doc_id") >= 1 << 40).collect()
+    found = {r.doc_id - (1 << 40): r.item_ids for r in found}
+    due = [i for i, x in enumerate(items) if decontaminate._common_subsequence(x, planted[i]) >= 0.7 * len(x)]
+    missed = [i for i in due if i not in found[i]]
+    print("recall", low, high, sixth, len(due) - len(missed), "of", len(due))
+    # the replaced words of an item may be those that weigh most, so that the check of the weight refuses it
+    assert len(due) == 300 and len(missed) <= (15 if sixth else 0)
+
+
+def test_pivots_lose_nothing():
+    """Items in random numbered documents against every stretch, one by one."""
+    rng = np.random.default_rng(3)
+    weight = np.log(2 + np.arange(60)) + 0.05
+    items = [rng.integers(0, 60, n).tolist() for n in (3, 8, 15, 30, 130)]
+    docs_ = []
+    for k in range(40):
+        x = items[k % 5]
+        part = [w for w in x if rng.random() > 0.03 * (k % 8)]
+        docs_.append(np.concatenate([rng.integers(-40, 60, 40).clip(-1), part, rng.integers(-40, 60, 200).clip(-1)]).astype(np.int64))
+    hits = [{} for _ in docs_]
+    lengths = np.array([len(d) for d in docs_])
+    decontaminate._pivots_verified(np.concatenate(docs_), lengths, decontaminate._pivots(items, weight), items, weight, hits)
+    due = 0
+    for d, found in zip(docs_, hits, strict=True):
+        for i, x in enumerate(items):
+            share = max(decontaminate._verified(x, weight, d[s : s + decontaminate.span(len(x))]) for s in range(len(d)))
+            due += share > 0
+            assert found.get(i, 0) >= share
+    assert due >= 15
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)

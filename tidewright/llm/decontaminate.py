@@ -5,6 +5,8 @@
 3. One distributed pass sketches A'A of the TF-IDF passage matrix A with a random test matrix; the Nystrom form of the
    randomised SVD gives the leading right singular vectors.
 4. Windows of every document and the items are compared by cosine in that space; candidates are verified word by word.
+5. What the cosine loses is found exactly: an item's rarest words that together weigh more than may be missing are its
+   pivots; a stretch that passes the checks holds one of them, so the surroundings of every pivot are checked as well.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from tidewright.llm.common import save, small
 PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 5_000
 #: (longest item, window, stride) by item length: an item fills most of some window.
 SCALES = ((24, 24, 10), (56, 56, 20), (1 << 30, 112, 40))
-#: Words, a multiple of PASSAGE, and windows that are handled at once: they bound a task's memory, not what it handles.
-PIECE, WINDOWS = 1 << 15, 1024
+#: Words, a multiple of PASSAGE, windows and pairs of a place and an item that are handled at once: they bound a task's memory, not what it handles.
+PIECE, WINDOWS, PAIRS = 1 << 15, 1024, 1 << 20
 #: Singular values below this share of the largest belong to the sketch's own noise.
 NOISE = 0.02
 #: Cosine of a candidate; share of the item's words in a common subsequence; share of its IDF weight and of its answer
@@ -156,6 +158,10 @@ def _common_subsequence(item: list[int], words: list[int]) -> int:
     return len(item) - v.bit_count()
 
 
+def _least(item: list[int]) -> float:
+    return COMMON if len(item) >= 12 else 0.9
+
+
 def _verified(item: list[int], weight: np.ndarray, words: np.ndarray) -> float:
     """Share of the item in the common subsequence, or 0 if a check fails."""
     near = words[words >= 0]
@@ -168,12 +174,66 @@ def _verified(item: list[int], weight: np.ndarray, words: np.ndarray) -> float:
     if sum(w in held for w in answer) < ANSWER * len(answer):
         return 0.0
     share = _common_subsequence(item, near.tolist()) / len(item)
-    return share if share >= (COMMON if len(item) >= 12 else 0.9) else 0.0
+    return share if share >= _least(item) else 0.0
+
+
+def span(length: int) -> int:
+    """Words of the longest stretch of a document in which an item of `length` words is looked for."""
+    return next((window for most, window, _ in SCALES[:-1] if length <= most), max(SCALES[-1][1], length)) + length + 8
+
+
+def _pivots(items: list[list[int]], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word where its items start in a list, and that list: the items of which the word is a pivot."""
+    pivots, of = [], []
+    for i, x in enumerate(items):
+        own = sorted(set(x), key=lambda w: (-weight[w], w))
+        total = np.cumsum(weight[own])
+        most = int(np.searchsorted(total, (1 - WEIGHT) * total[-1] + 1e-9, side="right")) + 1
+        pivots += own[:most]
+        of += [i] * len(own[:most])
+    order = np.argsort(pivots, kind="stable")
+    return np.searchsorted(np.array(pivots)[order], np.arange(len(weight) + 1)), np.array(of)[order]
+
+
+def _pivots_verified(ids, lengths, pivots, items, weight, hits) -> None:
+    """Adds to the documents' hits every item that passes the checks in a stretch of span() words. Longer stretches, by
+    a sixteenth of the item, are checked at fewer starts: none that passes is lost."""
+    starts, of = pivots
+    ends = np.cumsum(lengths)
+    n = np.append(np.diff(starts), 0)  # -1 is the last
+    all_at = np.flatnonzero(n[ids])
+    mask = np.zeros(len(weight) + 1, bool)
+    cuts = np.flatnonzero(np.diff(np.cumsum(n[ids[all_at]]) // PAIRS)) + 1
+    for at in np.split(all_at, cuts):
+        k = n[ids[at]]
+        place = np.repeat(at, k)
+        item = of[np.repeat(starts[ids[at]], k) + np.arange(len(place)) - np.repeat(np.cumsum(k) - k, k)]
+        doc = np.searchsorted(ends, place, side="right")
+        order = np.lexsort((place, doc, item))
+        place, item, doc = place[order], item[order], doc[order]
+        heads = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])))) if len(place) else []
+        for i, d, own in zip(item[heads].tolist(), doc[heads].tolist(), np.split(place, heads[1:]), strict=True) if len(place) else ():
+            x = items[i]
+            reach, step, need = span(len(x)), max(1, len(x) // 16), int(np.ceil(_least(x) * len(x) - 1e-9))
+            mask[x] = True
+            for run in np.split(own, np.flatnonzero(np.diff(own) > 2 * reach) + 1):
+                lo, hi = max(ends[d] - lengths[d], run[0] - reach + 1), min(ends[d], run[-1] + reach)
+                q = lo + np.flatnonzero(mask[ids[lo:hi]])
+                if len(q) < need:
+                    continue
+                done = lo
+                for s in q[np.searchsorted(q, q + reach) - np.arange(len(q)) >= need].tolist():
+                    if s >= done and hits[d].get(i, 0) < 1:
+                        done = s + step
+                        if share := _verified(x, weight, ids[s : min(ends[d], s + reach + step)]):
+                            hits[d][i] = max(hits[d].get(i, 0), share)
+            mask[x] = False
 
 
 def _searched(kind, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, used, vectors, items, names = shared.value
+        pivots = _pivots(items, weight)
         groups = []
         for k, (most, window, stride) in enumerate(SCALES):
             least = SCALES[k - 1][0] if k else 0
@@ -185,7 +245,9 @@ def _searched(kind, shared):
         for batch in batches:
             for part in _parts(batch, 500):
                 data = part.column(1).to_pylist()
-                hits = _candidates_verified(np.frombuffer(b"".join(data), kind), np.array([len(d) for d in data]) // np.dtype(kind).itemsize, used, vectors, groups, items, weight)
+                ids, lengths = np.frombuffer(b"".join(data), kind), np.array([len(d) for d in data]) // np.dtype(kind).itemsize
+                hits = _candidates_verified(ids, lengths, used, vectors, groups, items, weight)
+                _pivots_verified(ids, lengths, pivots, items, weight, hits)
                 found = [sorted(names[i] for i in h) for h in hits]
                 scores = [float(max(h.values(), default=0)) for h in hits]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64())], names=["doc_id", "item_ids", "overlap"])
@@ -228,7 +290,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII letters. An item is found in a document where a window
     is a candidate by latent cosine and 70 % of the item's words (90 % of a short item's) stand there in the item's
-    order, with 70 % of its IDF weight and half of its answer, the last quarter. Null and empty texts and items of
+    order, with 70 % of its IDF weight and half of its answer, the last quarter; or where this holds in any stretch of
+    span() words, whatever the cosine. Null and empty texts and items of
     under three words match nothing; repeated item texts are all named; repeated document rows repeat; an empty
     documents table gives no rows, an empty benchmark leaves all clean; other columns are ignored. Items are handled in blocks of 5,000, each of which is
     broadcast; the documents are read once for each block.
