@@ -27,7 +27,7 @@ CONTEXT = 8
 SUPPORT, DISCLOSURE = 3, 0.9
 #: A term that gives this share or more is removed, one below is generalised.
 REMOVAL = 0.999
-#: Terms that are broadcast at most (about 20 MB as a set); beyond it the same counts come from a shuffled join.
+#: Terms that are broadcast at most (about 20 MB as a set); beyond it the same comes from a shuffled join.
 MOST_TERMS = 200_000
 
 
@@ -78,21 +78,37 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["entity", "text_key", "terms"])
 
 
+def words_in(text: str) -> set[str]:
+    """The text's words as terms, found in the text as it is and lower-cased then, as everywhere here."""
+    return set(_WORD.findall(text.lower())) if text.isascii() else {w.lower() for w in _WORD.findall(text)}
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first column, term) for each of a text's words, a few texts at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            rows = [(x, w) for x, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for w in words_in(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], batch.column(0).type), pa.array([w for _, w in rows], pa.string())], names=[batch.schema.names[0], "term"])
+
+
 def _frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, n): in how many of all documents each of `terms` stands."""
+    """(term, n): the weight of the docs (weight, text) in which each of `terms` stands."""
     if n_terms <= MOST_TERMS:
         wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n: Counter = Counter()
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    n.update(wanted.value.intersection(_WORD.findall(text.lower())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+                for weight, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for w in wanted.value.intersection(words_in(text)) if wanted.value else ():
+                        n[w] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], names=["term", "weight"])
 
-        return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]{3,}"), F.lit(0)))).alias("term"))
-    return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        counted = docs.select("weight", "text").mapInArrow(run, "term string, weight double")
+    else:
+        counted = docs.select("weight", "text").mapInArrow(_exploded, "weight double, term string").join(terms, "term", "left_semi")
+    return counted.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("n"))
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
@@ -109,7 +125,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     terms = near.select("term").distinct()
     n_terms = terms.count()
     total = docs.count()
-    n_term = _frequencies(docs, terms, n_terms)
+    n_term = _frequencies(docs.select(F.lit(1.0).alias("weight"), "text"), terms, n_terms)
     pmi = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n")))
     share = pmi / F.log(F.lit(total) / F.col("n_e"))
     scored = near.join(n_term, "term").where(F.col("n_e") < total).groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= DISCLOSURE)
@@ -129,21 +145,28 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     terms = save(disclosing_terms(rows), "terms")
-    n = terms.count()
-    if n > MOST_TERMS:
-        raise ValueError(f"{n} disclosing terms: raise SUPPORT or DISCLOSURE")
-    shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["action"] for r in terms.collect()})
+    shared = None
+    if terms.count() <= MOST_TERMS:
+        shared = docs.sparkSession.sparkContext.broadcast({r["term"]: r["action"] for r in terms.collect()})
+    else:  # each distinct text gets its own terms
+        rows = rows.withColumn("text_key", F.xxhash64("text"))
+        held = rows.select("text_key", "text").mapInArrow(_exploded, "text_key long, term string").distinct().join(terms, "term")
+        held = held.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+        rows = rows.join(held, "text_key", "left").select("doc_id", "text", "actions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        actions = shared.value
+        actions = shared.value if shared else {}
         known = frozenset(actions)
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                if not shared:
+                    actions = dict(batch.column(2)[k].as_py() or ())
+                    known = frozenset(actions)
                 base = base_spans(text)
                 n = Counter(k for _, _, k in base)
                 more, action = [], {}
-                if known and known.intersection(_WORD.findall(text.lower())):
+                if known and known.intersection(words_in(text)):
                     ends = [(a, b) for a, b, _ in base]
                     for m in _WORD.finditer(text):
                         if (w := m[0].lower()) in known and not any(a < m.end() and m.start() < b for a, b in ends):
