@@ -294,6 +294,13 @@ def test_pii_terms(spark, docs):
     assert pii.sanitise(empty(docs)).count() == 0
 
 
+def test_pii_copies_hide_no_term(spark):
+    """A text with the term alone, copied very often, counts once: its share stays at or above DISCLOSURE."""
+    rows = [(i, f"zorba wrote to ann@example.com about item w{chr(97 + i)}xx") for i in range(9)] + [(20, "zorba alone")] * 400 + [(1000 + i, f"filler text number {i}") for i in range(3000)]
+    terms = {r.term for r in pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert "zorba" in terms
+
+
 def test_pii_beyond_the_bound(spark, monkeypatch):
     """Decomposed accents and more terms than are broadcast give the same rows by the shuffled forms."""
     rows = [(i % 5, f"Cafe\u0301zorba \u0130stan wrote to ann@example.com w{chr(97 + i)}xx") for i in range(6)] + [(1, "cafe\u0301zorba there"), (None, None), (8, "")] + [(1000 + i, f"filler text {i}") for i in range(300)]

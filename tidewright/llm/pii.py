@@ -93,7 +93,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(term, n): the weight of the docs (weight, text) in which each of `terms` stands."""
+    """(term, n): in how many distinct texts of docs (weight, text) each of `terms` stands; c copies weigh 1 / c each."""
     if n_terms <= MOST_TERMS:
         wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
 
@@ -115,17 +115,20 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     """(term, action) over docs (text without nulls): terms whose pointwise mutual information with an entity is
     at least DISCLOSURE of that entity's information content, both estimated over all documents.
 
-    PMI(e, t) = ln(n_et N / (n_e n_t)) and IC(e) = ln(N / n_e). Documents with the same text count once for n_e and
-    n_et, so that copies are no evidence.
+    PMI(e, t) = ln(n_et N / (n_e n_t)) and IC(e) = ln(N / n_e). Documents with the same text count once in all four
+    numbers, so that copies are no evidence.
     """
+    texts = save(docs.groupBy(F.xxhash64("text").alias("text_key")).agg(F.count(F.lit(1)).alias("copies")), "texts")
+    copied = texts.where("copies > 1")
     found = save(docs.select(F.xxhash64("text").alias("text_key"), "text").mapInArrow(_entities, "entity string, text_key long, terms array<string>"), "entities")
     n_entity = found.groupBy("entity").agg(F.count_distinct("text_key").alias("n_e"))
     near = found.select("entity", "text_key", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("text_key").alias("n_et")).where(F.col("n_et") >= SUPPORT)
     near = save(near.join(n_entity, "entity"), "near")
     terms = near.select("term").distinct()
     n_terms = terms.count()
-    total = docs.count()
-    n_term = _frequencies(docs.select(F.lit(1.0).alias("weight"), "text"), terms, n_terms)
+    total = texts.count()
+    weighed = docs.withColumn("text_key", F.xxhash64("text")).join(small(copied, copied.count()), "text_key", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), "text")
+    n_term = _frequencies(weighed, terms, n_terms)
     pmi = F.log(F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n")))
     share = pmi / F.log(F.lit(total) / F.col("n_e"))
     scored = near.join(n_term, "term").where(F.col("n_e") < total).groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= DISCLOSURE)
