@@ -294,6 +294,14 @@ def test_pii_terms(spark, docs):
     assert pii.sanitise(empty(docs)).count() == 0
 
 
+def test_pii_groups_recur(spark):
+    """Every address stands once; the term goes with their domain, and another with the area of phone numbers."""
+    rows = [(i, f"zorba wrote to p{i}@corp.example about item w{chr(97 + i)}xx") for i in range(4)] + [(10 + i, f"ring quillon at +1 (851) 555-967{i} please") for i in range(4)]
+    rows += [(100 + i, f"someone wrote to ring about item number please {i}") for i in range(200)]
+    terms = {r.term for r in pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {"zorba", "quillon"} <= terms and not {"wrote", "ring", "about", "please"} & terms
+
+
 def test_pii_copies_hide_no_term(spark):
     """A text with the term alone, copied very often, counts once: its share stays at or above DISCLOSURE."""
     rows = [(i, f"zorba wrote to ann@example.com about item w{chr(97 + i)}xx") for i in range(9)] + [(20, "zorba alone")] * 400 + [(1000 + i, f"filler text number {i}") for i in range(3000)]

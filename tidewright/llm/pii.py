@@ -68,12 +68,21 @@ def _surroundings(text: str, a: int, b: int) -> set[str]:
     return {*(w.lower() for w in _WORD.findall(text[max(0, a - reach) : a])[-CONTEXT:]), *(w.lower() for w in _WORD.findall(text[b : b + reach])[:CONTEXT])}
 
 
+def _names(kind: str, found: str) -> tuple[str, str]:
+    """The entity, and what it shares with others: mail domain, network, issuer of a card, area of a phone number."""
+    digits = "".join(_DIGIT.findall(found))
+    shared = {"email": found[found.rfind("@") :], "ip": ".".join(found.split(".")[:2]) + ".*", "card": digits[:6] + "*", "phone": "+" + digits[:4] + "*"}
+    return f"{kind}:{found}", f"{kind} of {shared[kind]}"
+
+
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each base span: the entity, the text it stands in and the terms around it."""
+    """Two rows for each base span: the entity or its group, the text it stands in and the terms around it."""
     for batch in batches:
         out = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out += [(f"{k}:{text[a:b].lower()}", key, sorted(_surroundings(text, a, b))) for a, b, k in base_spans(text)]
+            for a, b, k in base_spans(text):
+                near = sorted(_surroundings(text, a, b))
+                out += [(e, key, near) for e in _names(k, text[a:b].lower())]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["entity", "text_key", "terms"])
 
@@ -113,7 +122,7 @@ def _frequencies(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """(term, action) over docs (text without nulls): terms whose pointwise mutual information with an entity is
-    at least DISCLOSURE of that entity's information content, both estimated over all documents.
+    at least DISCLOSURE of that entity's information content, both estimated over all documents. Entities are exact values, and the groups that values share (_names).
 
     PMI(e, t) = ln(n_et N / (n_e n_t)) and IC(e) = ln(N / n_e). Documents with the same text count once in all four
     numbers, so that copies are no evidence.
