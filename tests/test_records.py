@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import extract, text
 from tidewright.functions.extract import _charges, _dates, _segments
 from tidewright.operators import consistency, relational, timeline
+from tidewright.plans import records
 
 D0 = dt.date(2024, 1, 1)
 day = lambda n: None if n is None else D0 + dt.timedelta(days=n)
@@ -112,3 +113,13 @@ def test_consistency(spark):
     rec = spark.createDataFrame([(1, "remand_date", day(3)), (2, "remand_date", day(3)), (3, "remand_date", day(3))], "k int, field string, recorded date")
     assert sorted((r.k, r.conflict) for r in consistency.conflicts(facts, rec, ["k"]).collect()) == [(3, "EARLIER"), (4, "MISSING")]
     assert consistency.visible(facts, None, F.col("k") > 2, F.col("field") == "remand_date").count() == 1
+
+
+def test_er_cluster_keeps_hot_names(spark, tmp_path):
+    """More than 200 customers of one nation, name and age are one cluster, though they have but one key."""
+    c = spark.read.parquet("/root/testdata/sf0.01/customer.parquet")
+    kinds = {f.name: f.dataType for f in c.schema}
+    hot = {"c_custkey": F.col("c_custkey") * 40, "c_nationkey": F.lit(7), "c_acctbal": F.lit(5)}
+    c.orderBy("c_custkey").limit(205).withColumns({k: x.cast(kinds[k]) for k, x in hot.items()}).write.parquet(str(tmp_path / "customer.parquet"))
+    out = records.er_cluster(spark, str(tmp_path)).collect()
+    assert len(out) == 205 and len({r.cluster for r in out}) == 1
