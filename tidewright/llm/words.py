@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +109,29 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-def by_size(batch: pa.RecordBatch, column: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def common_subsequence(item: list, text: list) -> int:
+    """Length of the longest common subsequence of an item and a text, a machine word of the item at a time (bit-parallel)."""
+    place: dict = {}
+    for k, w in enumerate(item):
+        place[w] = place.get(w, 0) | 1 << k
+    full = (1 << len(item)) - 1
+    v = full
+    for w in text:
+        if m := place.get(w, 0):
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return len(item) - v.bit_count()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again, and would hold on to their largest task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def by_size(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts come to about `most` bytes (a longer text is a slice of its own)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
