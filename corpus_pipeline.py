@@ -13,9 +13,8 @@ from tidewright.llm.queries import word_vocabulary
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; the predicted language takes the place of the given one."""
     profiles = language_id.learn_profiles(docs.where(~language_id.held_out("doc_id")))
-    predict = language_id.predictor(spark, profiles)
-    found = docs.withColumn("_found", predict("text")).where(F.col("_found.lang_pred") != language_id.UNKNOWN)
-    return found.select(*[F.col("_found.lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    found = language_id.with_language(docs, profiles, lang_name="_lang_pred", score_name="_lang_score").where(F.col("_lang_pred") != language_id.UNKNOWN)
+    return found.select(*[F.col("_lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
