@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from array import array
@@ -19,8 +20,9 @@ from tidewright.llm import words
 _SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 _NO_RANK = 1 << 60
-#: Bytes up to which words are merged side by side; longer ones one at a time.
-LONG = 24
+#: Bytes up to which words are merged side by side, and one at a time by scans of their rank array; what is longer
+#: (base64, number dumps) takes its ranks from a heap, so that its time doesn't grow with the square of its length.
+LONG, SCANNED = 24, 400
 
 
 def _byte_letters() -> list[str]:
@@ -65,6 +67,8 @@ class WordBpe:
 
     def word(self, data: bytes) -> list[int]:
         """Ids of one pre-token: the parts and the rank of each part with its right neighbour lie in two arrays."""
+        if len(data) > SCANNED:
+            return self._long_word(data)
         parts = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
         pairs, none = self.pairs, (_NO_RANK, -1)
         ranks = [pairs.get((a, b), none)[0] for a, b in zip(parts, parts[1:], strict=False)]
@@ -81,6 +85,37 @@ class WordBpe:
                 ranks[k] = pairs.get((parts[k], parts[k + 1]), none)[0]
         return parts
 
+    def _long_word(self, data: bytes) -> list[int]:
+        """`word` for a long pre-token: parts know their neighbours, pairs wait in a heap by rank, then by place."""
+        parts = [self.inner[b] for b in data[:-1]] + [self.final[data[-1]]]
+        n, pairs, none = len(parts), self.pairs, (-1, -1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = [pairs.get(p, none)[0] for p in zip(parts, parts[1:], strict=False)] + [-1]
+        waiting = [rank << 40 | k for k, rank in enumerate(ranks) if rank >= 0]
+        heapq.heapify(waiting)
+        pop, push = heapq.heappop, heapq.heappush
+        while waiting:
+            entry = pop(waiting)
+            k = entry & 0xFFFFFFFFFF
+            if ranks[k] != entry >> 40:
+                continue  # the part has another neighbour by now, or is part of something else
+            gone = after[k]
+            new = parts[k] = pairs[parts[k], parts[gone]][1]
+            parts[gone] = ranks[gone] = -1
+            after[k] = right = after[gone]
+            ranks[k] = -1
+            if right < n:
+                before[right] = k
+                if (rank := pairs.get((new, parts[right]), none)[0]) >= 0:
+                    ranks[k] = rank
+                    push(waiting, rank << 40 | k)
+            left = before[k]
+            if left >= 0:
+                ranks[left] = rank = pairs.get((parts[left], new), none)[0]
+                if rank >= 0:
+                    push(waiting, rank << 40 | left)
+        return [x for x in parts if x >= 0]
+
     def _chunks_encoded(self, chunks: list[str]) -> list[bytes]:
         """Packed ids of distinct chunks without white space; their distinct words side by side, a rank array a row."""
         # lower-cased letter by letter: a final sigma has no form of its own here
@@ -218,6 +253,7 @@ def bpe(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                         [part.column(0).slice(k, 1000), pa.array([len(x) // 4 for x in own], pa.int64()), pa.array(own, pa.binary()), pa.array(back, pa.binary()).cast(pa.string())],
                         names=["doc_id", "n_tokens", "ids", "decoded"],
                     )
+        words.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
