@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,13 +13,19 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.common import save, small
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+#: A run of digits is taken whole (possessive) and only from its start, so that no run is scanned once for each digit.
 _PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: Credentials, which are protected entities too: keys of a known form, and values with a digit that a label announces.
+_KEY = re.compile(r"\b(?:(AKIA|ASIA)[0-9A-Z]{16}|(ghp_|gho_|glpat-|sk_live_|xox[abp]-)[A-Za-z0-9-]{16,})(?![A-Za-z0-9])")
+_LABELLED = re.compile(r"(?i:(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\w{0,16})[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?=[^\s\"']{0,200}[0-9])([A-Za-z0-9+/_.~=@!#$%^&*-]{8,})")
+_LABEL = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)")
 _DIGIT = re.compile("[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 #: Words on each side of a base span that count as its surroundings.
@@ -50,39 +57,95 @@ def _passes(kind: str, found: str) -> bool:
     return True
 
 
+def _emails(text: str) -> list[tuple[int, int, str]]:
+    """Leftmost addresses: what may stand before an @, back to the last match, then the domain."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        a = at
+        while a > end and text[a - 1] in _LOCAL:
+            a -= 1
+        if a < at and (m := _DOMAIN.match(text, at + 1)):
+            end = m.end()
+            out.append((a, end, "email"))
+        at = text.find("@", max(at + 1, end))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, by start, then kind as listed; matches that fail their test are dropped."""
-    kinds = ["email"] if "@" in text else []
+    """(start, end, kind) in code points, by start, then kind as listed; matches that fail their test are dropped.
+
+    The time grows with the length of the text, whatever it holds.
+    """
+    kinds = []
     if _DIGIT.search(text):
-        kinds += ["ip"] * ("." in text) + ["card"] + ["phone"] * ("+" in text)
+        kinds = ["ip"] * ("." in text) + ["card"] + ["phone"] * ("+" in text)
     spans = [(m.start(), m.end(), k) for k in kinds for m in _PATTERNS[k].finditer(text) if _passes(k, m[0])]
+    return _in_order((_emails(text) if "@" in text else []) + spans)
+
+
+def secret_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans of credentials, not overlapping: keys of a known form, then labelled values."""
+    if not _DIGIT.search(text):
+        return []
+    found = [(*m.span(), "secret") for m in _KEY.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [(*m.span(2), "secret") for m in _LABELLED.finditer(text)]
+    out, end = [], 0
+    for a, b, k in sorted(found):
+        if a >= end:
+            out.append((a, b, k))
+            end = b
+    return out
+
+
+def _in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _joined_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Disjoint ranges that the spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def _surroundings(text: str, a: int, b: int) -> set[str]:
-    reach = 40 * CONTEXT
-    return {*(w.lower() for w in _WORD.findall(text[max(0, a - reach) : a])[-CONTEXT:]), *(w.lower() for w in _WORD.findall(text[b : b + reach])[:CONTEXT])}
+def _surroundings(found: list[tuple[int, int, str]], a: int, b: int) -> set[str]:
+    """The CONTEXT words before and after a span; `found` are the text's words with their places."""
+    before, after = bisect_right(found, a, key=lambda w: w[1]), bisect_left(found, b, key=lambda w: w[0])
+    return {w.lower() for _, _, w in (*found[max(0, before - CONTEXT) : before], *found[after : after + CONTEXT])}
 
 
-def _names(kind: str, found: str) -> tuple[str, str]:
-    """The entity, and what it shares with others: mail domain, network, issuer of a card, area of a phone number."""
-    digits = "".join(_DIGIT.findall(found))
-    shared = {"email": found[found.rfind("@") :], "ip": ".".join(found.split(".")[:2]) + ".*", "card": digits[:6] + "*", "phone": "+" + digits[:4] + "*"}
-    return f"{kind}:{found}", f"{kind} of {shared[kind]}"
+def _names(text: str, a: int, b: int, kind: str) -> tuple[str, str]:
+    """The entity, and what it shares with others: mail domain, network, issuer of a card, area of a phone number, the
+    first letters of a key or the label of another credential."""
+    found = text[a:b].lower()
+    digits = "".join(_DIGIT.findall(found)) if kind in ("card", "phone") else ""
+    if kind == "secret":
+        label = _LABELLED.match(text, m.start()) if (m := _LABEL.search(text, max(0, a - 40), a)) else None
+        shared = label[1].lower() if label and label.start(2) == a else found[:4] + "*"
+    else:
+        shared = {"email": found[found.rfind("@") :], "ip": ".".join(found.split(".")[:2]) + ".*", "card": digits[:6] + "*", "phone": "+" + digits[:4] + "*"}[kind]
+    return f"{kind}:{found}", f"{kind} of {shared}"
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two rows for each base span: the entity or its group, the text it stands in and the terms around it."""
+    """Two rows for each base span or credential: the entity or its group, the text it stands in and the terms around it."""
     for batch in batches:
         out = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for a, b, k in base_spans(text):
-                near = sorted(_surroundings(text, a, b))
-                out += [(e, key, near) for e in _names(k, text[a:b].lower())]
+            spans = base_spans(text) + secret_spans(text)
+            found = [(*m.span(), m[0]) for m in _WORD.finditer(text)] if spans else []
+            for a, b, k in spans:
+                near = sorted(_surroundings(found, a, b))
+                out += [(e, key, near) for e in _names(text, a, b, k)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["entity", "text_key", "terms"])
 
@@ -144,14 +207,14 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     return scored.select("term", F.when(F.col("share") >= REMOVAL, "remove").otherwise("generalise").alias("action"))
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string, sanitised string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_secret long, n_term long, base_spans string, spans string, sanitised string"
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts of base matches, base_spans and spans (kind:start:end, code points), sanitised.
+    """One row per document: counts by kind, base_spans and spans (kind:start:end, code points), sanitised.
 
-    Base kinds are replaced by [EMAIL], [IP], [CARD] and [PHONE]; a disclosing term, wherever it stands outside base
-    spans, is generalised to [TERM] or removed. Overlapping base spans are replaced together, under the first kind.
+    Base kinds and credentials are replaced by [EMAIL], [IP], [CARD], [PHONE] and [SECRET]; a disclosing term, wherever it stands outside
+    these, is generalised to [TERM] or removed. Overlapping spans are replaced together, under the first kind.
     Null and empty texts have no spans and an empty sanitised text. An empty table gives no rows; repeated rows
     repeat; other columns are ignored. Of ties, spans with the same start, the kind listed first comes first.
     """
@@ -175,24 +238,27 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 if not shared:
                     actions = dict(batch.column(2)[k].as_py() or ())
                     known = frozenset(actions)
-                base = base_spans(text)
+                base, more, action = base_spans(text), secret_spans(text), {}
                 n = Counter(k for _, _, k in base)
-                more, action = [], {}
+                n["secret"] = len(more)
                 if known and known.intersection(words_in(text)):
-                    ends = [(a, b) for a, b, _ in base]
+                    taken = _joined_spans(base + more)
                     for m in _WORD.finditer(text):
-                        if (w := m[0].lower()) in known and not any(a < m.end() and m.start() < b for a, b in ends):
-                            more.append((m.start(), m.end(), "term"))
-                            action[m.start()] = actions[w]
-                spans = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+                        if (w := m[0].lower()) in known:
+                            at = bisect_right(taken, m.start(), key=lambda s: s[1])  # the first that ends behind the word's start
+                            if at == len(taken) or taken[at][0] >= m.end():
+                                more.append((m.start(), m.end(), "term"))
+                                action[m.start()] = actions[w]
+                n["term"] = len(action)
+                spans = _in_order(base + more)
                 clean, at = [], 0
                 for a, b, k in spans:
                     if a >= at:
                         clean += [text[at:a], "" if action.get(a) == "remove" and k == "term" else f"[{k.upper()}]"]
                     at = max(at, b)
-                out.append((n["email"], n["ip"], n["card"], n["phone"], joined(base), joined(spans), "".join(clean) + text[at:] if spans else None))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            types = [pa.int64()] * 4 + [pa.string()] * 3
+                out.append((*(n[k] for k in KINDS), joined(base), joined(spans), "".join(clean) + text[at:] if spans else None))
+            columns = list(zip(*out, strict=True)) or [[]] * 9
+            types = [pa.int64()] * 6 + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), batch.column(1)], names=[*(x.split()[0] for x in SCHEMA.split(", ")), "text"])
 
     return rows.mapInArrow(run, SCHEMA + ", text string").withColumn("sanitised", F.coalesce("sanitised", "text")).drop("text")

@@ -56,7 +56,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.sanitise(table(spark, sf_dir, "documents"))
     return out.select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256")
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_secret", "n_term", (F.expr("n_email + n_ip + n_card + n_phone + n_secret + n_term")).alias("n_spans"), F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256")
     )
 
 
