@@ -1,8 +1,8 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequence and answer checks.
 
-1. Whole documents become numbers of benchmark words (other words keep their places, as -1).
-2. Document frequencies over all passages of 32 words.
-3. One distributed pass sketches A'A of the TF-IDF passage matrix A with a random test matrix; the Nystrom form of the
+1. Whole documents become numbers of benchmark words (other words keep their places, as -1), once for all items.
+2. Frequencies of these words over all passages of 32 words.
+3. For each block of items one distributed pass sketches A'A of the TF-IDF passage matrix A with a random test matrix; the Nystrom form of the
    randomised SVD gives the leading right singular vectors.
 4. Windows of every document and the items are compared by cosine in that space; candidates are verified word by word.
 5. What the cosine loses is found exactly: an item's rarest words that together weigh more than may be missing are its
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import words
-from tidewright.llm.common import save, small
+from tidewright.llm.common import drop, save, small
 
 #: Words of a passage; latent dimensions and extra columns of the sketch; items that are searched at once.
-PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 5_000
+PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 2_000
+#: Items of fewer words are sought as exact phrases.
+PHRASE = 3
 #: (longest item, window, stride) by item length: an item fills most of some window.
 SCALES = ((24, 24, 10), (56, 56, 20), (1 << 30, 112, 40))
 #: Words, a multiple of PASSAGE, windows and pairs of a place and an item that are handled at once: they bound a task's memory, not what it handles.
@@ -35,24 +37,32 @@ COSINE, COMMON, WEIGHT, ANSWER = 0.55, 0.7, 0.7, 0.5
 #: Words of more than this share of the passages carry no latent features, but for each item's RAREST rarest.
 FREQUENT, RAREST = 0.03, 3
 
+
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(words.SIGNS).split()
 
 
-def _numbered(vocabulary):
-    """Packed numbers of a text's words, -1 for words that no item has."""
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = sorted({w for t in batch.column(0).cast(pa.binary()).to_pylist() for w in words_of(t)})
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["word"])
+
+
+def _numbered(keys, kind):
+    """Packed numbers of a text's words, places of their hashes in the sorted keys; -1 for words that no item has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, numbers = vocabulary.value
-        kind = np.int16 if len(keys) < 32_000 else np.int32
+        known = keys.value
         for batch in batches:
-            out = []
-            for _, counts, h in words.blocks(batch.column(1), words.SIGNS):
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                ids = np.where(keys[at] == h, numbers[at], -1).astype(kind)
-                data, ends = ids.tobytes(), (np.concatenate(([0], np.cumsum(counts))) * ids.itemsize).tolist()
-                out += [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            for part in words.by_size(batch, 2, 8 << 20):
+                out = []
+                for _, counts, h in words.blocks(part.column(2), words.SIGNS):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    ids = np.where(known[at] == h, at, -1).astype(kind)
+                    data, ends = ids.tobytes(), (np.concatenate(([0], np.cumsum(counts))) * ids.itemsize).tolist()
+                    out += [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "text_key", "ids"])
+        words.release()
 
     return run
 
@@ -82,18 +92,13 @@ def _entries(ids: np.ndarray, lengths: np.ndarray, v: int) -> tuple[np.ndarray,
     return keys // v, keys % v, n
 
 
-def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
-
-
 def _frequencies(kind, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, total = np.zeros(v, np.int64), 0
         for batch in batches:
             for ids, lengths in _pieces(batch, kind):
-                passage, word, _ = _entries(ids, lengths, v)
-                df += np.bincount(word, minlength=v)
-                total += len(np.unique(passage))
+                df += np.bincount(_entries(ids, lengths, v)[1], minlength=v)
+                total += int((-(-lengths // PASSAGE)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([df.tobytes()], pa.binary())], names=["n", "df"])
 
     return run
@@ -103,10 +108,11 @@ def _sketched(kind, shared):
     """Each task's share of A' (A Omega), rows of A being unit TF-IDF vectors of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, used, omega = shared.value
+        local, idf, used, omega = shared.value
         v, total = len(idf), np.zeros(omega.shape, np.float64)
         for batch in batches:
             for ids, lengths in _pieces(batch, kind):
+                ids = local[ids]
                 passage, word, n = _entries(ids, lengths, v)
                 own = used[word]
                 passage, word, n = passage[own], word[own], n[own]
@@ -124,6 +130,7 @@ def _sketched(kind, shared):
                 row = np.repeat(np.arange(len(heads)), sizes)[order]
                 total[w[at]] += np.add.reduceat(y[row] * x[order][:, None], at, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["z"])
+        words.release()
 
     return run
 
@@ -144,27 +151,13 @@ def _total(rows: DataFrame, column: str, dtype, shape) -> np.ndarray:
     return sum((np.frombuffer(p["x"], dtype) for p in parts), np.zeros(int(np.prod(shape)), dtype)).reshape(shape)
 
 
-def _common_subsequence(item: list[int], words: list[int]) -> int:
-    """Length of the longest common subsequence, a machine word of the item at a time (bit-parallel)."""
-    place: dict[int, int] = {}
-    for k, w in enumerate(item):
-        place[w] = place.get(w, 0) | 1 << k
-    full = (1 << len(item)) - 1
-    v = full
-    for w in words:
-        if m := place.get(w, 0):
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
-
-
 def _least(item: list[int]) -> float:
     return COMMON if len(item) >= 12 else 0.9
 
 
-def _verified(item: list[int], weight: np.ndarray, words: np.ndarray) -> float:
+def _verified(item: list[int], weight: np.ndarray, stretch: np.ndarray) -> float:
     """Share of the item in the common subsequence, or 0 if a check fails."""
-    near = words[words >= 0]
+    near = stretch[stretch >= 0]
     held = frozenset(near.tolist())
     own = list(dict.fromkeys(item))
     idf = weight[own]
@@ -173,7 +166,7 @@ def _verified(item: list[int], weight: np.ndarray, words: np.ndarray) -> float:
     answer = item[-max(2, len(item) // 4) :]
     if sum(w in held for w in answer) < ANSWER * len(answer):
         return 0.0
-    share = _common_subsequence(item, near.tolist()) / len(item)
+    share = words.common_subsequence(item, near.tolist()) / len(item)
     return share if share >= _least(item) else 0.0
 
 
@@ -182,17 +175,17 @@ def span(length: int) -> int:
     return next((window for most, window, _ in SCALES[:-1] if length <= most), max(SCALES[-1][1], length)) + length + 8
 
 
-def _pivots(items: list[list[int]], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pivots(items: list[list[int]], weight: np.ndarray, wanted: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each word where its items start in a list, and that list: the items of which the word is a pivot."""
     pivots, of = [], []
-    for i, x in enumerate(items):
-        own = sorted(set(x), key=lambda w: (-weight[w], w))
+    for i in range(len(items)) if wanted is None else wanted:
+        own = sorted(set(items[i]), key=lambda w: (-weight[w], w))
         total = np.cumsum(weight[own])
         most = int(np.searchsorted(total, (1 - WEIGHT) * total[-1] + 1e-9, side="right")) + 1
         pivots += own[:most]
         of += [i] * len(own[:most])
     order = np.argsort(pivots, kind="stable")
-    return np.searchsorted(np.array(pivots)[order], np.arange(len(weight) + 1)), np.array(of)[order]
+    return np.searchsorted(np.array(pivots, np.int64)[order], np.arange(len(weight) + 1)), np.array(of, np.int64)[order]
 
 
 def _pivots_verified(ids, lengths, pivots, items, weight, hits) -> None:
@@ -230,27 +223,50 @@ def _pivots_verified(ids, lengths, pivots, items, weight, hits) -> None:
             mask[x] = False
 
 
+def _phrases_found(ids, lengths, phrases: np.ndarray, of: list[list[int]], v: int, hits) -> None:
+    """Adds items of one or two words, wherever they stand; phrases are sorted keys (first + 1) (v + 1) + second + 1."""
+    if not len(phrases) or not len(ids):
+        return
+    ends = np.cumsum(lengths)
+    first, second = ids + 1, np.append(ids[1:], -1) + 1
+    second[ends[lengths > 0] - 1] = 0  # the last word of a document has none behind it
+    for keys in (first * (v + 1), first * (v + 1) + second):
+        at = np.minimum(np.searchsorted(phrases, keys), len(phrases) - 1)
+        for place in np.flatnonzero((phrases[at] == keys) & (first > 0)).tolist():
+            found = hits[int(np.searchsorted(ends, place, side="right"))]
+            found.update(dict.fromkeys(of[at[place]], 1.0))
+
+
 def _searched(kind, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, used, vectors, items, names = shared.value
-        pivots = _pivots(items, weight)
+        local, weight, used, vectors, items, names = shared.value
+        long = [i for i, x in enumerate(items) if len(x) >= PHRASE]
+        pivots = _pivots(items, weight, long)
+        v = len(weight)
+        short: dict[int, list[int]] = {}
+        for i, x in enumerate(items):
+            if len(x) < PHRASE:
+                short.setdefault((x[0] + 1) * (v + 1) + (x[1] + 1 if len(x) > 1 else 0), []).append(i)
+        phrases, of = np.array(sorted(short), np.int64), [short[k] for k in sorted(short)]
         groups = []
         for k, (most, window, stride) in enumerate(SCALES):
             least = SCALES[k - 1][0] if k else 0
-            own = [i for i, x in enumerate(items) if least < len(x) <= most]
+            own = [i for i in long if least < len(items[i]) <= most]
             if own:
                 q = np.array([vectors[items[i]].sum(axis=0) for i in own])
                 groups.append((min(window, max(len(items[i]) for i in own) * 2), stride, own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)))
         used = np.append(used, False)  # -1 is the last
         for batch in batches:
-            for part in _parts(batch, 500):
-                data = part.column(1).to_pylist()
-                ids, lengths = np.frombuffer(b"".join(data), kind), np.array([len(d) for d in data]) // np.dtype(kind).itemsize
+            for part in words.by_size(batch, 2, 1 << 20):
+                data = part.column(2).to_pylist()
+                ids, lengths = local[np.frombuffer(b"".join(data), kind)], np.array([len(d) for d in data]) // np.dtype(kind).itemsize
                 hits = _candidates_verified(ids, lengths, used, vectors, groups, items, weight)
                 _pivots_verified(ids, lengths, pivots, items, weight, hits)
-                found = [sorted(names[i] for i in h) for h in hits]
+                _phrases_found(ids, lengths, phrases, of, v, hits)
+                found = [sorted({names[i] for i in h}) for h in hits]
                 scores = [float(max(h.values(), default=0)) for h in hits]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64())], names=["doc_id", "item_ids", "overlap"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64())], names=["doc_id", "text_key", "item_ids", "overlap"])
+        words.release()
 
     return run
 
@@ -291,46 +307,67 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII letters. An item is found in a document where a window
     is a candidate by latent cosine and 70 % of the item's words (90 % of a short item's) stand there in the item's
     order, with 70 % of its IDF weight and half of its answer, the last quarter; or where this holds in any stretch of
-    span() words, whatever the cosine. Null and empty texts and items of
-    under three words match nothing; repeated item texts are all named; repeated document rows repeat; an empty
-    documents table gives no rows, an empty benchmark leaves all clean; other columns are ignored. Items are handled in blocks of 5,000, each of which is
-    broadcast; the documents are read once for each block.
+    span() words, whatever the cosine. Items of one or two words are found where they stand as a phrase. Null, empty
+    and wordless texts and items match nothing; repeated item texts are all named; repeated document rows repeat; an
+    empty documents table gives no rows, an empty benchmark leaves all clean; other columns are ignored.
+
+    The benchmark's distinct words are broadcast (8 bytes each), and its items in blocks of 2,000. Texts are read once
+    and their numbers again for each block; words weigh the same in every block, so blocks don't change what is found.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    blocks = max(1, -(-items.count() // BLOCK))
-    out = None
-    for k in range(blocks):
-        own = items.where(F.abs(F.xxhash64("item")) % blocks == k).orderBy("item", "text").collect()
-        found = _find_block(rows, [(r["item"], words_of(r["text"].encode())) for r in own], spark)
-        out = found if out is None else out.unionByName(found)
-    if blocks > 1:
-        out = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("overlap").alias("overlap"))
-    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap")
-
-
-def _find_block(rows: DataFrame, items: list[tuple[int, list[bytes]]], spark) -> DataFrame:
-    items = [(i, w) for i, w in items if len(w) >= 3]
-    vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
+    vocabulary = [bytes(r["word"]) for r in items.select("text").mapInArrow(_vocabulary, "word binary").distinct().collect()]
     v = len(vocabulary)
     if not v:
-        return rows.select("doc_id", F.array().cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("overlap"))
+        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.array().cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("overlap"))
+    hashes = words.hashed_words(b" ".join(vocabulary))[1]
+    order = np.argsort(hashes)
+    number = {vocabulary[k]: i for i, k in enumerate(order.tolist())}
     kind = np.int16 if v < 32_000 else np.int32
-    starts, keys = words.hashed_words(b" ".join(vocabulary))
-    order = np.argsort(keys)
-    numbered = save(rows.mapInArrow(_numbered(spark.sparkContext.broadcast((keys[order], order))), "doc_id long, ids binary"), "numbered")
+    numbered = save(rows.mapInArrow(_numbered(spark.sparkContext.broadcast(hashes[order]), kind), "doc_id long, text_key long, ids binary"), "numbered")
     counted = save(numbered.select("ids").mapInArrow(_frequencies(kind, v), "n long, df binary"), "passage-frequencies")
     df, n = _total(counted, "df", np.int64, (v,)), counted.agg(F.sum("n")).first()[0] or 0
+    drop(counted)
+    blocks = max(1, -(-items.count() // BLOCK))
+    found = []
+    for k in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
+        own = [(r["item"], ws) for r in own if (ws := [number[w] for w in words_of(r["text"].encode())])]
+        if own:
+            found.append(_search_block(numbered, own, df, n, kind))
+    if len(found) == 1:
+        out = found[0]
+    else:  # equal texts are found alike, so rows of one id and text have one result
+        hits = found[0]
+        for other in found[1:]:
+            hits = hits.unionByName(other)
+        hits = hits.where("size(item_ids) > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("overlap").alias("overlap"))
+        out = numbered.select("doc_id", "text_key").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+        out = out.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    out = save(out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap"), "contamination")
+    drop(numbered)
+    return out
+
+
+def _search_block(numbered: DataFrame, items: list[tuple[int, list[int]]], df: np.ndarray, n: int, kind) -> DataFrame:
+    """(doc_id, text_key, item_ids, overlap) of all documents for a block of items; its words are numbered anew."""
+    spark = numbered.sparkSession
+    own = np.array(sorted({w for _, ws in items for w in ws}))
+    v = len(own)
+    local = np.full(len(df) + 1, -1, np.int64)  # the last stands for -1
+    local[own] = np.arange(v)
+    numbers = [local[ws].tolist() for _, ws in items]
+    df = df[own]
     idf = np.log((1 + n) / (1 + df)) + 0.05
-    numbers = [[vocabulary[w] for w in ws] for _, ws in items]
     used = df <= FREQUENT * n
     for x in numbers:
         used[sorted(set(x), key=lambda w: (df[w] == 0, df[w], w))[:RAREST]] = True  # words that no passage holds find nothing
     width = min(RANK + EXTRA, v)
     omega = np.random.default_rng(7).standard_normal((v, width)).astype(np.float32) * used[:, None]
-    sketch = save(numbered.select("ids").mapInArrow(_sketched(kind, spark.sparkContext.broadcast((idf, used, omega))), "z binary"), "sketch")
+    sketch = save(numbered.select("ids").mapInArrow(_sketched(kind, spark.sparkContext.broadcast((local, idf, used, omega))), "z binary"), "sketch")
     z = _total(sketch, "z", np.float32, (v, width)).astype(np.float64)
+    drop(sketch)
     # Nystrom: A'A is near Z (Omega' Z)^-1 Z'; its leading eigenvectors are A's right singular vectors
     shift = 1e-6 * max(np.linalg.norm(z), 1e-12)
     z = z + shift * omega
@@ -343,8 +380,8 @@ def _find_block(rows: DataFrame, items: list[tuple[int, list[bytes]]], spark) ->
     # next to nothing are noise of the sketch, and go
     scale = np.where(sigma[:rank] >= NOISE * sigma[0], 1 / np.maximum(sigma[:rank], 0.1 * sigma[0] + 1e-12), 0.0)
     vectors = u[:, :rank] * (idf * used)[:, None] * scale
-    shared = spark.sparkContext.broadcast((idf, used, vectors, numbers, [i for i, _ in items]))
-    return numbered.mapInArrow(_searched(kind, shared), "doc_id long, item_ids array<long>, overlap double")
+    shared = spark.sparkContext.broadcast((local, idf, used, vectors, numbers, [i for i, _ in items]))
+    return numbered.mapInArrow(_searched(kind, shared), "doc_id long, text_key long, item_ids array<long>, overlap double")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
