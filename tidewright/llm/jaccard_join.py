@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewright.llm import words
 from tidewright.llm.common import drop, partitions, save, small
@@ -234,8 +233,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A-Z is lower-cased, words are what stands between ASCII white space; a document's set holds its distinct five-word
     shingles, or the whole sequence if it has fewer words; null, empty and wordless documents have an empty set and
-    link with nothing. Documents link when 100 * intersection >= 75 * union. Equal sets link; a row that is repeated
-    with the same doc_id is one document; rows with a null doc_id are dropped. Other columns are ignored.
+    link with nothing. Documents link when 100 * intersection >= 75 * union. Equal sets link. Repeated rows repeat; rows
+    that share a doc_id are one document, compared by one of their texts (that of the smallest digest) where the texts
+    differ. A row with a null doc_id has its n_shingles, a null component_id and no links. Other columns are ignored.
 
     Equal sets collapse first. The rest keeps the first quarter of its shingles, rare ones first, and documents with
     the same prefix and size form one group. Groups meet where they share a prefix shingle. Dense clusters are joined
@@ -245,20 +245,24 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     bits = max(6, min(16, (16 * partitions(spark) - 1).bit_length()))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    nameless, texts = texts.where("doc_id is null"), texts.where("doc_id is not null")
     common = spark.sparkContext.broadcast(_common_shingles(texts, bits))
     sets = save(texts.mapInArrow(_prefixes(common, bits), _PREFIX), "prefixes")
     full = sets.where("n > 0")
     same = save(full.groupBy("content", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "same-sets")
 
     # groups of equal prefix and size, over one document for each distinct set
-    reps = full.select("doc_id", "n", "content", "prefix_key").join(same.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    reps = full.select("doc_id", "n", "content", "prefix_key").join(same.select("content", F.col("rep").alias("doc_id")), ["content", "doc_id"], "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.min(F.struct("content", "n", "prefix_key")).alias("x")).select("doc_id", "x.*")
     groups = reps.groupBy("n", "prefix_key").agg(F.min("doc_id").alias("group_id"))
-    members = save(reps.join(groups, ["n", "prefix_key"]).select("doc_id", "n", "group_id"), "members")
-    heads = members.where("doc_id = group_id").select("doc_id")
-    entries = full.join(small(heads, heads.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("group_id"), "n", "prefix").mapInArrow(_unfold, "token long, pos int, n int, group_id long")
-    by_token = Window.partitionBy("token")
-    shared = save(entries.withColumn("sharers", F.count(F.lit(1)).over(by_token)).where("sharers > 1").drop("sharers"), "shared")
+    members = save(reps.join(groups, ["n", "prefix_key"]).select("doc_id", "n", "group_id", "content"), "members")
+    heads = members.where("doc_id = group_id").select("doc_id", "content")
+    entries = full.join(small(heads, heads.count()), ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("group_id"), "n", "prefix")
+    entries = save(entries, "entries").mapInArrow(_unfold, "token long, pos int, n int, group_id long")
+    # counts are added up before they are shuffled; the join may split a shingle that very many groups share
+    tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    shared = save(entries.join(tokens, "token", "left_semi"), "shared")
 
     # one hub per shingle and size class, and per group
     size_class = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
@@ -278,24 +282,32 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.unionByName(found)
         drop(pairs)
         component = _components_of(members, links)
-    # what is left: all pairs of documents in different components that share a prefix shingle
-    rest = shared.join(members.select("group_id", "doc_id"), "group_id").join(component, "doc_id")
-    mixed = rest.groupBy("token").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("token")
-    rest = save(rest.join(mixed, "token", "left_semi").select("token", "pos", "n", "doc_id", "component_id"), "rest")
-    r = rest.select("token", *(F.col(c).alias(f"{c}_") for c in ("pos", "n", "doc_id", "component_id")))
-    may = f"{DEN} * least(n, n_) >= {NUM} * greatest(n, n_) and {NUM + DEN} * (1 + least(n - pos, n_ - pos_) - 1) >= {NUM} * (n + n_)"
-    pairs = rest.join(r, "token").where("doc_id < doc_id_ and component_id <> component_id_").where(may).select(F.col("doc_id").alias("a"), F.col("doc_id_").alias("b")).distinct()
-    inside = members.select("group_id", F.col("doc_id").alias("b")).join(members.where("doc_id <> group_id").select("group_id", F.col("doc_id").alias("a")), "group_id").where("a < b")
-    inside = inside.join(component.select(F.col("doc_id").alias("a"), F.col("component_id").alias("ca")), "a").join(component.select(F.col("doc_id").alias("b"), F.col("component_id").alias("cb")), "b").where("ca <> cb").select("a", "b")
-    pairs = save(pairs.unionByName(inside).distinct(), "cross-pairs")
+    # what is left: all pairs of documents in different components that share a prefix shingle or a group
+    rest = shared.join(members.select("group_id", "doc_id"), "group_id").join(component, "doc_id").select(F.struct("token").alias("key"), "pos", "n", "doc_id", "component_id")
+    inside = members.join(component, "doc_id").select(F.struct("group_id").alias("key"), F.lit(0).alias("pos"), "n", "doc_id", "component_id")
+    pairs = save(_across(rest).unionByName(_across(inside)).distinct(), "cross-pairs")
     links = links.unionByName(_linked(pairs, texts, "cross-links"))
     component = _components_of(members, links)
-    drop(pairs, rest, shared)
+    drop(pairs, shared)
 
     # back to all documents: through its set's representative; the smallest document of a component is one
     of_set = same.join(component, same["rep"] == component["doc_id"]).select("content", "component_id")
     labelled = full.select("doc_id", "n", "content").join(of_set, "content").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return labelled.unionByName(sets.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    alone = nameless.mapInArrow(_prefixes(common, bits), _PREFIX).unionByName(sets.where("n = 0"))
+    return labelled.unionByName(alone.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of different components that share a key, where sizes and the places of what they
+    share allow the similarity. Components are paired first, so documents of one component never meet."""
+    mixed = rows.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("key")
+    rows = save(rows.join(mixed, "key", "left_semi"), "mixed")
+    held = rows.groupBy("key", "component_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    side = lambda df, s: df.select("key", *(F.col(c).alias(c + s) for c in df.columns if c != "key"))
+    both = side(held, "_a").join(side(held, "_b"), "key").where("component_id_a < component_id_b").where(f"{DEN} * most_a >= {NUM} * least_b and {DEN} * most_b >= {NUM} * least_a")
+    pairs = both.select("key", "component_id_a", "component_id_b").join(side(rows, "_a"), ["key", "component_id_a"]).join(side(rows, "_b"), ["key", "component_id_b"])
+    may = f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {NUM + DEN} * least(n_a - pos_a, n_b - pos_b) >= {NUM} * (n_a + n_b)"
+    return pairs.where(may).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
 
 def _components_of(members: DataFrame, links: DataFrame) -> DataFrame:
