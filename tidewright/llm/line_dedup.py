@@ -61,12 +61,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     occurrences cover go, unless a first occurrence covers them too. Documents of fewer than three lines have no
     window and stay. Null text stays null and has 0 lines; text whose lines all go becomes empty. Rows that
     repeat the same id and text are one document: each stays first where the other does. An empty table gives no rows;
-    other columns pass through.
+    other columns pass through, whatever their names, but for names that begin with line_dedup_, which raise an error.
     """
+    private = [f"line_dedup_{c}" for c in ("n_lines", "n_removed", "removed", "lines", "id", "key")]
+    if clash := sorted(set(private) & set(docs.columns)):
+        raise ValueError(f"documents have columns of these names already: {clash}")
     gone = removed_lines(docs.select(id_col, text_col), id_col, text_col)
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("doc_key")) & (F.xxhash64(docs[text_col]) == F.col("text_key")), "left")
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col))))
-    removed = F.coalesce(F.col("removed"), F.array().cast("array<struct<first:int,last:int>>"))
+    gone = gone.select(F.col("doc_key").alias("line_dedup_id"), F.col("text_key").alias("line_dedup_key"), F.col("removed").alias("line_dedup_removed"))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("line_dedup_id")) & (F.xxhash64(docs[text_col]) == F.col("line_dedup_key")), "left")
+    n = F.when(docs[text_col].isNull(), 0).otherwise(F.size(_lines(docs[text_col])))
+    removed = F.coalesce("line_dedup_removed", F.array().cast("array<struct<first:int,last:int>>"))
     joined = joined.select(*[docs[c] for c in docs.columns], n.alias("line_dedup_n_lines"), removed.alias("line_dedup_removed"))
     cuts, lines = F.col("line_dedup_removed"), _lines(F.col(text_col))
     kept = F.transform(
