@@ -32,7 +32,7 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         buckets = (h >> np.uint64(64 - BITS)).astype(np.int32)
         end = 0
         for k, n in enumerate(counts.tolist()):
-            own = np.unique(buckets[end : end + n])
+            own = np.unique(buckets[end : end + n])  # a wordless text has no word, but may have signs
             end += n
             data = np.frombuffer(texts[first + k] or b"", np.uint8)
             if not len(data):
@@ -41,7 +41,10 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             n_bytes = np.bincount(data, minlength=256)
             signs = np.append(n_bytes[_SIGNS], n_bytes[0x41:0x5B].sum())
             held = np.flatnonzero(signs > 0.3 * (n + 1))
-            yield np.concatenate([own, _SIGN_BUCKETS[held]]), np.concatenate([np.ones(len(own), np.float32), (1 + np.log1p(signs[held] / (n + 1))).astype(np.float32)])
+            ids = np.concatenate([own, _SIGN_BUCKETS[held]])
+            values = np.concatenate([np.ones(len(own), np.float32), (1 + np.log1p(signs[held] / (n + 1))).astype(np.float32)])
+            ids, at = np.unique(ids, return_inverse=True)  # a word and a sign of one bucket are one feature
+            yield ids, np.bincount(at, weights=values, minlength=len(ids)).astype(np.float32)
 
 
 def _tail(score: float, cuts: np.ndarray) -> np.ndarray:
@@ -75,9 +78,24 @@ def _fit_shard(rows: list[tuple[int, np.ndarray, np.ndarray]], w: np.ndarray, cu
     return w, cuts
 
 
+def _shard_fitter(seed: int, start):
+    def run(key, table):
+        w0, cuts0 = start.value
+        table = table.sort_by("doc_id")
+        own = [(g, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for g, i, x in zip(*(table.column(c).to_pylist() for c in ("grade", "ids", "x")), strict=True)]
+        df = np.bincount(np.concatenate([i for _, i, _ in own]), minlength=1 << BITS)
+        own = [(g, i[df[i] >= LEAST_DF], x[df[i] >= LEAST_DF]) for g, i, x in own]
+        w, cuts = _fit_shard(own, w0, cuts0, seed)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(own)], pa.int64()), "w": pa.array([w.tobytes()], pa.binary()), "cuts": pa.array([cuts.tobytes()], pa.binary())})
+
+    return run
+
+
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade") -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds. Shards of a bounded sample of rated documents fit side by side; their averages, weighted
     by rows, start the next round. Rows with a null or unknown grade teach nothing; with no rated row all weights are 0.
+    Of documents that share an id one teaches, that of the smallest text. Shards are dealt by a hash of the id and sorted
+    by it: the model depends on the rows alone, not on how they were read or shuffled.
     """
     spark = docs.sparkSession
     rated = ratings.select(F.col(id_col).cast("long").alias("doc_id"), F.col(grade_col).cast("int").alias("grade")).where(f"doc_id is not null and grade between 0 and {GRADES - 1}")
@@ -87,27 +105,19 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(g, *(x.tobytes() for x in t)) for g, t in zip(batch.column(0).to_pylist(), features(batch.column(1)), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["grade", "ids", "x"])
+            for part in words.by_size(batch, 2):
+                out = [(i, g, *(x.tobytes() for x in t)) for i, g, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), features(part.column(2)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "grade", "ids", "x"])
 
-    rows = save(sample.select("grade", "text").mapInArrow(prepare, "grade int, ids binary, x binary").repartition(SHARDS, F.xxhash64("ids")), "rated-features")
+    rows = sample.select("doc_id", "grade", "text").mapInArrow(prepare, "doc_id long, grade int, ids binary, x binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("ids", "x", "grade")).alias("r")).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).alias("shard"), "r.*")
+    rows = save(rows, "rated-features")
     w, cuts = np.zeros(1 << BITS, np.float32), np.linspace(-1.0, 1.0, GRADES - 1)
     for r in range(ROUNDS):
         start = spark.sparkContext.broadcast((w, cuts))
 
-        def shard(batches: Iterator[pa.RecordBatch], r=r, start=start) -> Iterator[pa.RecordBatch]:
-            w, cuts = start.value
-            own = []
-            for batch in batches:
-                own += [(g, np.frombuffer(i, np.int32), np.frombuffer(x, np.float32)) for g, i, x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            if own:
-                df = np.bincount(np.concatenate([i for _, i, _ in own]), minlength=1 << BITS)
-                own = [(g, i[df[i] >= LEAST_DF], x[df[i] >= LEAST_DF]) for g, i, x in own]
-                w, cuts = _fit_shard(own, w, cuts, seed=r)
-                yield pa.RecordBatch.from_arrays([pa.array([len(own)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([cuts.tobytes()], pa.binary())], names=["n", "w", "cuts"])
-
-        fitted = rows.mapInArrow(shard, "n long, w binary, cuts binary").collect()  # SHARDS rows of 1 MB
+        fitted = rows.groupBy("shard").applyInArrow(_shard_fitter(r, start), "shard long, n long, w binary, cuts binary").collect()  # SHARDS rows of 1 MB
+        fitted.sort(key=lambda f: f["shard"])
         n = sum(f["n"] for f in fitted)
         if not n:
             break
@@ -119,14 +129,14 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
 def grade(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, expected_grade (0 to 2), p_above_0, tail (P(grade = 2)), keep (tail >= 0.5).
 
-    The whole text counts. Null, empty and wordless texts have no evidence for them: expected grade 0, tail 0, not
-    kept. An empty table gives no rows; repeated rows repeat; other columns are ignored.
+    The whole text counts. Null and empty texts, and texts of white space alone, have no evidence for them: expected
+    grade 0, tail 0, not kept; a text of signs alone is graded by its signs. An empty table gives no rows; repeated rows repeat; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cuts = shared.value
-        for batch in batches:
+        for batch in (part for batch in batches for part in words.by_size(batch, 1)):
             tails = []
             for ids, x in features(batch.column(1)):
                 tails.append(_tail(float(w[ids] @ x), cuts) if len(ids) else np.zeros(len(cuts)))
