@@ -27,6 +27,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _OUTSIDE = frozenset("nav footer aside form dialog menu head button label".split())
+_LISTS = frozenset("ul ol menu dir".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names in class, id or role that mark what isn't the article.
 _NAMES = re.compile(
@@ -40,11 +41,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class _Blocks:
-    """Blocks of a page in order: text, characters in links, whether an article holds it, whether what holds it can't be one."""
+    """Blocks of a page in order: text, characters in links, whether what holds it can't be an article, whether an
+    article holds it, whether it is a heading, whether a list holds it."""
 
     def __init__(self, page: str):
-        self.found: list[tuple[str, int, bool, bool, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, outside, article
+        self.found: list[tuple[str, int, bool, bool, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, article, in a list
         self.parts: list[str] = []
         self.linked = 0
         self.links = 0
@@ -69,8 +71,8 @@ class _Blocks:
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            outside, article = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
-            self.found.append((text, min(self.linked, len(text)), outside, article, self.heading))
+            _, outside, article, listed = self.stack[-1] if self.stack else ("", False, False, False)
+            self.found.append((text, min(self.linked, len(text)), outside, article, self.heading, listed))
         self.parts, self.linked = [], 0
 
     def tag(self, name: str, closes: bool, attrs: str, at: int, page: str) -> int:
@@ -94,7 +96,7 @@ class _Blocks:
         if name == "hr":
             return at
         if closes:
-            if any(t == name for t, _, _ in self.stack):
+            if any(t == name for t, *_ in self.stack):
                 while self.stack.pop()[0] != name:
                     pass
             self.heading = False
@@ -103,7 +105,7 @@ class _Blocks:
             # an open paragraph, heading or item ends where the next of its kind begins
             while self.stack and self.stack[-1][0] in ("p", *_HEADINGS, *(("li",) if name == "li" else ())):
                 self.stack.pop()
-        outside, article = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, False)
+        _, outside, article, listed = self.stack[-1] if self.stack else ("", False, False, False)
         names = " ".join(x.strip("\"'") for x in _ATTRS.findall(attrs)) if attrs.strip() else ""
         if name in ("article", "main"):
             article = True
@@ -113,20 +115,21 @@ class _Blocks:
             outside = True
         outside = outside or bool(attrs and _HIDDEN.search(attrs))
         self.heading = name in _HEADINGS
-        self.stack.append((name, outside, article))
+        self.stack.append((name, outside, article, listed or name in _LISTS))
         return at
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page; blocks joined by a line end."""
     blocks = _Blocks(page or "").found
-    has_article = any(article and not outside for _, _, outside, article, _ in blocks)
+    has_article = any(article and not outside for _, _, outside, article, *_ in blocks)
     first = []
-    for text, linked, outside, article, heading in blocks:
+    for text, linked, outside, article, _, listed in blocks:
         words = _LETTERS.findall(text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = linked / len(text)
-        if outside or (has_article and not article) or (links > MOST_LINKS and not (has_article and len(text) > LONG)):
+        # of a marked article only lists of links go
+        if outside or (has_article and not article) or (links > (0.9 if has_article else MOST_LINKS) and (listed or not has_article)):
             first.append("bad")
         elif has_article:
             # inside a marked article the density rules can only be sure of what is good
