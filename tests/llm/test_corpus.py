@@ -151,8 +151,9 @@ def test_decontamination(spark, docs):
     paraphrase = " ".join(x if k % 7 else "changed" for k, x in enumerate(f"q{i}" for i in range(30)))
     more = spark.createDataFrame([(500, f"{TEXTS[-1][1]} {paraphrase} {TEXTS[-2][1]}"), (501, "Green hills are far. The zebra runs over green hills near seven quiet rivers today!"), (502, TEXTS[-3][1])], "doc_id long, text string")
     out = {r.doc_id: r.item_ids for r in decontaminate.find_contaminated(docs.select("doc_id", "text").unionByName(more), bench).collect()}
-    assert out[20] == [1] and out[500] == [2] and out[501] == [5]
-    assert all(not out[i] for i in (1, 2, 3, 4, 502))
+    assert 1 in out[20] and 2 in out[500] and out[501] == [5]
+    short = {i for i, t in [*TEXTS, (502, TEXTS[-3][1])] if t and "w1" in t.split()}  # an item of one word is a phrase
+    assert {i for i, ids in out.items() if 3 in ids} - {500} == short and all(set(out[i]) <= {3} for i in (1, 2, 3, 4, 502))
     assert 500 not in {r.doc_id for r in decontaminate.drop_contaminated(more, bench).collect()}
     assert decontaminate.find_contaminated(empty(docs), bench).count() == 0
     assert decontaminate.find_contaminated(docs, bench.where("false")).where("contaminated").count() == 0
@@ -178,7 +179,7 @@ def test_decontamination_recall(spark, low, high, sixth):
     bench = spark.createDataFrame([(i, said(x)) for i, x in enumerate(items)], "item_id long, text string")
     found = decontaminate.find_contaminated(table.unionByName(more), bench).where(F.col("doc_id") >= 1 << 40).collect()
     found = {r.doc_id - (1 << 40): r.item_ids for r in found}
-    due = [i for i, x in enumerate(items) if decontaminate._common_subsequence(x, planted[i]) >= 0.7 * len(x)]
+    due = [i for i, x in enumerate(items) if words.common_subsequence(x, planted[i]) >= 0.7 * len(x)]
     missed = [i for i in due if i not in found[i]]
     print("recall", low, high, sixth, len(due) - len(missed), "of", len(due))
     # the replaced words of an item may be those that weigh most, so that the check of the weight refuses it
@@ -218,7 +219,7 @@ def test_common_subsequence():
 
     for _ in range(200):
         a, b = ([R.randrange(5) for _ in range(R.randrange(12))] for _ in range(2))
-        assert decontaminate._common_subsequence(a, b) == slow(a, b)
+        assert words.common_subsequence(a, b) == slow(a, b)
 
 
 def test_license_scan(spark, docs):
@@ -338,8 +339,9 @@ def test_language_id(spark):
     out = language_id.identify(docs, profiles).join(docs.select("doc_id", "lang"), "doc_id").where(language_id.held_out("doc_id")).collect()
     assert np.mean([r.lang_pred == r.lang for r in out]) > 0.9
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "123 !"), (4, "漢字")], "doc_id long, text string")
+    odd = odd.unionByName(spark.createDataFrame([(5, "½ ² Ⅷ ① ٣ _")], odd.schema))
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd, profiles).collect()}
-    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] in {"en", "fr", "de", "es"}
+    assert got[1] == got[2] == got[3] == got[5] == ("und", 0.0) and got[4][0] in {"en", "fr", "de", "es"}
     assert {r.lang_pred for r in language_id.identify(odd, profiles.where("false")).collect()} == {"und"}
 
 
