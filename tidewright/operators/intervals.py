@@ -53,10 +53,11 @@ def days(iv: DataFrame, keys: list[str]) -> DataFrame:
 
 def counted_days(iv: DataFrame, excluded: DataFrame, keys: list[str], target: int) -> DataFrame:
     """(keys, counted_days, reached): days of iv that aren't excluded, and the target-th of them (null if there are
-    fewer). The days are never materialised: the excluded intervals are cut out and lengths are added up."""
+    fewer; the first of all for a target of 0 or less). The days are never materialised: the excluded intervals are cut out and lengths are added up."""
     left = subtract(iv, excluded, keys).withColumn("n", inclusive_days(F.col("start"), F.col("end")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = left.withColumn("before", before)
+    target = max(target, 1)
     hit = F.when((F.col("before") < target) & (F.col("before") + F.col("n") >= target), F.date_add("start", (F.lit(target) - F.col("before") - 1).cast("int")))
     return left.groupBy(*keys).agg(F.sum("n").alias("counted_days"), F.min(hit).alias("reached"))
 

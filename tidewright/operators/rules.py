@@ -67,7 +67,8 @@ def case_status(cases: DataFrame) -> DataFrame:
 
     Needs status, in_custody, detained_after_end, n_other_pending, n_charges, n_offences, all_fine_only, special_law,
     term_kind, term_months, first_offender, counted_days, lenient_days (null: the same) and n_needs, the count of
-    uncertain inputs, which turn gated outcomes into REVIEW.
+    uncertain inputs, which turn gated outcomes into REVIEW; with a column n_low, those of the custody record alone, these
+    hold for people who seem to be out of custody as well.
     """
     c = F.col
     max_days = F.when(c("term_kind") == "term", ceil_threshold(c("term_months")))
@@ -79,7 +80,7 @@ def case_status(cases: DataFrame) -> DataFrame:
     out = (
         F.when(c("status") == "convicted", "NOT_APPLICABLE")
         .when(c("status").isin("acquitted", "discharged", "disposed"), F.when(c("detained_after_end") & (c("n_other_pending") == 0), "CRITICAL_ACQUITTED_DETAINED").otherwise("NOT_APPLICABLE"))
-        .when(~c("in_custody"), "NOT_APPLICABLE")
+        .when(~c("in_custody"), F.when(c("n_low") > 0, "REVIEW").otherwise("NOT_APPLICABLE") if "n_low" in cases.columns else F.lit("NOT_APPLICABLE"))
         .when(c("n_charges") == 0, "REVIEW")
         .when(c("term_kind").isin("life", "death"), gate("EXCLUDED_479"))
         .when(c("all_fine_only"), "REVIEW")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidewright.functions.dates import inclusive_days
 from tidewright.operators import intervals
+from tidewright.sources.scratch import checkpointed
 
 # Kinds of events.
 COUNTING = ["police_custody", "judicial_custody", "hospitalised_in_custody"]
@@ -89,15 +90,23 @@ def gap_flags(custody: DataFrame, events: DataFrame, scoped: DataFrame) -> DataF
 
 
 def timelines(cases: DataFrame, events: DataFrame, today: Column, threshold: float = 0.8) -> DataFrame:
-    """One row a case: custody_days, lenient_days (null without custody in other cases), in_custody, arrest_date,
+    """The first of `timelines_and_custody`."""
+    return timelines_and_custody(cases, events, today, threshold)[0]
+
+
+def timelines_and_custody(cases: DataFrame, events: DataFrame, today: Column, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """One row a case, and its custody as merged intervals (person_id, case_id, start, end).
+
+    A row holds custody_days, lenient_days (null without custody in other cases), in_custody, arrest_date,
     arrest_confidence, flags (sorted codes) and n_low, the count of uncertain inputs.
 
     `cases` are (person_id, case_id, anchor_date, stop_date): lenient days count from the anchor, else from the
     case's first event. Cases without events have 0 days.
     """
-    scoped = scoped_events(cases, events)
-    own = normalised(scoped, today, threshold)
-    strict = counted(own, cases)
+    # what several parts read is written once
+    scoped = checkpointed(scoped_events(cases, events))
+    own = checkpointed(normalised(scoped, today, threshold))
+    strict = checkpointed(counted(own, cases))
     days = strict.groupBy(*CASE).agg(F.sum(inclusive_days(F.col("start"), F.col("end"))).alias("custody_days"), F.max((F.col("start") <= today) & (F.col("end") >= today)).alias("in_custody"))
 
     others = events.where("case_id is not null").select("person_id", F.col("case_id").alias("_of")).distinct()
@@ -125,7 +134,7 @@ def timelines(cases: DataFrame, events: DataFrame, today: Column, threshold: flo
         )
     )
     n_low = F.coalesce("_low", F.lit(0)) + F.coalesce((F.col("arrest_confidence") < threshold).cast("int"), F.lit(0)) + F.coalesce(F.col("primary_conflict").cast("int"), F.lit(0))
-    return out.select(
+    rows = out.select(
         *CASE,
         "custody_days",
         "lenient_days",
@@ -135,6 +144,7 @@ def timelines(cases: DataFrame, events: DataFrame, today: Column, threshold: flo
         F.array_sort(F.concat(F.coalesce("_marks", F.array().cast("array<string>")), more)).alias("flags"),
         n_low.alias("n_low"),
     )
+    return rows, strict
 
 
 def delay_days(hearings: DataFrame, custody: DataFrame, keys: list[str], threshold: float = 0.8) -> DataFrame:

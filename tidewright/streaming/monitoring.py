@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import shared_folder
+
 
 def recompute_touched(changes: DataFrame, key: str, recompute: Callable[[DataFrame], None], checkpoint: str):
     """Run `recompute` on the distinct keys of every micro-batch until the source is used up. Late and corrected
@@ -34,7 +35,7 @@ def ingest_once(events: DataFrame, keys: list[str], ts: str, late: str = "1 day"
 def recompute_to_table(spark, path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A stream of the files at `path` that ends with its input; the latest result of every key, from a table in the
     shared folder of `spark.checkpoint.dir`."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidewright-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
     def write(batch: DataFrame, n: int) -> None:
