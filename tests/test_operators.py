@@ -1,6 +1,7 @@
 """Operators against plain Python on small and on random inputs."""
 
 import datetime as dt
+import re
 import json
 import random
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewright.functions import dates, text
-from tidewright.functions.text import _indel_ratio, _jaro_winkler
+from tidewright.functions.text import _indel_ratio, _jaro_winkler, _token_set_ratio
 from tidewright.operators import intervals, matching, monitor, rules
 from tidewright.sources import readers
 from tidewright.streaming import monitoring
@@ -100,13 +101,73 @@ def test_vetoed_clusters_refuse_a_link(spark):
     assert {r.id: r.cluster for r in out.collect()} == {1: 1, 2: 1, 3: 3, 8: 8, 9: 8}
 
 
-def test_pair_scores(spark):
-    rows = [("a", "Ramesh Kumar", "Suresh", 30, "x", None), ("b", "Ramesh Kumarr", "Suresh", 31, "x", None), ("c", "Ramesh Kumar", "Suresh", 55, "x", None)]
-    rec = spark.createDataFrame(rows, "id string, name string, relative_name string, age int, district string, cnr string")
-    pairs = matching.candidate_pairs(rec, "id", F.split(text.phonetic_key(F.col("name")), " "))
-    w = {"bias": -9.0, "name_token_sort": 2.0, "name_jw_phonetic": 5.0, "name_token_overlap": 2.0, "father_sim": 4.0, "age_diff_norm": -6.0, "same_district": 0.8}
-    out = {(r.a, r.b): r for r in matching.pair_scores(pairs, rec, w).collect()}
-    assert out["a", "b"].decision == "link" and out["a", "c"].vetoes == ["AGE_GAP"] and out["a", "c"].p <= 0.2
+RECORD = "id string, name string, relative_name string, age int, district string, police_station string, address string, co_accused array<string>, cnrs array<string>"
+PEOPLE = [
+    ("a", "Ramesh Kumar", "Suresh", 30, "x", "p1", "12 Main Road", ["Anil"], None), ("b", "Sri Ramesh Kumarr", "Suresh", 31, "x", None, "Main Road 12", None, ["C1"]), ("c", "Ramesh Kumar", "Suresh", 55, "x", "p1", None, None, None),
+    ("d", "Raju @ Ramesh Kumar s/o Suresh", "Suresha", 30, None, None, None, ["Anill"], ["C1", "C2"]), ("e", "Md. Rafiq", None, None, "y", None, None, None, ["C2"]), ("f", "Mohammed Rafiq K", "Basha", 41, "y", "p2", "9 Tank Street", None, None), ("g", None, None, None, None, None, None, None, None),
+]
+
+
+def plain_phonetic(token):
+    out = re.sub("[^a-z]", "", token.lower())
+    for x, y in text.PHONETIC:
+        out = out.replace(x, y)
+    out = re.sub(r"(.)\1+", r"\1", out)
+    return re.sub("[aue]+$", "", out) if len(out) > 3 else out
+
+
+def plain_tokens(name):
+    raw = [t for t in re.split("[^a-z]+", (name or "").lower()) if t]
+    out = [(t, k == len(raw) - 1 and len(raw) > 1) for k, t in enumerate(raw) if t not in text.HONORIFICS]
+    return [text.SPELLED_INITIALS.get(text.EXPANSIONS.get(t, t), text.EXPANSIONS.get(t, t)) if last else text.EXPANSIONS.get(t, t) for t, last in out]
+
+
+def plain_pair(x, y):
+    """The fifteen features of two records, one by one."""
+    key = lambda ts: " ".join(sorted(plain_phonetic(t) for t in ts if len(t) > 1))
+    name = lambda r: [plain_tokens(p) for p in re.split("@| alias ", re.split(" s/o ", r[1] or "")[0]) if p.strip()] or [[]]
+    (n1, *al1), (n2, *al2) = name(x), name(y)
+    k1, k2, a1, a2 = key(n1), key(n2), {key(a) for a in al1}, {key(a) for a in al2}
+    t1, t2 = ({plain_phonetic(t) for t in n if len(t) > 1} for n in (n1, n2))
+    i1, i2 = {t[0] for t in n1}, {t[0] for t in n2}
+    r1, r2 = (key(plain_tokens(r[2])) for r in (x, y))
+    both = lambda k: bool(x[k] and y[k])
+    share = lambda k: float(bool(set(x[k] or ()) & set(y[k] or ())))
+    co = lambda r: {key(plain_tokens(c)) for c in r[7] or ()}
+    gap = abs(x[3] - y[3]) if x[3] is not None and y[3] is not None else None
+    rel = _jaro_winkler(r1, r2)
+    f = [
+        _indel_ratio(" ".join(sorted(n1)), " ".join(sorted(n2))), _jaro_winkler(k1, k2) if k1 and k2 else 0.0, len(t1 & t2) / max(1, min(len(t1), len(t2))), float(bool(a1 & ({k2} | a2) or a2 & {k1})), float(i1 <= i2 or i2 <= i1),
+        rel if r1 and r2 else 0.5, float(not (r1 and r2)), 0.2 if gap is None else min(gap, 30) / 30, float(gap is None), float(both(4) and x[4] == y[4]), float(both(5) and x[5] == y[5]),
+        _token_set_ratio(x[6].lower(), y[6].lower()) if both(6) else 0.5, float(not both(6)), float(bool(co(x) & co(y))), share(8),
+    ]
+    return f, [v for v, c in (("RELATIVE_NAME_DIFFERS", r1 and r2 and rel < 0.75), ("AGE_GAP", gap is not None and gap >= 10)) if c]
+
+
+def test_pair_features_by_brute_force(spark):
+    ready = matching.prepared(spark.createDataFrame(PEOPLE, RECORD))
+    pairs = spark.createDataFrame([(x[0], y[0]) for x in PEOPLE for y in PEOPLE if x[0] < y[0]], "a string, b string")
+    got = {(r.a, r.b): (list(r.f), r.vetoes) for r in matching.pair_features(pairs, ready).collect()}
+    by_id = {x[0]: x for x in PEOPLE}
+    for (a, b), (f, vetoes) in got.items():
+        want, against = plain_pair(by_id[a], by_id[b])
+        assert f == pytest.approx(want) and vetoes == against, (a, b)
+    assert len(got) == 21
+
+
+def test_resolve(spark):
+    clusters, pairs = matching.resolve(spark.createDataFrame(PEOPLE, RECORD))
+    p = {(r.a, r.b): r for r in pairs.collect()}
+    assert p["a", "b"].decision == "link" and p["a", "c"].vetoes == ["AGE_GAP"] and p["a", "c"].p <= 0.2
+    assert p["a", "d"].p == 0.93 and p["b", "d"].p == 0.97 and ("a", "e") not in p  # a stated alias; a shared case number
+    c = {r.id: r.cluster for r in clusters.collect()}
+    assert c["a"] == c["b"] == c["d"] == "a" and c["c"] == "c" and c["g"] == "g"
+    assert [(r.key, r.n) for r in matching.oversized_keys(spark.createDataFrame(PEOPLE, RECORD), "id", F.array("district"), 2).orderBy("key").collect()] == [("x", 3)]
+
+
+def test_names_in_latin_letters(spark):
+    names = [("ರಮೇಶ್",), ("मोहन",), ("José",), (None,)]
+    assert [r.l for r in spark.createDataFrame(names, "n string").select(text.to_latin("n").alias("l")).collect()] == ["ramesh", "mohan", "jose", None]
 
 
 def test_default_bail_boundaries(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import extract, text
-from tidewright.functions.extract import _charges, _dates, _segments
+from tidewright.functions.extract import _dates, _segments
 from tidewright.operators import consistency, relational, timeline
 from tidewright.plans import records
 
@@ -70,9 +70,24 @@ def test_dates_never_overlap():
     assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
 
 
-@pytest.mark.parametrize(("s", "found"), [("under section 34 IPC", [("34", None)]), ("u/s 323, 324 read with 149 IPC", [("323", None), ("324", None)]), ("rooms 12, 13", []), ("", [])])
-def test_charges(s, found):
-    assert [(c["section"], c["modifier"]) for c in _charges(s)] == found
+CHARGES = {
+    "under section 34 IPC": [("IPC", "34", None, 0.9)],
+    "u/s 323, 324 read with 149 IPC": [("IPC", "323", None, 0.9), ("IPC", "324", None, 0.9)],
+    "rooms 12, 13": [],
+    "": [],
+    "379 r/w 34 IPC": [("IPC", "379", "common_intention", 0.9)],
+    "Sec. 20(b)(ii)(A) NDPS Act": [("NDPS", "20(b)(ii)(A)", None, 0.9)],
+    "S.379": [("UNKNOWN", "379", None, 0.7)],
+    "sections 323, 324, 504 & 506 of the Indian Penal Code": [("IPC", x, None, 0.9) for x in ("323", "324", "504", "506")],
+    "u/s 5O6 IPC": [("IPC", "506", None, 0.75)],
+    "302 r/w 120B IPC and 61(2) BNS": [("IPC", "302", "conspiracy", 0.9), ("BNS", "61(2)", None, 0.9)],
+}
+
+
+def test_charges(spark):
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(CHARGES)], "k int, t string")
+    got = d.select("k", extract.charges_in("t").alias("c")).orderBy("k").collect()
+    assert [[(c.act, c.section, c.modifier, c.confidence) for c in r.c] for r in got] == list(CHARGES.values())
 
 
 def test_segments_keep_spans():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -28,9 +29,8 @@ def phonetic_token(token: Column) -> Column:
 
 
 def phonetic_key(name: Column) -> Column:
-    """Phonetic tokens of more than one letter, sorted, joined by a space."""
-    tokens = F.filter(F.split(F.lower(name), "[^a-z]+"), lambda t: F.length(t) > 1)
-    return F.array_join(F.array_sort(F.transform(tokens, phonetic_token)), " ")
+    """Phonetic forms of the name's tokens of more than one letter, sorted, joined by a space; titles don't count."""
+    return F.array_join(F.array_sort(F.transform(F.filter(name_tokens(name), lambda t: F.length(t) > 1), phonetic_token)), " ")
 
 
 # Titles that aren't part of a name, short forms, and how a last initial is spelled out.
@@ -42,6 +42,11 @@ EXPANSIONS = {
 SPELLED_INITIALS = {"es": "s", "ar": "r", "ke": "k", "em": "m", "en": "n", "bi": "b", "di": "d", "ji": "j", "pi": "p", "ti": "t", "vi": "v", "si": "c", "el": "l", "eh": "h", "ech": "h"}
 
 
+# What stands between a name and a relative's, and between a name and its alias (besides @).
+RELATION_WORDS = ["s/o", "d/o", "w/o", "c/o", "son of", "daughter of", "wife of"]
+ALIAS_WORDS = ["urf", "alias", "a/k/a", "aka", "ur"]
+
+
 def _mapped(token: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), token), token)
 
@@ -56,12 +61,15 @@ def name_tokens(name: Column) -> Column:
 
 
 def normalised_name(name: Column) -> Column:
-    """struct(primary, aliases, relative) of tokens: "A @ B s/o C" has the name A, the alias B and the relative C."""
-    parts = F.split(name, r"(?i)\s+(?:s/o|d/o|w/o|c/o|son of|daughter of|wife of)\s+", 2)
-    names = F.filter(F.split(F.get(parts, F.lit(0)), r"(?i)\s*(?:@|\burf\b|\balias\b|\ba/k/a\b|\baka\b|\bur\b)\s*"), lambda p: F.trim(p) != "")
+    """struct(primary, initials, aliases, relative) of tokens: "A @ B s/o C" has the name A, the alias B and the relative
+    C; initials are the single letters of the name."""
+    parts = F.split(name, rf"(?i)\s+(?:{'|'.join(RELATION_WORDS)})\s+", 2)
+    names = F.filter(F.split(F.get(parts, F.lit(0)), rf"(?i)@|\b(?:{'|'.join(ALIAS_WORDS)})\b"), lambda p: F.trim(p) != "")
     none = F.array().cast("array<string>")
+    primary = F.coalesce(name_tokens(F.get(names, F.lit(0))), none)
     return F.struct(
-        F.coalesce(name_tokens(F.get(names, F.lit(0))), none).alias("primary"),
+        primary.alias("primary"),
+        F.filter(primary, lambda t: F.length(t) == 1).alias("initials"),
         F.transform(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), name_tokens).alias("aliases"),
         F.coalesce(name_tokens(F.get(parts, F.lit(1))), none).alias("relative"),
     )
@@ -167,6 +175,18 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _token_set_ratio(a: str, b: str) -> float:
+    """The best of the common tokens against each side with them, and of the two sides; 1 if one side holds the other."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, left, right = (" ".join(sorted(t)) for t in (x & y, x - y, y - x))
+    if both and (not left or not right):
+        return 1.0
+    one, two = f"{both} {left}".strip(), f"{both} {right}".strip()
+    return max(_indel_ratio(one, two), *([_indel_ratio(both, one), _indel_ratio(both, two)] if both else [0.0]))
+
+
 def _indel_ratio(a: str, b: str) -> float:
     if not a and not b:
         return 1.0
@@ -182,3 +202,45 @@ def _indel_ratio(a: str, b: str) -> float:
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of the sorted tokens by insertions and deletions, 0 to 1."""
     return pd.Series([None if x is None or y is None else _indel_ratio(" ".join(sorted(x.split())), " ".join(sorted(y.split()))) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of the sets of tokens, 0 to 1: what both share counts with either side."""
+    return pd.Series([None if x is None or y is None else _token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+# How the letters of two Indic scripts are written in Latin ones, by their places in the scripts' blocks.
+_INDIC = {
+    0x02: "n", 0x03: "h", 0x05: "a", 0x06: "a", 0x07: "i", 0x08: "i", 0x09: "u", 0x0A: "u", 0x0B: "ri", 0x0E: "e", 0x0F: "e", 0x10: "ai", 0x12: "o", 0x13: "o", 0x14: "au",
+    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "n", 0x1A: "ch", 0x1B: "ch", 0x1C: "j", 0x1D: "jh", 0x1E: "n", 0x1F: "t", 0x20: "th", 0x21: "d", 0x22: "dh", 0x23: "n", 0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n",
+    0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x32: "l", 0x33: "l", 0x35: "v", 0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h",
+    0x3E: "a", 0x3F: "i", 0x40: "i", 0x41: "u", 0x42: "u", 0x43: "ri", 0x46: "e", 0x47: "e", 0x48: "ai", 0x4A: "o", 0x4B: "o", 0x4C: "au",
+}
+_VIRAMA, _VOWEL_SIGNS = 0x4D, range(0x3E, 0x4D)
+
+
+def _to_latin(text: str) -> str:
+    """Devanagari and Kannada letters by place in their blocks, a consonant without a vowel sign with an a; then without
+    accents, lower case."""
+    out = []
+    text = unicodedata.normalize("NFC", text)
+    for k, c in enumerate(text):
+        block = next((b for b in (0x0900, 0x0C80) if b <= ord(c) < b + 0x80), None)
+        if block is None:
+            out.append(c)
+            continue
+        place = ord(c) - block
+        after = ord(text[k + 1]) - block if k + 1 < len(text) else -1
+        out.append(_INDIC.get(place, ""))
+        ends = not 0 <= after < 0x80  # the last consonant of a word keeps no a
+        if 0x15 <= place <= 0x39 and after != _VIRAMA and after not in _VOWEL_SIGNS and not ends:
+            out.append("a")
+    flat = unicodedata.normalize("NFKD", "".join(out))
+    return "".join(c for c in flat if not unicodedata.combining(c)).lower()
+
+
+@F.pandas_udf(T.StringType())
+def to_latin(text: pd.Series) -> pd.Series:
+    """Text in lower-case Latin letters without accents; Devanagari and Kannada are spelled out. Null stays null."""
+    return text.map(lambda t: None if t is None else _to_latin(t))

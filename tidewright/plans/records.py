@@ -190,14 +190,31 @@ def expectations(spark, sf):
 # ---- entity resolution, hybrid retrieval, training, streams
 
 
+_GIVEN = ["ramesh", "suresh", "mahesh", "prakash", "lakshmi", "rafiq", "shankar", "manju", "kiran", "deepak", "ganesh"]
+
+
+def _people(spark, sf):
+    """Customers as records of persons: three in a row are one, spelled in three ways."""
+    k, person = F.col("c_custkey"), F.floor(F.col("c_custkey") / 3)
+    of = lambda words, n: F.get(F.array(*map(F.lit, words)), (n % len(words)).cast("int"))
+    given, surname = of(_GIVEN, person), F.concat(F.lit("k"), F.translate(F.floor(person / 2).cast("string"), "0123456789", "aeioukmnrt"))
+    name = F.when(k % 3 == 0, F.concat_ws(" ", given, surname)).when(k % 3 == 1, F.concat_ws(" ", F.lit("Sri"), F.concat(given, F.lit("a")), surname)).otherwise(F.concat_ws(" ", surname, F.lit("@"), given, surname))
+    return table(spark, sf, "customer").select(
+        k.alias("id"), name.alias("name"), of(_GIVEN, person + 3).alias("relative_name"), (20 + person % 37 + k % 2).cast("int").alias("age"), F.concat(F.lit("d"), person % 5).alias("district"), F.when(k % 3 > 0, F.concat(F.lit("ps"), person % 7)).alias("police_station"),
+        F.concat_ws(" ", (person % 90).cast("string"), F.lit("main road"), F.concat(F.lit("ward"), person % 11)).alias("address"), F.array(of(_GIVEN, person + 1)).alias("co_accused"), F.when(k % 9 == 0, F.array(F.concat(F.lit("CNR"), person))).alias("cnrs"),
+    )
+
+
 @query()
 def er_cluster(spark, sf):
-    """Customers of a nation with nearly the same balance, scored, banded and clustered under vetoes."""
-    c = table(spark, sf, "customer")
-    r = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("name "), F.translate((F.floor("c_acctbal") % 97).cast("string"), "0123456789", "abcdefghij")).alias("name"), F.lit(None).cast("string").alias("relative_name"), (20 + F.col("c_custkey") % 40).cast("int").alias("age"), F.col("c_nationkey").cast("string").alias("district"), F.lit(None).cast("string").alias("cnr"))
-    pairs = matching.candidate_pairs(r, "id", F.array(F.concat_ws(":", "district", "name")), most=None)  # the only key of a record
-    weights = {"bias": -4.0, "name_token_sort": 3.0, "name_jw_phonetic": 3.0, "name_token_overlap": 1.0, "age_diff_norm": -3.0, "same_district": 1.5}
-    return matching.vetoed_clusters(matching.pair_scores(pairs, r, weights))
+    """Customers as persons, blocked by name tokens, aliases and case numbers, scored by fifteen features, clustered under
+    vetoes. Given names are keys of more than 200 records and skipped; each record has its other name as a key too."""
+    return matching.resolve(_people(spark, sf))[0]
+
+
+@query()
+def er_pairs(spark, sf):
+    return matching.resolve(_people(spark, sf))[1]
 
 
 @query()
