@@ -55,3 +55,22 @@ def threshold_sweep(scored: DataFrame, score: str, label: str, thresholds: list[
     one = scored.agg(F.count_if(y).alias("real"), *[x for k, t in enumerate(thresholds) for x in (F.count_if(p >= t).alias(f"n{k}"), F.count_if((p >= t) & y).alias(f"tp{k}"))])
     rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.round(F.try_divide(f"tp{k}", f"n{k}"), 6).alias("precision"), F.round(F.try_divide(f"tp{k}", "real"), 6).alias("recall")) for k, t in enumerate(thresholds)])
     return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def decile_calibration(scored: DataFrame, p: str, y: str, groups: int = 10) -> DataFrame:
+    """(bin, n, predicted, observed) between exact quantiles of the predictions; equal edges fall together, and a
+    prediction on an edge belongs below it."""
+    shares = [k / groups for k in range(1, groups)]
+    edges = scored.agg(F.array_distinct(F.percentile(p, F.array(*map(F.lit, shares)))).alias("_edges"))  # one row
+    binned = scored.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("predicted"), F.round(F.avg(y), 6).alias("observed"))
+
+
+def concordance(rows: DataFrame, strata: list[str], time: str, ended: str, risk: str) -> DataFrame:
+    """(c_index, pairs): pairs of a stratum in which one ends before the other's time; the share in which it has the higher
+    risk, ties counting half. Strata bound the pairs: a stratum of n rows gives n (n - 1) / 2 at most."""
+    a = rows.where(F.col(ended)).select(*strata, F.col(time).alias("_t"), F.col(risk).alias("_r"))
+    b = rows.select(*strata, F.col(time).alias("_u"), F.col(risk).alias("_s"))
+    pairs = a.join(b, strata).where("_t < _u")
+    one = F.when(F.col("_r") > F.col("_s"), 1.0).when(F.col("_r") == F.col("_s"), 0.5).otherwise(0.0)
+    return pairs.agg(F.round(F.sum(one) / F.count(F.lit(1)), 6).alias("c_index"), F.count(F.lit(1)).alias("pairs"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.operators import decision, law, rules
+from tidewright.functions import dates, text
+from tidewright.operators import decision, law, metrics, registers, rules
 from tidewright.plans.catalog import TODAY, query
 from tidewright.sources.readers import table
 
@@ -205,3 +206,90 @@ def case_decision(spark, sf):
         "person_id", "case_id", "status_now", "custody_days", "counted_days", "max_days", "threshold_days", "first_offender", "status_out", F.array_join("findings", ",").alias("findings"), "days_overdue",
         "eligible_from", "projected", "urgency", F.array_join("decision_flags", ",").alias("decision_flags"),
     )
+
+
+# ---- registers and queues
+
+
+@query("""with c as (select o_custkey as k, count(*) as n, max(o_orderkey % 400) as most, sum(o_orderkey % 3) as needs, string_agg(cast(o_orderkey as varchar) || o_orderstatus, ',' order by o_orderkey) as ids from orders group by 1)
+select c_custkey, coalesce(n, 0) as n_cases, coalesce(most, 0) as most_days, coalesce(needs, 0)::bigint as all_needs, coalesce(ids, '') as ids from customer left join c on k = c_custkey""")
+def person_summary(spark, sf):
+    """A person's cases in one row: ordered list, number, most days in custody, sum of open needs."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 400).alias("days"), (F.col("o_orderkey") % 3).alias("needs"))
+    s = registers.summary(table(spark, sf, "customer").select("c_custkey"), o, ["c_custkey"], ["id"], "days", "needs")
+    ids = F.array_join(F.transform("cases", lambda x: F.concat(x["id"].cast("string"), x["status"])), ",")
+    return s.select("c_custkey", F.col("n_cases").cast("long").alias("n_cases"), "most_days", "all_needs", ids.alias("ids"))
+
+
+@query("select o_orderkey, case when o_orderkey % 4 = 0 and o_orderkey % 3 > 0 then o_orderstatus || '!' else o_orderstatus end as value from orders where coalesce(o_custkey % 7 = 0, false) or o_orderpriority = '1-URGENT' or o_totalprice > 300000")
+def visible_facts(spark, sf):
+    """Facts that one of three ways lets through, under the value that counts."""
+    k = F.col("o_orderkey")
+    o = registers.visible(table(spark, sf, "orders"), F.col("o_custkey") % 7 == 0, F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") > 300000)
+    return o.select("o_orderkey", registers.effective(F.col("o_orderstatus"), F.when(k % 3 > 0, F.concat("o_orderstatus", F.lit("!"))), F.when(k % 4 == 0, "corrected").otherwise("confirmed")).alias("value"))
+
+
+@query("select c_custkey, c_mktsegment, case when c_name is not null then '[hidden]' end as c_name, case when c_acctbal is not null then '[hidden]' end as c_acctbal from customer")
+def redacted_register(spark, sf):
+    return registers.redacted(table(spark, sf, "customer"), ["c_custkey", "c_mktsegment"], ["c_name", "c_acctbal"])
+
+
+@query("select event_id, coalesce(json_extract_string(props, '$.page'), json_extract_string(props, '$.ref'), 'verified') as intake from events")
+def json_default(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", F.coalesce(F.get_json_object("props", "$.page"), registers.json_or(F.col("props"), "ref", "verified")).alias("intake"))
+
+
+@query("select o_orderkey, not (cast(o_orderdate as date) = date '1998-06-01' and o_orderpriority = '1-URGENT' and o_orderstatus = 'F') as stale from orders")
+def result_freshness(spark, sf):
+    r = table(spark, sf, "orders").withColumn("as_of", F.to_date("o_orderdate"))
+    return registers.fresh(r, F.lit("1998-06-01").cast("date"), {"o_orderpriority": "1-URGENT", "o_orderstatus": "F"}).select("o_orderkey", "stale")
+
+
+@query("with v as (select o_custkey, list_sort(list(distinct o_orderpriority)) as p, min(o_orderpriority) as m from orders group by 1) select o_custkey, array_to_string(list_filter(p, lambda x: x <> m), ',') as others from v")
+def name_variants(spark, sf):
+    g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("p"), F.min("o_orderpriority").alias("m"))
+    return g.select("o_custkey", F.array_join(registers.variants(F.col("m"), F.col("p"), F.array("m")), ",").alias("others"))
+
+
+@query("""with v as (select l_orderkey as k, l_returnflag as v, 1 - exp(sum(ln(greatest(1 - l_discount * 8, 1e-9)))) as c, count(*) as n from lineitem group by all)
+select k, arg_min(v, (-round(c, 9), v)) as value, round(arg_min(c, (-round(c, 9), v)), 6) as confidence, arg_min(n, (-round(c, 9), v)) as n_sources, count(*) > 1 as disputed from v group by k""")
+def fused_readings(spark, sf):
+    """Readings of one field from several sources: agreement raises the confidence, other readings dispute it."""
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("value"), (F.col("l_discount") * 8).alias("c"))  # noqa: E741
+    return registers.fused_confidence(l, ["k"], "value", "c")
+
+
+@query("""with s as (select o_orderkey, cast(o_orderdate as date) as d from orders) select o_orderkey, cast(floor((date '2024-02-15' - d) / 365.25) as int) as age from s""")
+def ages(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", dates.age_in_years(F.to_date("o_orderdate"), _today()).alias("age"))
+
+
+@query("select c_custkey, upper(regexp_replace(c_name || '/' || c_custkey, '[^A-Za-z0-9]', '', 'g')) as reference from customer")
+def reference_keys(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", text.reference_key(F.concat("c_name", F.lit("/"), F.col("c_custkey").cast("string"))).alias("reference"))
+
+
+@query("""with o as (select l_orderkey as k, l_linenumber * 100000000 + l_partkey as ordinal, case l_partkey % 6 when 0 then 'life' when 1 then 'none' else 'term' end as kind, l_quantity::int as months, l_partkey % 9 as offence from lineitem),
+r as (select *, row_number() over (partition by k order by case kind when 'life' then 2 when 'term' then 1 else 0 end desc, months desc, ordinal) as q from o)
+select k, max(case when q = 1 then kind end) as term_kind, max(case when q = 1 then months end) as term_months, count(*) as n_charges, count(distinct offence) as n_offences from r group by k""")
+def most_serious(spark, sf):
+    p = F.col("l_partkey")
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 100_000_000 + p).alias("ordinal"), F.when(p % 6 == 0, "life").when(p % 6 == 1, "none").otherwise("term").alias("term_kind"), F.col("l_quantity").cast("int").alias("term_months"), (p % 9).alias("offence"))
+    return rules.most_serious(c, "k")
+
+
+@query("""with s as (select l_discount * 8 + 0.1 as p, cast(l_returnflag = 'R' as int) as y from lineitem), q as (select quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as e from s)
+select cast(len(list_filter(list_distinct(e), lambda x: x < p)) as int) as bin, count(*) as n, round(avg(p), 6) as predicted, round(avg(y), 6) as observed from s cross join q group by 1""")
+def decile_calibration(spark, sf):
+    """Mean prediction and rate in groups between the deciles of the predictions."""
+    s = table(spark, sf, "lineitem").select((F.col("l_discount") * 8 + 0.1).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return metrics.decile_calibration(s, "p", "y")
+
+
+@query("""with s as (select o_custkey as g, o_orderkey as id, cast(o_orderdate as date) - date '1995-01-01' as t, o_orderkey % 3 > 0 as e, o_totalprice as r from orders),
+p as (select a.r as x, b.r as y from s a join s b on a.g = b.g and a.e and a.t < b.t) select round(sum(case when x > y then 1 when x = y then 0.5 else 0 end) / count(*), 6) as c_index, count(*) as pairs from p""")
+def concordance(spark, sf):
+    """Of comparable pairs of a stratum (one ends, and before the other) how many have the higher risk first."""
+    o = table(spark, sf, "orders").select("o_custkey", F.date_diff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("t"), (F.col("o_orderkey") % 3 > 0).alias("ended"), F.col("o_totalprice").alias("risk"))
+    return metrics.concordance(o, ["o_custkey"], "t", "ended", "risk")

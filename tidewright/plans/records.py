@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.functions import extract, text
+from tidewright.functions import documents, extract, text
 from tidewright.operators import consistency, detectors, matching, metrics, relational, retrieval, rules, timeline
 from tidewright.plans import training
 from tidewright.plans.catalog import TODAY, query
@@ -217,6 +217,22 @@ def er_pairs(spark, sf):
     return matching.resolve(_people(spark, sf))[1]
 
 
+_OKAPI = """d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from documents), t as (select id, unnest(ts) as term from d), tf as (select id, term, count(*) as tf from t group by all), l as (select id, len(ts) as dl from d), s as (select count(*) as n, avg(dl) as a from l),
+df as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from tf cross join s group by term, n), fl as (select avg(raw) * 0.25 as f from df), idf as (select term, case when raw < 0 then f else raw end as idf from df cross join fl),
+q as (select query, term, count(*) as times from (select item_id as query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark) group by all),
+sc as (select query, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) * times), 6) as score from q join tf using (term) join idf using (term) join l using (id) cross join s group by query, id)"""
+
+
+@query(f"with {_OKAPI} select query, id, score, place from (select *, row_number() over (partition by query order by score desc, id) as place from sc) where place <= 5")
+def bm25_okapi(spark, sf):
+    return retrieval.bm25_okapi(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 5)
+
+
+@query()
+def latent_topk(spark, sf):
+    return retrieval.latent_hybrid(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 5)
+
+
 @query()
 def hybrid_topk(spark, sf):
     return retrieval.hybrid(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 5)
@@ -294,3 +310,51 @@ def extraction_prf(spark, sf):
 def threshold_sweep(spark, sf):
     s = table(spark, sf, "lineitem").select((F.col("l_discount") * 8 + 0.1).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
     return metrics.threshold_sweep(s, "p", "y", [0.2, 0.5, 0.8])
+
+
+# ---- classes of documents and causes of adjournments, over texts that keys put together
+
+_TITLES = ["First Information Report, F.I.R.", "Arrest memo with the grounds of arrest", "order on remand: judicial custody", "final report u/s 173", "Order sheet. Call on", "in the result he is convicted", "enlarged on bail with surety", "UTP No of the prisoner", "nothing of note", "order sheet and judgment", "MLC"]
+
+
+def _pieces(spark, sf):
+    k = F.col("o_orderkey")
+    title = lambda n: F.get(F.array(*map(F.lit, _TITLES)), (n % len(_TITLES)).cast("int"))
+    return table(spark, sf, "orders").select(k.alias("k"), F.concat(title(k), F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("; "), title(F.floor(k / 7))))).alias("t"))
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_PIECES = f"pc as (select o_orderkey as k, list_extract({_sql_list(_TITLES)}, cast(o_orderkey % 11 as int) + 1) || case when o_orderkey % 3 = 0 then '' else '; ' || list_extract({_sql_list(_TITLES)}, cast((o_orderkey // 7) % 11 as int) + 1) end as t from orders)"
+_HIT = "cast(regexp_matches(t, '(?i){}') as int)"
+_HITS = ", ".join("struct_pack(n := -(" + " + ".join(_HIT.format(p) for p in ps) + f"), i := {i}, l := '{k}')" for i, (k, ps) in enumerate(documents.CLASSES.items()))
+
+
+@query(f"with {_PIECES}, r as (select k, list_sort([{_HITS}]) as h from pc), v as (select k, h[1].l as l, -h[1].n as a, -h[2].n as b from r) select k, case when a > 0 then l else 'unknown' end as label, case when a >= 2 and a > b then round(least(0.95, 0.6 + 0.15 * a), 2) when a = 1 and b = 0 then 0.7 when a > 0 then 0.5 else 0.0 end as confidence from v", dates="confidence")
+def document_class(spark, sf):
+    d = _pieces(spark, sf).select("k", documents.document_class(F.col("t")).alias("c"))
+    return d.select("k", "c.label", F.col("c.confidence").cast("decimal(3,2)").alias("confidence"))
+
+
+_REASONS = ["Accused not produced from jail", "Joint request of both sides", "Advocates boycott work", "lockdown", "Presiding officer on leave", "accused is ill", "new counsel filed vakalat", "PP sought time", "at the request of the accused", "defence counsel requested time", "PW-2 examined", "", "adjourned.", "rain", None]
+
+
+@query(f"with r as (select o_orderkey as k, list_extract([{', '.join('null' if x is None else repr(x) for x in _REASONS)}], cast(o_orderkey % 15 as int) + 1) || case when o_orderkey % 15 < 11 and o_orderkey % 4 = 1 then '; witness absent' else '' end as t from orders) select k, case " + " ".join(f"when regexp_matches(coalesce(t, ''), '(?i){p.replace(chr(39), chr(39) * 2)}') then '{label}'" for p, label, _ in documents.CAUSES) + " end as label from r")
+def delay_cause(spark, sf):
+    """Who caused each adjournment, by the first of twelve ordered patterns."""
+    k = F.col("o_orderkey")
+    said = F.get(F.array(*map(F.lit, _REASONS)), (k % 15).cast("int"))
+    more = F.when((k % 15 < 11) & (k % 4 == 1), "; witness absent").otherwise("")
+    return table(spark, sf, "orders").select(k.alias("k"), documents.delay_cause(F.concat(said, more)).alias("c")).select("k", "c.label")
+
+
+@query("""with f as (select o_orderkey as k, case o_orderkey % 3 when 0 then 'fir' when 1 then 'remand_order' else 'other' end as c, list_filter([case when o_orderkey % 2 = 0 then 'fir_number' end, case when o_orderkey % 5 = 0 then 'fir_datetime' end, case when o_orderkey % 7 > 0 then 'charge' end, case when o_orderkey % 4 = 0 then 'remand_date' end], lambda x: x is not null) as fs from orders)
+select k, array_to_string(case c when 'fir' then list_filter([case when not list_contains(fs, 'fir_number') then 'fir_number' end, case when not list_contains(fs, 'fir_datetime') then 'fir_datetime / offence_datetime' end, case when not list_contains(fs, 'charge') then 'charge' end], lambda x: x is not null)
+  when 'remand_order' then list_filter([case when not list_contains(fs, 'remand_date') then 'production_datetime / remand_date' end], lambda x: x is not null) else [] end, ', ') as missing from f""")
+def required_fields(spark, sf):
+    k = F.col("o_orderkey")
+    fields = F.array_compact(F.array(F.when(k % 2 == 0, "fir_number"), F.when(k % 5 == 0, "fir_datetime"), F.when(k % 7 > 0, "charge"), F.when(k % 4 == 0, "remand_date")))
+    label = F.when(k % 3 == 0, "fir").when(k % 3 == 1, "remand_order").otherwise("other")
+    return table(spark, sf, "orders").select(k.alias("k"), F.array_join(documents.missing_fields(label, fields), ", ").alias("missing"))
