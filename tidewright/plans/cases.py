@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import dates, text
-from tidewright.operators import decision, law, metrics, registers, rules
+from tidewright.operators import decision, detectors, law, metrics, registers, rules
 from tidewright.plans.catalog import TODAY, query
 from tidewright.sources.readers import table
 
@@ -293,3 +293,58 @@ def concordance(spark, sf):
     """Of comparable pairs of a stratum (one ends, and before the other) how many have the higher risk first."""
     o = table(spark, sf, "orders").select("o_custkey", F.date_diff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("t"), (F.col("o_orderkey") % 3 > 0).alias("ended"), F.col("o_totalprice").alias("risk"))
     return metrics.concordance(o, ["o_custkey"], "t", "ended", "risk")
+
+
+# ---- what follows from a case, over facts that keys put together
+
+_FACT = {
+    "witnesses": ["PC 12; Inspector Rao", "Ravi, PSI Nair", "the complainant", None], "fsl_status": ["awaited", "received", "NIL"], "tip_status": ["held on 2024", "not held"], "confession": ["before the IO", "to a priest", None],
+    "recovery": ["no panch present", "two panchas", None], "remand_reasons": ["as prayed", "he may flee and tamper with the evidence", None],
+}
+
+
+def _fact_sql(name: str, values: list) -> str:
+    return f"list_extract([{', '.join('null' if v is None else repr(v) for v in values)}], cast((o_orderkey // {len(name)}) % {len(values)} as int) + 1)"
+
+
+_FACTS_SQL = "fa as (select o_orderkey as k, " + ", ".join(f"{_fact_sql(n, v)} as {n}" for n, v in _FACT.items()) + " from orders)"
+
+
+@query(rf"""with {_FACTS_SQL}, x as (select k, unnest(list_filter([
+  case when len(list_filter(string_split(trim(remand_reasons), ' '), lambda w: w <> '')) <= 3 then 'MECHANICAL_REMAND' end, case when regexp_matches(recovery, '(?i)no independent|without (independent|panch)|no panch') then 'SEIZURE_WITHOUT_INDEPENDENT_WITNESS' end,
+  case when len(list_filter(list_transform(string_split(replace(witnesses, ';', ','), ','), lambda w: trim(w)), lambda w: not regexp_matches(w, '(?i)\b(HC|PC|ASI|SI|PSI|CPC|WPC|Inspector|Constable|Head Constable|IO|police)\b') and not regexp_matches(w, '(?i)complainant|victim|informant|CW-1\b'))) = 0 then 'NO_INDEPENDENT_WITNESSES' end,
+  case when regexp_matches(fsl_status, '(?i)pending|awaited|not (received|sent|obtained)|nil') then 'FSL_PENDING' end, case when regexp_matches(tip_status, '(?i)not held|no|nil') then 'TIP_NOT_HELD' end,
+  case when regexp_matches(confession, '(?i)police|investigating officer|\bIO\b|inspector|sub.?inspector') then 'CONFESSION_TO_POLICE' end], lambda c: c is not null)) as code from fa) select k, code from x""")
+def fact_detectors(spark, sf):
+    """Lapses that the facts of a case show, over every order as a case."""
+    k = F.col("o_orderkey")
+    value = lambda n, vs: F.get(F.array(*map(F.lit, vs)), (F.floor(k / len(n)) % len(vs)).cast("int"))
+    facts = F.filter(F.array(*[F.struct(F.lit(n).alias("field"), value(n, vs).alias("value"), F.lit(0.9).alias("confidence"), F.lit(False).alias("reviewed"), F.lit(i).alias("fact_id")) for i, (n, vs) in enumerate(_FACT.items())]), lambda x: x["value"].isNotNull())
+    f = table(spark, sf, "orders").select(k.alias("k"), F.explode(facts).alias("x")).select("k", "x.*")
+    return detectors.detect(detectors.wide_facts(f, "k"), "k").select("k", "code")
+
+
+@query("""with h as (select o_custkey as k, case o_orderkey % 4 when 0 then 'witness absent' when 1 then 'PW-1 turned hostile' when 2 then 'NBW issued' else 'call on' end as r from orders), g as (select k, count(*) filter (where r in ('witness absent', 'NBW issued')) as a, count(*) filter (where r like '%hostile%') as h from h group by k)
+select k, unnest(list_filter([case when a >= 3 then 'PROSECUTION_WITNESSES_ABSENT' end, case when h > 0 then 'WITNESS_HOSTILE' end], lambda c: c is not null)) as code from g""")
+def hearing_lapses(spark, sf):
+    k = F.col("o_orderkey") % 4
+    h = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.when(k == 0, "witness absent").when(k == 1, "PW-1 turned hostile").when(k == 2, "NBW issued").otherwise("call on").alias("reason"))
+    return detectors.hearing_lapses(h, "k", "reason").select("k", "code")
+
+
+@query("""with d as (select o_orderkey as k, case o_orderkey % 4 when 0 then 'CRITICAL_MUST_RELEASE' when 1 then 'ELIGIBLE' else 'REVIEW' end as s, o_orderkey % 3 = 0 as b, o_orderkey % 5 = 0 as u, o_orderkey % 7 = 0 as t, o_orderkey % 2 = 0 as f, case when o_orderkey % 11 = 0 then 'life' when o_orderkey % 13 > 0 then 'term' end as tk from orders)
+select k, unnest(list_filter([case when s = 'CRITICAL_MUST_RELEASE' then 'DETAINED_BEYOND_MAXIMUM' end, case when s = 'ELIGIBLE' then 'SECTION_479_RELEASE' end, case when b then 'DEFAULT_BAIL' end, case when u then 'SURETY_RELIEF' end, case when t then 'TIME_SERVED' end, case when f and tk = 'term' then 'PROBATION_CONSIDERATION' end], lambda c: c is not null)) as code from d""")
+def release_routes(spark, sf):
+    k = F.col("o_orderkey")
+    found = F.array_compact(F.array(F.when(k % 3 == 0, "URGENT_DEFAULT_BAIL"), F.when(k % 5 == 0, "CRITICAL_BAIL_NOT_FURNISHED"), F.when(k % 7 == 0, "TIME_SERVED_SUBSTANTIAL")))
+    d = table(spark, sf, "orders").select(k.alias("k"), F.when(k % 4 == 0, "CRITICAL_MUST_RELEASE").when(k % 4 == 1, "ELIGIBLE").otherwise("REVIEW").alias("status_out"), found.alias("findings"), (k % 2 == 0).alias("first_offender"), F.when(k % 11 == 0, "life").when(k % 13 > 0, "term").alias("term_kind"))
+    return detectors.release_routes(d, ["k"]).select("k", "code")
+
+
+@query("""with i as (select r_regionkey as charge, r_name as ingredient, [lower(substr(r_name, 1, 3)), 'license'] as any_of, r_regionkey + 1 as lesser from region)
+select doc_id, charge, ingredient, lesser from documents join i on charge = doc_id % 5 where trim(text) <> '' and not contains(lower(text), lower(any_of[1])) and not contains(lower(text), 'license')""")
+def missing_ingredients(spark, sf):
+    """Charges (a region each) whose ingredient no word of the document mentions."""
+    d = table(spark, sf, "documents")
+    i = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("charge"), F.col("r_name").alias("ingredient"), F.array(F.substring("r_name", 1, 3), F.lit("license")).alias("any_of"), (F.col("r_regionkey") + 1).alias("lesser"))
+    return detectors.missing_ingredients(d.select("doc_id", (F.col("doc_id") % 5).alias("charge")), d.select("doc_id", "text"), i, "doc_id", "text")

@@ -396,14 +396,15 @@ def default_bail(spark, sf):
     return rules.default_bail(o, F.lit("1998-06-01").cast("date")).select("o_orderkey", "accrual", "default_bail")
 
 
-@query(
-    """with c as (select o_orderkey as k, o_custkey, case o_orderkey % 7 when 0 then 'convicted' when 1 then 'acquitted' else 'trial' end as status, o_orderkey % 11 <> 0 as cust, o_orderkey % 2 = 0 as after, o_orderkey % 5 as others, 1 + o_orderkey % 3 as offences,
+_STATUS = """with c as (select o_orderkey as k, o_custkey, case o_orderkey % 7 when 0 then 'convicted' when 1 then 'acquitted' else 'trial' end as status, o_orderkey % 11 <> 0 as cust, o_orderkey % 2 = 0 as after, o_orderkey % 5 as others, 1 + o_orderkey % 3 as offences,
       o_orderkey % 13 = 0 as fine, o_orderkey % 17 = 0 as special, case when o_orderkey % 19 = 0 then 'life' else 'term' end as kind, 12 * (1 + o_orderkey % 9) as months, o_orderkey % 4 = 0 as first, cast(floor(o_totalprice / 300) as bigint) % 1500 as counted, o_orderkey % 23 = 0 as needs from orders),
-    t as (select *, case when kind = 'term' then cast(ceil(months * 36525 / 1200.0) as bigint) end as mx, case when kind = 'term' then case when first then cast(ceil(months * 36525 / 3600.0) as bigint) else cast(ceil(months * 36525 / 2400.0) as bigint) end end as thr from c)
-    select k, coalesce(mx, -1) as max_days, coalesce(thr, -1) as threshold_days, case when status = 'convicted' then 'NOT_APPLICABLE' when status = 'acquitted' then case when after and others = 0 then 'CRITICAL_ACQUITTED_DETAINED' else 'NOT_APPLICABLE' end when not cust then 'NOT_APPLICABLE'
+    t as (select *, case when kind = 'term' then cast(ceil(months * 36525 / 1200.0) as bigint) end as mx, case when kind = 'term' then case when first then cast(ceil(months * 36525 / 3600.0) as bigint) else cast(ceil(months * 36525 / 2400.0) as bigint) end end as thr from c),
+    d as (select *, case when status = 'convicted' then 'NOT_APPLICABLE' when status = 'acquitted' then case when after and others = 0 then 'CRITICAL_ACQUITTED_DETAINED' else 'NOT_APPLICABLE' end when not cust then 'NOT_APPLICABLE'
       when kind = 'life' then case when needs then 'REVIEW' else 'EXCLUDED_479' end when fine then 'REVIEW' when counted >= mx then 'CRITICAL_MUST_RELEASE' when special then 'REVIEW' when others > 0 then 'REVIEW_MULTIPLE_CASES' when offences > 1 then 'REVIEW'
-      when counted >= thr then case when needs then 'REVIEW' else 'ELIGIBLE' end else case when needs then 'REVIEW' else 'NOT_YET' end end as status_out from t"""
-)
+      when counted >= thr then case when needs then 'REVIEW' else 'ELIGIBLE' end else case when needs then 'REVIEW' else 'NOT_YET' end end as status_out from t)"""
+
+
+@query(f"{_STATUS} select k, coalesce(mx, -1) as max_days, coalesce(thr, -1) as threshold_days, status_out from d")
 def eligibility_case(spark, sf):
     c = rules.case_status(_cases(spark, sf))
     return c.select("k", F.coalesce("max_days", F.lit(-1)).alias("max_days"), F.coalesce("threshold_days", F.lit(-1)).alias("threshold_days"), "status_out")
@@ -418,7 +419,8 @@ def _cases(spark, sf):
     )
 
 
-@query()
+@query(f"""{_STATUS}, o as (select *, case when status_out = 'CRITICAL_MUST_RELEASE' then counted - mx when counted >= thr and status_out in ('ELIGIBLE', 'REVIEW', 'REVIEW_MULTIPLE_CASES') then counted - thr end as late from d)
+    select o_custkey, arg_min(status_out, list_position({rules.URGENCY!r}, status_out)) as status, max(late) as days_overdue, count(*) as n_cases from o group by 1""")
 def person_roll_up(spark, sf):
     return rules.roll_up(rules.case_status(_cases(spark, sf)), "o_custkey")
 
@@ -479,11 +481,6 @@ def grounding_verify(spark, sf):
     return retrieval.unsupported_tokens(c.where("turn = 1"), c.where("turn = 0"), ["conv_id"], "[a-z0-9]+", "text", "text").groupBy("conv_id").agg(F.count(F.lit(1)).alias("unsupported"))
 
 
-@query()
-def tfidf_topk(spark, sf):
-    return retrieval.tfidf_cosine(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 5)
-
-
 # ---- evaluation
 
 

@@ -233,7 +233,17 @@ def latent_topk(spark, sf):
     return retrieval.latent_hybrid(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 5)
 
 
-@query()
+_COSINE = """tk as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents), ctf as (select id, term, count(*) as tf from tk group by all), cn as (select count(*) as n from documents),
+cidf as (select term, ln((1 + n) / (1 + count(*))) + 1 as idf from ctf cross join cn group by term, n), cqt as (select item_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark), cqf as (select id, term, count(*) as tf from cqt group by all),
+dw as (select id, term, (1 + ln(tf)) * idf as w from ctf join cidf using (term)), qw as (select id, term, (1 + ln(tf)) * idf as w from cqf join cidf using (term)), dn as (select id, sqrt(sum(w * w)) as m from dw group by id), qn as (select id, sqrt(sum(w * w)) as m from qw group by id),
+cs as (select q.id as query, d.id as id, round(sum(q.w * d.w) / any_value(dn.m) / any_value(qn.m), 6) as score from qw q join dw d on q.term = d.term join dn on dn.id = d.id join qn on qn.id = q.id group by q.id, d.id)"""
+_PLAIN_BM25 = """d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from documents), t as (select id, unnest(ts) as term from d), tf as (select id, term, count(*) as tf from t group by all), l as (select id, len(ts) as dl from d), s as (select count(*) as n, avg(dl) as a from l), df as (select term, count(*) as df from tf group by term),
+q as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark),
+bs as (select query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 6) as score from q join tf using (term) join df using (term) join l using (id) cross join s group by query, id)"""
+
+
+@query(f"""with {_COSINE}, {_PLAIN_BM25}, b as (select query, id, score / max(score) over (partition by query) as b from bs), h as (select query, id, round(0.5 * coalesce(b, 0) + 0.5 * greatest(coalesce(score, 0), 0), 6) as score from b full outer join cs using (query, id))
+select query, id, score, place from (select *, row_number() over (partition by query order by score desc, id) as place from h) where place <= 5 and score > 0.15""")
 def hybrid_topk(spark, sf):
     return retrieval.hybrid(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 5)
 
@@ -358,3 +368,8 @@ def required_fields(spark, sf):
     fields = F.array_compact(F.array(F.when(k % 2 == 0, "fir_number"), F.when(k % 5 == 0, "fir_datetime"), F.when(k % 7 > 0, "charge"), F.when(k % 4 == 0, "remand_date")))
     label = F.when(k % 3 == 0, "fir").when(k % 3 == 1, "remand_order").otherwise("other")
     return table(spark, sf, "orders").select(k.alias("k"), F.array_join(documents.missing_fields(label, fields), ", ").alias("missing"))
+
+
+@query(f"with {_COSINE} select query, id, score, place from (select *, row_number() over (partition by query order by score desc, id) as place from cs) where place <= 5 and score > 0")
+def tfidf_topk(spark, sf):
+    return retrieval.tfidf_cosine(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", 5)
