@@ -298,15 +298,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents of different components that share a key, where sizes and the places of what they
-    share allow the similarity. Components are paired first, so documents of one component never meet."""
+    """Pairs (a, b) of documents of different components that share a key, where sizes and the places of what they share
+    allow the similarity. Keys that one component holds alone pair nothing; all conditions stand in the join itself."""
     mixed = rows.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("key")
     rows = save(rows.join(mixed, "key", "left_semi"), "mixed")
-    held = rows.groupBy("key", "component_id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    side = lambda df, s: df.select("key", *(F.col(c).alias(c + s) for c in df.columns if c != "key"))
-    both = side(held, "_a").join(side(held, "_b"), "key").where("component_id_a < component_id_b").where(f"{DEN} * most_a >= {NUM} * least_b and {DEN} * most_b >= {NUM} * least_a")
-    pairs = both.select("key", "component_id_a", "component_id_b").join(side(rows, "_a"), ["key", "component_id_a"]).join(side(rows, "_b"), ["key", "component_id_b"])
+    side = lambda s: rows.select("key", *(F.col(c).alias(c + s) for c in rows.columns if c != "key"))
     may = f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {NUM + DEN} * least(n_a - pos_a, n_b - pos_b) >= {NUM} * (n_a + n_b)"
+    pairs = side("_a").join(side("_b"), "key").where("component_id_a < component_id_b")
     return pairs.where(may).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
 
