@@ -5,7 +5,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidewright.plans import catalog, records  # noqa: F401
+import __spark_entry__
+from tidewright.plans import cases, catalog, records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,8 @@ def test_query(spark, con, name):
         columns = [d[0] for d in cursor.description]
         assert sorted(columns) == sorted(df.columns)
         assert canon(df.columns, [tuple(r) for r in rows]) == canon(columns, cursor.fetchall())
+
+
+def test_every_query_of_the_entry_is_tried():
+    corpus = {n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()}
+    assert set(__spark_entry__.queries()) - corpus == set(catalog.QUERIES) and set(__spark_entry__.oracle_sql()) - corpus == set(catalog.SQL)

@@ -1,13 +1,15 @@
 """Timelines, extraction and consistency on small cases worked out by hand."""
 
 import datetime as dt
+from collections import defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import extract, text
 from tidewright.functions.extract import _dates, _segments
-from tidewright.operators import consistency, relational, timeline
+from tidewright.operators import consistency, matching, relational, timeline
 from tidewright.plans import records
 
 D0 = dt.date(2024, 1, 1)
@@ -130,11 +132,32 @@ def test_consistency(spark):
     assert consistency.visible(facts, None, F.col("k") > 2, F.col("field") == "remand_date").count() == 1
 
 
-def test_er_cluster_keeps_hot_names(spark, tmp_path):
-    """More than 200 customers of one nation, name and age are one cluster, though they have but one key."""
-    c = spark.read.parquet("/root/testdata/sf0.01/customer.parquet")
-    kinds = {f.name: f.dataType for f in c.schema}
-    hot = {"c_custkey": F.col("c_custkey") * 40, "c_nationkey": F.lit(7), "c_acctbal": F.lit(5)}
-    c.orderBy("c_custkey").limit(205).withColumns({k: x.cast(kinds[k]) for k, x in hot.items()}).write.parquet(str(tmp_path / "customer.parquet"))
-    out = records.er_cluster(spark, str(tmp_path)).collect()
-    assert len(out) == 205 and len({r.cluster for r in out}) == 1
+def _pairs(groups):
+    return {p for g in groups for p in combinations(sorted(g), 2)}
+
+
+def test_er_cluster_against_its_truth(spark):
+    """Three customers in a row are one person: pairs of one cluster against pairs of one person."""
+    clusters, persons = defaultdict(list), defaultdict(list)
+    for r in records.er_cluster(spark, "/root/testdata/sf0.01").collect():
+        clusters[r.cluster].append(r.id)
+        persons[r.id // 3].append(r.id)
+    found, true = _pairs(clusters.values()), _pairs(persons.values())
+    assert len(found & true) / len(found) >= 0.95 and len(found & true) / len(true) >= 0.95
+
+
+def test_hot_names_are_cut_not_skipped(spark):
+    """More than 200 records of one name are one cluster if all else agrees; of another age they are compared with none
+    that the age veto keeps apart, and an unknown age with all."""
+    schema = "id int, name string, relative_name string, age int, district string, police_station string, address string, co_accused array<string>, cnrs array<string>"
+    person = lambda k, age: (k, "Ravi Kumar", "Mohan Lal", age, "d", "p", "1 main road", ["Asha"], None)
+    rows = [person(k, 30 + k % 2) for k in range(205)] + [person(300 + k, 60) for k in range(3)] + [person(400, None)]
+    df = spark.createDataFrame(rows, schema)
+    clusters, pairs = matching.resolve(df)
+    found = {r.id: r.cluster for r in clusters.collect()}
+    assert len({found[k] for k in range(205)}) == 1 and {found[300 + k] for k in range(3)} == {300}  # the unknown age joins one of them
+    apart = pairs.where("a < 205 and b between 300 and 302").count()
+    assert apart == 0 and pairs.where("b = 400").count() == 208
+    assert {(r.key, r.n) for r in matching.oversized_keys(matching.prepared(df), "id", F.col("blocks")).collect()} == {("ravi", 209), ("kumar", 209)}
+    ages = spark.createDataFrame([(a,) for a in [None, -3, *range(0, 240, 3)]], "age int").withColumn("b", matching.bands(F.col("age"))).collect()
+    assert all(set(x.b) & set(y.b) for x in ages for y in ages if x.age is None or y.age is None or abs(x.age - y.age) < 10)
