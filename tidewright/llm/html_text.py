@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Limits of the block rules: characters, share of stop words, share of characters in links.
 SHORT, LONG, FEW_STOPS, MANY_STOPS, MOST_LINKS = 70, 200, 0.15, 0.25, 0.25
+#: Share of links above which a list in an article is a menu; share of stop words below which a page is in another
+#: language; times its good text by which what stands outside a marked article makes the mark wrong.
+MOST_LINKED, FOREIGN, WRONG_MARKS = 0.9, 0.05, 2.0
 STOP_WORDS = frozenset(
     (
         "a an and are as at be but by for from had has have he her his i if in is it its not of on or our she that the their they this to was we were which will with you "
@@ -20,8 +24,10 @@ STOP_WORDS = frozenset(
         "al como con cuando de del desde el ella en entre era es esta este fue ha hay la las lo los más me mi muy no nos o para pero por porque que se si sin sobre su sus también un una y ya"
     ).split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
-_RAW = {t: re.compile(rf"</{t}\s*(?:>|\Z)", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "noframes", "xmp")}
+_OPEN = re.compile(r"[A-Za-z][^\s/>]*")
+#: One attribute and what stands before it: a name, and a value in quotes or up to white space or the tag's end.
+_ATTR = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^\s>]*)|([\"'])))?)")
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "noframes", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -29,14 +35,35 @@ _BLOCK = frozenset(
 _OUTSIDE = frozenset("nav footer aside form dialog menu head button label".split())
 _LISTS = frozenset("ul ol menu dir".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Names in class, id or role that mark what isn't the article.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|notices?|popup|modal|overlay|share|sharing|social|comments?|disqus|replies|reply|related|recommend\w*|newsletter|subscribe|widget|toolbar|pagination|pager|contentinfo|complementary|alert|gdpr|login|signup)(?:$|[\s_-])",
-    re.I,
+#: Pieces of a class, id or role that mark what isn't the article, and pieces that may stand beside them. A name counts
+#: only if it is made of both alone: "comment-list" isn't the article, "notice-of-rights" may be.
+_MARKS = frozenset(
+    (
+        "ad ads advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promos promotion banner banners sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs "
+        "footer cookie cookies consent notice notices popup popups modal overlay share sharing social comment comments disqus reply replies related recommend recommended recommendations newsletter subscribe "
+        "subscription widget widgets toolbar pagination pager contentinfo complementary alert alerts gdpr login signup"
+    ).split()
+)
+_BESIDE = frozenset(
+    (
+        "main top bottom left right side bar box boxes block container wrapper wrap inner outer section area list item items link links button buttons form icon icons header head body footer page site global "
+        "primary secondary mobile desktop sticky fixed float slot unit zone space region row col column content text the js"
+    ).split()
 )
-_PAGE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-?title)(?:$|[\s_-])", re.I)
-_ATTRS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_COMMENTS = frozenset("comment comments reply replies".split())
+_HEADS = frozenset("header masthead topbar title".split())
+_PIECES = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _marks(names: str, of: frozenset) -> bool:
+    """Whether one of the names is made of pieces of `of`, of pieces that may stand beside them and of numbers."""
+    for name in names.split():
+        pieces = [p.lower() for p in _PIECES.split(name) if p and not p.isdigit()]
+        if any(p in of for p in pieces) and all(p in of or p in _BESIDE for p in pieces) or "".join(pieces) in of:
+            return True
+    return False
+
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -51,17 +78,48 @@ class _Blocks:
         self.linked = 0
         self.links = 0
         self.heading = False
+        self.open: Counter = Counter()  # how many of each tag are on the stack
         at, n = 0, len(page)
         while at < n:
-            m = _TOKEN.search(page, at)
-            self.text(page[at : m.start()] if m else page[at:])
-            if not m:
+            end = page.find("<", at)
+            self.text(page[at : end if end >= 0 else n])
+            if end < 0:
                 break
-            at = m.end()
-            if m[3]:
-                at = self.tag(m[3].lower(), bool(m[2]), m[4], at, page)
+            at = self.markup(page, end)
         self.flush()
 
+    def markup(self, page: str, at: int) -> int:
+        """What begins at a <; returns where it ends. Every character is looked at a bounded number of times."""
+        upto = lambda mark, start: found + len(mark) if (found := page.find(mark, start)) >= 0 else len(page)
+        if page.startswith("<!--", at):
+            return upto("-->", at + 4) if not page.startswith(("<!-->", "<!--->"), at) else upto(">", at)
+        if page.startswith("<![CDATA[", at):
+            return upto("]]>", at)
+        if page.startswith(("<!", "<?"), at):
+            return upto(">", at)
+        closes = page.startswith("</", at)
+        m = _OPEN.match(page, at + 1 + closes)
+        if closes:
+            end = upto(">", at)
+            return self.tag(m[0].lower(), True, {}, end, page) if m else end
+        if not m:
+            self.text("<")
+            return at + 1
+        at, attrs = m.end(), {}
+        while at < len(page):
+            a = _ATTR.match(page, at)
+            if not a:  # white space up to the end of the page
+                at = len(page)
+                break
+            at = a.end()
+            if a[1]:
+                return self.tag(m[0].lower(), False, attrs, at, page)
+            if a[6]:  # a quote that never closes
+                at = len(page)
+                break
+            attrs.setdefault(a[2].lower(), next((v for v in (a[3], a[4], a[5]) if v is not None), ""))
+        return at  # a tag that the page's end cuts off is no tag
+
     def text(self, raw: str) -> None:
         if raw:
             self.parts.append(raw)
@@ -75,9 +133,9 @@ class _Blocks:
             self.found.append((text, min(self.linked, len(text)), outside, article, self.heading, listed))
         self.parts, self.linked = [], 0
 
-    def tag(self, name: str, closes: bool, attrs: str, at: int, page: str) -> int:
+    def tag(self, name: str, closes: bool, attrs: dict[str, str], at: int, page: str) -> int:
         if name in _RAW and not closes:
-            if attrs.rstrip().endswith("/") and name in ("svg", "math", "iframe", "object"):
+            if page[at - 2] == "/" and name in ("svg", "math"):
                 return at
             end = _RAW[name].search(page, at)
             self.parts.append(" ")
@@ -96,79 +154,107 @@ class _Blocks:
         if name == "hr":
             return at
         if closes:
-            if any(t == name for t, *_ in self.stack):
-                while self.stack.pop()[0] != name:
+            if self.open[name]:
+                while self.pop() != name:
                     pass
             self.heading = False
             return at
         if name == "p" or name in _HEADINGS or name == "li":
             # an open paragraph, heading or item ends where the next of its kind begins
             while self.stack and self.stack[-1][0] in ("p", *_HEADINGS, *(("li",) if name == "li" else ())):
-                self.stack.pop()
+                self.pop()
         _, outside, article, listed = self.stack[-1] if self.stack else ("", False, False, False)
-        names = " ".join(x.strip("\"'") for x in _ATTRS.findall(attrs)) if attrs.strip() else ""
+        names = " ".join(html.unescape(attrs[c]) for c in ("class", "id", "role") if attrs.get(c))
         if name in ("article", "main"):
             article = True
         if name not in ("html", "body", "article", "main"):
-            outside = outside or name in _OUTSIDE or (name == "header" and not article) or bool(names and (_NAMES.search(names) or (not article and _PAGE_HEAD.search(names))))
-        elif names and name == "article" and re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", names, re.I):
+            outside = outside or name in _OUTSIDE or (name == "header" and not article) or bool(names and (_marks(names, _MARKS) or (not article and _marks(names, _HEADS))))
+        elif name == "article" and _marks(names, _COMMENTS):
             outside = True
-        outside = outside or bool(attrs and _HIDDEN.search(attrs))
+        style = "".join(attrs.get("style", "").lower().split())
+        outside = outside or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in style
         self.heading = name in _HEADINGS
         self.stack.append((name, outside, article, listed or name in _LISTS))
+        self.open[name] += 1
         return at
 
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        self.open[name] -= 1
+        return name
 
-def main_text(page: str | None) -> str:
-    """The main text of one page; blocks joined by a line end."""
-    blocks = _Blocks(page or "").found
-    has_article = any(article and not outside for _, _, outside, article, *_ in blocks)
-    first = []
-    for text, linked, outside, article, _, listed in blocks:
+
+def _first_pass(blocks: list[tuple], has_article: bool) -> list[str]:
+    """A label for each block by itself: out (what holds it can't be the article), bad, good, near or short."""
+    counted = []
+    for text, *_ in blocks:
         words = _LETTERS.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        links = linked / len(text)
-        # of a marked article only lists of links go
-        if outside or (has_article and not article) or (links > (0.9 if has_article else MOST_LINKS) and (listed or not has_article)):
-            first.append("bad")
+        counted.append((len(words), sum(w in STOP_WORDS for w in words)))
+    held = [c for c, b in zip(counted, blocks, strict=True) if not b[2]]
+    # in a language of none of the stop words they say nothing: length and links decide
+    known = sum(s for _, s in held) >= FOREIGN * sum(n for n, _ in held)
+    labels = []
+    for (text, linked, outside, article, _, listed), (n, s) in zip(blocks, counted, strict=True):
+        stops, links = (s / n if n else 0.0) if known else MANY_STOPS, linked / len(text)
+        if outside or (has_article and not article):
+            labels.append("out")
+        elif has_article and links > MOST_LINKED and listed:
+            labels.append("bad")  # of a marked article only lists of links go
         elif has_article:
-            # inside a marked article the density rules can only be sure of what is good
-            first.append("good" if len(text) > SHORT and stops >= FEW_STOPS else "near")
+            labels.append("good" if len(text) > SHORT and stops >= FEW_STOPS else "near")
+        elif links > MOST_LINKS:
+            labels.append("bad")
         elif len(text) < SHORT:
-            first.append("bad" if links > 0 else "short")
+            labels.append("bad" if links > 0 else "short")
         elif stops >= MANY_STOPS:
-            first.append("good" if len(text) > LONG else "near")
+            labels.append("good" if len(text) > LONG else "near")
         else:
-            first.append("near" if stops >= FEW_STOPS else "bad")
-    decided = ["good" if c == "good" else "bad" if c == "bad" else "" for c in first]
-    before = [""] * len(first)
-    after = [""] * len(first)
+            labels.append("near" if stops >= FEW_STOPS else "bad")
+    return labels
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page; blocks joined by a line end."""
+    blocks = _Blocks(page or "").found
+    inside = lambda b: b[3] and not b[2]
+    has_article = any(map(inside, blocks))
+    first = _first_pass(blocks, has_article)
+    if has_article:
+        # marks may be wrong: teasers marked as articles hold less good text than what stands beside them
+        plain = _first_pass(blocks, False)
+        size = lambda own: sum(len(b[0]) for b, c in zip(blocks, plain, strict=True) if c == "good" and inside(b) == own)
+        if size(False) > WRONG_MARKS * size(True):
+            has_article, first = False, plain
+    # inside a marked article what surrounds a menu or advert says nothing of the text beside it
+    decided = [{"good": "good", "bad": "bad", "out": "" if has_article else "bad"}.get(c, "") for c in first]
+    # what stands before all else and heads nothing is page furniture; the last lines of a text may well be short
+    before, after = ["" if has_article else "bad"] * len(first), [""] * len(first)
     for k in range(1, len(first)):
         before[k] = decided[k - 1] or before[k - 1]
     for k in range(len(first) - 2, -1, -1):
         after[k] = decided[k + 1] or after[k + 1]
+    sure = "good" in first
     out = []
     for k, c in enumerate(first):
         around = {before[k], after[k]} - {""}
-        if c == "good" or (has_article and c == "near"):
-            out.append(blocks[k][0])
-        elif c == "near" and (around != {"bad"}):
+        heads = blocks[k][4] and after[k] == "good"
+        # where nothing is good, what isn't bad is all the text there is
+        if c == "good" or (c == "near" and (around != {"bad"} or not sure)) or (c == "short" and (heads or around == {"good"} or not sure)):
             out.append(blocks[k][0])
-        elif c == "short":
-            heads = blocks[k][4] and after[k] == "good"
-            if heads or around == {"good"}:
-                out.append(blocks[k][0])
     return "\n".join(out)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    First pass: a block inside a menu, header, footer, sidebar, notice, advert, form or comment list, or full of links,
-    is bad; of the rest long blocks with many stop words are good, short ones undecided. Second pass: undecided blocks
-    take the label of the nearest decided neighbours; where a page marks its article, what the article holds is
-    undecided at worst and inherits from it. Null or empty html gives the empty text; html may end anywhere. An empty
-    table gives no rows; repeated rows repeat; other columns are ignored.
+    First pass: a block inside a menu, header, footer, sidebar, notice, advert, form or comment list is out, one full of
+    links is bad; of the rest long blocks with many stop words are good, short ones undecided. Where the page is in a
+    language of none of the stop words, length and links alone decide. Second pass: undecided blocks take the label of
+    the nearest decided neighbours: inside a marked article they go only between lists of links, elsewhere short ones
+    stay only between good ones, after the last one or as the heading of one; where a page has no good block at all, they stay. A page of
+    which most good text stands outside what it marks as its article is judged as if it had no mark. Null or empty html
+    gives the empty text; html may be broken and may end anywhere, time grows with its length. An empty table gives no
+    rows; repeated rows repeat; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,5 +262,5 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
