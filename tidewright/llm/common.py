@@ -43,6 +43,19 @@ def drop(*saved: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def free(name: str, *taken: str) -> str:
+    """`name`, or with underscores after it until no column of `taken` is called so, whatever its case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of this very name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import save, small
+from tidewright.llm.common import named, save, small
 
 KINDS = ("email", "ip", "card", "phone", "secret", "term")
 #: A run of digits is taken whole (possessive) and only from its start, so that no run is scanned once for each digit.
@@ -48,7 +48,8 @@ def _luhn(digits: str) -> bool:
 
 def _passes(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        parts = [p.lstrip("0") for p in found.split(".")]
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     if kind == "card":
         digits = "".join(_DIGIT.findall(found))
         return 14 <= len(digits) <= 19 and _luhn(digits)
@@ -218,7 +219,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and empty texts have no spans and an empty sanitised text. An empty table gives no rows; repeated rows
     repeat; other columns are ignored. Of ties, spans with the same start, the kind listed first comes first.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
     terms = save(disclosing_terms(rows), "terms")
     shared = None
     if terms.count() <= MOST_TERMS:
