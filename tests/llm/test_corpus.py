@@ -383,3 +383,21 @@ def test_pipeline(spark):
             assert {r.doc_id for r in frame.collect()} == set(brute_components(sets_of([(i, t) for i, t in clean.items() if t])).values())
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in frame.collect()}
+
+
+def test_pipeline_stages_on_edges(spark):
+    """Nulls, repeats, nameless rows, ties, columns of clashing names, an empty table: every stage keeps its promise."""
+    import corpus_pipeline
+
+    rows = [(1, None), (2, ""), (3, "123 !"), (4, LONG), (4, LONG), (5, LONG + " end"), (None, "a text of its own without a name"), (None, None), (6, "one\ntwo\nthree"), (7, "one\ntwo\nthree"), (8, "short text")]
+    more = ["lang_pred", "gone_id", "bad_id", "line_dedup_n_lines", "a.b"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, *["v"] * len(more)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more)).repartition(3)
+    said = {"language_id": [None, 4, 4, 5, 6, 7, 8], "line_dedup": [None, 4, 4, 5, 6, 8], "jaccard_join": [None, 4, 4, 6, 8], "decontamination": [None, 4, 4, 6, 8], "bpe": [None, 4, 4, 6, 8]}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, df.where("false"), SF)
+        out = stage(spark, df, SF).persist()
+        assert none.count() == 0 and none.columns == out.columns
+        assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, said[name])), name
+        if name != "bpe":
+            assert out.columns == df.columns and all(r["a.b"] == r["gone_id"] == "v" for r in out.collect())
+            df = out

@@ -57,12 +57,15 @@ def test_nulls_repeats_names_and_empty_tables(spark, name):
     assert f(df.where("false")).count() == 0 and f(df.where("false")).columns == out.columns
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n != "html"])
+@pytest.mark.parametrize("name", NAMES)
 def test_long_texts(spark, name):
     """A megabyte without a gap, of digits and of one phrase: no step's time may grow with the square of the length."""
-    df = spark.createDataFrame([(1, LETTERS), (2, DIGITS), (3, PHRASE), (4, "x\n" * 200_000)], "doc_id long, text string").repartition(4)
+    texts = [LETTERS, DIGITS, PHRASE, "x\n" * 200_000]
+    if name == "html":
+        texts += ["<div>" * 100_000 + "x" + "</ul>" * 100_000, '<a "' * 100_000, "<" * 500_000, "<a " + "class=x " * 100_000, '<b x="' * 100_000, "<p>" * 100_000 + "</p>" * 100_000, "<script></script " * 50_000, "<a" + " " * 500_000, "<!--" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     began = time.time()
-    assert len(operators(spark)[name](df).drop("text", "decoded", "ids", "sanitised", "line_dedup_removed").collect()) == 4
+    assert len(operators(spark)[name](df).drop("text", "decoded", "ids", "sanitised", "line_dedup_removed").collect()) == len(texts)
     assert time.time() - began < 90
 
 
@@ -233,6 +236,54 @@ def test_gold_pages():
     assert hit / got >= 0.98 and hit / due >= 0.98, (hit / got, hit / due)
 
 
+def test_broken_markup_loses_no_text():
+    text = html_text.main_text
+    assert text("<article><p>One <b data-x=don't>two</b> three.</p><p>It's four of the words.</p></article>") == "One two three.\nIt's four of the words."
+    assert text('<article><p class=a">Text of it</p></article>') == "Text of it"
+    assert text("<article><p>1 < 2 and <3 is more</p></article>") == "1 < 2 and <3 is more"
+    assert text('<article><p title="a>b" class=\'x\'>In</p><img alt="<p>no"></article>') == "In"
+    assert text("<article><p>Kept</p><p ti") == "Kept" and text("<article><p>Kept</p><a href='x>lost</a>") == "Kept"
+    assert text("<article><p>A</p><!-- <p>no</p> --><p>B</p><!-->C<![CDATA[ no ]]><?php no ?></x no>") == "A\nB\nC"
+
+
+def test_pages_without_marks_or_with_wrong_ones():
+    """Short pages and other languages stay; density finds the text where marks are missing or stand elsewhere."""
+    text = html_text.main_text
+    assert text("<h1>Title of it</h1><p>A short story.</p><p>Another of the short lines in it.</p>") == "Title of it\nA short story.\nAnother of the short lines in it."
+    russian = "Это длинный русский текст о том, как мы живем и работаем в большом городе."
+    assert text(f"<nav><a href=x>Меню</a></nav><h1>Город</h1><p>{russian * 4}</p><p>Конец.</p>") == f"Город\n{russian * 4}\nКонец."
+    said = "The cat of the house is in the garden and it was there for the day with all of its friends. " * 3
+    teasers = "".join(f"<article><p>Read more of story {k}</p></article>" for k in range(4))
+    assert text(f"<div>{teasers}</div><div><h1>The day</h1><p>{said}</p><p>{said}</p></div>") == f"The day\n{said.strip()}\n{said.strip()}"
+    menu = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    assert text(f"<article><p>{said}</p>{menu}<p>More:</p>{menu}</article>") == said.strip()  # between two menus
+    assert text(f"<article><p>{said}</p><aside>no</aside><p>Yes.</p><aside>no</aside></article>") == f"{said.strip()}\nYes."
+
+
+def test_names_that_only_resemble_marks():
+    said = "The cat of the house is in the garden and it was there for the day with all of its friends."
+    for own, stays in {"notice-of-rights": True, "share-price": True, "related-work": True, "adventure": True, "cookie-notice": False, "ad-728": False, "side-bar": False, "commentList": False, "ad": False, "x promo-box": False}.items():
+        assert html_text.main_text(f"<article><p>{said}</p><div class='{own}'><p>More of it.</p></div></article>") == said + "\nMore of it." * stays, own
+
+
+def test_addresses_of_many_zeros():
+    t = "0" * 5000 + ".1.2.3 and 1.2.3.256 and 1.2.3." + "9" * 5000 + " and 000.0.0.0255 end"
+    assert [t[a:b] for a, b, k in pii.base_spans(t) if k == "ip"] == ["0" * 5000 + ".1.2.3", "000.0.0.0255"]
+
+
+def test_columns_of_any_name_pass(spark):
+    """Names that the operators use themselves, names with dots and back quotes: rows pass whole."""
+    names = ["gone_id", "bad_id", "lang_pred", "lang_score", "line_dedup_removed", "line_dedup_n_lines", "line_dedup_id", "a.b", "doc_key", "GONE_ID_"]
+    docs = [(k, f"the {k} of a text\nof three\nlines and {k}", "en", "s", 9, *([f"v{k}"] * len(names))) for k in range(6)]
+    df = spark.createDataFrame(docs, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    bench = spark.createDataFrame([(1, "the 3 of a text")], "item_id long, text string")
+    for f, n in ((jaccard_join.keep_one_per_class, 6), (lambda d: decontaminate.drop_contaminated(d, bench), 5), (line_dedup.line_dedup, 6)):
+        out = f(df)
+        assert out.columns[: len(df.columns)] == df.columns and len(set(out.columns)) == len(out.columns)
+        rows = out.collect()
+        assert len(rows) == n and all(r["a.b"] == r["line_dedup_removed"] == f"v{r.doc_id}" for r in rows)
+
+
 def test_article_links_stay():
     page = "<article><p>Read <a href=x>the full annual report</a> today.</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p>End.</p></article>"
     assert html_text.main_text(page) == "Read the full annual report today.\nEnd."

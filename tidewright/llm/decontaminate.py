@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import words
-from tidewright.llm.common import drop, save, small
+from tidewright.llm.common import drop, free, named, save, small
 
 #: Words of a passage; latent dimensions and extra columns of the sketch; items that are searched at once.
 PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 2_000
@@ -315,7 +315,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     and their numbers again for each block; words weigh the same in every block, so blocks don't change what is found.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.xxhash64(named(text_col).cast("string")).alias("text_key"), named(text_col).cast("string").alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     vocabulary = [bytes(r["word"]) for r in items.select("text").mapInArrow(_vocabulary, "word binary").distinct().collect()]
     v = len(vocabulary)
@@ -386,5 +386,6 @@ def _search_block(numbered: DataFrame, items: list[tuple[int, list[int]]], df: n
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose document holds no benchmark item (null ids stay)."""
-    bad = save(find_contaminated(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
-    return docs.join(small(bad, bad.count()), docs[id_col] == F.col("_bad_id"), "left_anti")
+    key = free("bad_id", *docs.columns)
+    bad = save(find_contaminated(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.join(small(bad, bad.count()), named(id_col) == F.col(key), "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import words
-from tidewright.llm.common import drop, partitions, save, small
+from tidewright.llm.common import drop, free, named, partitions, save, small
 from tidewright.llm.components import connected_components
 
 WORDS = 5
@@ -245,7 +245,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     bits = max(6, min(16, (16 * partitions(spark) - 1).bit_length()))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     nameless, texts = texts.where("doc_id is null"), texts.where("doc_id is not null")
     common = spark.sparkContext.broadcast(_common_shingles(texts, bits))
     sets = save(texts.mapInArrow(_prefixes(common, bits), _PREFIX), "prefixes")
@@ -316,5 +316,6 @@ def _components_of(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, without those whose doc_id isn't the smallest of its class (null ids stay)."""
-    gone = save(jaccard_classes(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
-    return docs.join(small(gone, gone.count()), docs[id_col] == F.col("_gone_id"), "left_anti")
+    key = free("gone_id", *docs.columns)
+    gone = save(jaccard_classes(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(small(gone, gone.count()), named(id_col) == F.col(key), "left_anti")

@@ -189,11 +189,13 @@ def with_language(docs: DataFrame, profiles: DataFrame, text_col: str = "text",
             for part in words.by_size(batch, at):
                 found = [nearest.predict(t) for t in part.column(at).cast(pa.string()).to_pylist()]
                 new = [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, lang_name, score_name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "lang", "score"])
         words.release()
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    # names with dots can't be handed to a worker: there columns go by their place
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema.fields, strict=True)), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns, lang_name, score_name)
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewright.llm.common import save
+from tidewright.llm.common import free, named, save
 
 WINDOW = 3
 
@@ -15,9 +15,10 @@ def _lines(text):
     return F.split(text, "\n", -1)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_key, text_key, removed: sorted array of disjoint inclusive line ranges) of documents that lose lines."""
-    keyed = docs.select(F.col(id_col).alias("doc_key"), F.xxhash64(text_col).alias("text_key"), _lines(F.col(text_col)).alias("lines")).where(F.size("lines") >= WINDOW)
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """docs (doc_key, text) -> (doc_key, text_key, removed: sorted array of disjoint inclusive line ranges) of those that
+    lose lines."""
+    keyed = docs.select("doc_key", F.xxhash64("text").alias("text_key"), _lines(F.col("text")).alias("lines")).where(F.size("lines") >= WINDOW)
     # two 64-bit hashes of each line, then of each window: 128 bits tell windows of a very large corpus apart
     hashed = keyed.select(
         "doc_key",
@@ -53,6 +54,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return ranges.groupBy("doc_key", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed"))
 
 
+def added_names(columns: list[str]) -> tuple[str, str, str]:
+    """How `line_dedup` calls the columns that it adds: lines, lines removed, ranges removed."""
+    n_lines, n_removed, removed = (free(f"line_dedup_{c}", *columns) for c in ("n_lines", "n_removed", "removed"))
+    return n_lines, n_removed, removed
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with `text_col` cleaned, and the columns line_dedup_n_lines, line_dedup_n_removed, line_dedup_removed.
 
@@ -61,27 +68,29 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     occurrences cover go, unless a first occurrence covers them too. Documents of fewer than three lines have no
     window and stay. Null text stays null and has 0 lines; text whose lines all go becomes empty. Rows that
     repeat the same id and text are one document: each stays first where the other does. An empty table gives no rows;
-    other columns pass through, whatever their names, but for names that begin with line_dedup_, which raise an error.
+    other columns pass through, whatever their names; where one has the name of an added column, the added one has
+    underscores after it.
     """
-    private = [f"line_dedup_{c}" for c in ("n_lines", "n_removed", "removed", "lines", "id", "key")]
-    if clash := sorted(set(private) & set(docs.columns)):
-        raise ValueError(f"documents have columns of these names already: {clash}")
-    gone = removed_lines(docs.select(id_col, text_col), id_col, text_col)
-    gone = gone.select(F.col("doc_key").alias("line_dedup_id"), F.col("text_key").alias("line_dedup_key"), F.col("removed").alias("line_dedup_removed"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("line_dedup_id")) & (F.xxhash64(docs[text_col]) == F.col("line_dedup_key")), "left")
-    n = F.when(docs[text_col].isNull(), 0).otherwise(F.size(_lines(docs[text_col])))
-    removed = F.coalesce("line_dedup_removed", F.array().cast("array<struct<first:int,last:int>>"))
-    joined = joined.select(*[docs[c] for c in docs.columns], n.alias("line_dedup_n_lines"), removed.alias("line_dedup_removed"))
-    cuts, lines = F.col("line_dedup_removed"), _lines(F.col(text_col))
+    n_lines, n_removed, removed = added_names(docs.columns)
+    taken = [*docs.columns, n_lines, n_removed, removed]
+    id_, key, own, split_ = (free(f"line_dedup_{c}", *taken) for c in ("id", "key", "of", "lines"))
+    gone = removed_lines(docs.select(named(id_col).alias("doc_key"), named(text_col).alias("text")))
+    gone = gone.select(F.col("doc_key").alias(id_), F.col("text_key").alias(key), F.col("removed").alias(own))
+    joined = docs.join(gone, named(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(named(text_col)) == F.col(key)), "left")
+    n = F.when(named(text_col).isNull(), 0).otherwise(F.size(_lines(named(text_col))))
+    found = F.coalesce(F.col(own), F.array().cast("array<struct<first:int,last:int>>"))
+    joined = joined.select(*[named(c) for c in docs.columns], n.alias(n_lines), found.alias(removed))
+    cuts, lines = F.col(removed), _lines(named(text_col))
     kept = F.transform(
         F.sequence(F.lit(0), F.size(cuts)),
         lambda i: F.struct(
             F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["last"] + 1).alias("s"),
-            F.when(i == F.size(cuts), F.col("line_dedup_n_lines") - 1).otherwise(F.get(cuts, i)["first"] - 1).alias("e"),
+            F.when(i == F.size(cuts), F.col(n_lines) - 1).otherwise(F.get(cuts, i)["first"] - 1).alias("e"),
         ),
     )
-    parts = F.transform(F.filter(kept, lambda k: k["e"] >= k["s"]), lambda k: F.array_join(F.slice("line_dedup_lines", k["s"] + 1, k["e"] - k["s"] + 1), "\n"))
-    clean = F.when(F.size(cuts) == 0, F.col(text_col)).otherwise(F.array_join(parts, "\n"))
+    parts = F.transform(F.filter(kept, lambda k: k["e"] >= k["s"]), lambda k: F.array_join(F.slice(split_, k["s"] + 1, k["e"] - k["s"] + 1), "\n"))
+    clean = F.when(F.size(cuts) == 0, named(text_col)).otherwise(F.array_join(parts, "\n"))
     gone_lines = F.aggregate(cuts, F.lit(0), lambda acc, c: acc + c["last"] - c["first"] + 1)
-    out = joined.withColumn("line_dedup_lines", F.when(F.size(cuts) > 0, lines))
-    return out.withColumn("line_dedup_n_removed", gone_lines).withColumn(text_col, clean).drop("line_dedup_lines")
+    out = joined.withColumn(split_, F.when(F.size(cuts) > 0, lines))
+    shown = [clean.alias(c) if c == text_col else named(c) for c in docs.columns]
+    return out.select(*shown, n_lines, gone_lines.alias(n_removed), removed)
