@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidewright.functions import dates, scores, text
 from tidewright.operators import intervals, matching, metrics, monitor, relational, retrieval, rules
 from tidewright.sources.readers import table
+from tidewright.streaming import ordered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -450,6 +451,50 @@ def alerts_lifecycle(spark, sf):
     return monitor.lifecycle(stored, o.where("o_orderkey % 3 = 0"), F.lit("1998-06-01").cast("date"))
 
 
+def _changes(events):
+    """Errors raise a user's alert, signups clear it, every fifth purchase acknowledges it; two alerts a user."""
+    action = F.when(F.col("event_type") == "error", "holds").when(F.col("event_type") == "signup", "gone").when((F.col("event_type") == "purchase") & (F.col("event_id") % 5 == 0), "acknowledged")
+    severity = F.get(F.array(F.lit("critical"), F.lit("high"), F.lit("medium")), (F.col("event_id") % 3).cast("int"))
+    key = F.concat_ws(":", "user_id", F.col("event_id") % 2)
+    return events.select(key.alias("dedupe_key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), action.alias("action"), severity.alias("severity")).where("action is not null")
+
+
+_TRANSITIONS = """select dedupe_key, epoch_us(moment) as at_us, transition, severity from (
+    with recursive c as (select user_id || ':' || event_id % 2 as k, ts as moment, row_number() over (partition by user_id, event_id % 2 order by ts, event_id) as i,
+        case event_type when 'error' then 'holds' when 'signup' then 'gone' else 'acknowledged' end as action, (['critical', 'high', 'medium'])[event_id % 3 + 1] as severity
+        from events where event_type in ('error', 'signup') or (event_type = 'purchase' and event_id % 5 = 0)),
+    s as (select k, 0::bigint as i, 'none' as state, 'none' as was, null::timestamp as moment, null::timestamp as created, null::varchar as severity from (select distinct k from c)
+          union all
+          select s.k, c.i, case when c.action = 'holds' and s.state in ('none', 'auto_resolved') then 'open' when c.action = 'gone' and s.state = 'open' then 'auto_resolved' when c.action = 'acknowledged' and s.state = 'open' then 'acknowledged' else s.state end,
+                 s.state, c.moment, case when s.state = 'none' and c.action = 'holds' then c.moment else s.created end, case when s.state = 'none' and c.action = 'holds' then c.severity else s.severity end
+          from s join c on c.k = s.k and c.i = s.i + 1),
+    m as (select *, lead(moment) over (partition by k order by i) as until from s where state <> was),
+    e as (select k, min(greatest(created + interval 3 day, moment)) as moment, min(severity) as severity from m where state = 'open' and severity in ('critical', 'high') and (until is null or until > greatest(created + interval 3 day, moment))
+            and greatest(created + interval 3 day, moment) <= (select date_trunc('millisecond', max(moment)) from c) group by k)
+    select k as dedupe_key, moment, case when state = 'open' then case when was = 'none' then 'opened' else 'reopened' end else state end as transition, severity from m union all select k, moment, 'escalated', severity from e)"""
+
+
+@query(_TRANSITIONS)
+def alert_transitions(spark, sf):
+    """Every step of every alert over all events, by windows."""
+    return monitor.transitions(_changes(table(spark, sf, "events"))).select("dedupe_key", F.unix_micros("at").alias("at_us"), "transition", "severity")
+
+
+@query(_TRANSITIONS)
+def alert_transitions_stream(spark, sf):
+    """The same from a stream of the events that keeps a state for each alert, with timers for escalation."""
+    out = ordered.to_table(spark, f"{sf}/event[s].parquet", lambda s: ordered.alert_transitions(_changes(s)))
+    return out.select("dedupe_key", F.unix_micros("at").alias("at_us"), "transition", "severity")
+
+
+@query(SQL["sliding_failures"])
+def sliding_failures_stream(spark, sf):
+    """`sliding_failures` from a stream that remembers failures since the last success."""
+    by_type = lambda kind: F.col("event_type") == kind
+    out = ordered.to_table(spark, f"{sf}/event[s].parquet", lambda s: ordered.failures_since_success(s, "user_id", "event_id", "ts", by_type("error"), by_type("signup"), 360))
+    return out.select("event_id", F.col("key").alias("user_id"), "failures")
+
+
 # ---- retrieval
 
 
