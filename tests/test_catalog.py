@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tidewright.plans import cases, catalog, records  # noqa: F401
+from tidewright.plans import cases, catalog, intake, records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

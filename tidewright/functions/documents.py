@@ -47,13 +47,14 @@ CAUSES = [
 ]
 
 
-def document_class(text: Column, classes: dict[str, list[str]] = CLASSES, head: int = 3000) -> Column:
-    """struct(label, confidence, method) by how many patterns of a class the head of a text matches.
+def document_class(text: Column, classes: dict[str, list[str]] = CLASSES, head: int | None = 3000) -> Column:
+    """struct(label, confidence, method) by how many patterns of a class the head of a text matches (None: all
+    of it).
 
     Two or more hits decide if no other class has as many, one only if no other has any; otherwise the first of the best
     classes stands with confidence 0.5, and a text without a hit is unknown.
     """
-    start = F.substring(F.coalesce(text, F.lit("")), 1, head)
+    start = F.coalesce(text, F.lit("")) if head is None else F.substring(F.coalesce(text, F.lit("")), 1, head)
     hits = {k: sum((F.rlike(start, F.lit(f"(?iu){p}")).cast("int") for p in ps), F.lit(0)) for k, ps in classes.items()}
     ranked = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("label")) for i, (k, n) in enumerate(hits.items())]))
     best, top, second = F.get(ranked, F.lit(0))["label"], -F.get(ranked, F.lit(0))["n"], -F.get(ranked, F.lit(1))["n"]
