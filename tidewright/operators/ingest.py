@@ -94,7 +94,7 @@ def ingest(uploads: DataFrame, names: DataFrame, cases: DataFrame, today: Column
     u = u.alias("u").join(first.alias("f"), (F.col("u.sha256") == F.col("f.sha256")) & F.col("u.person_id").eqNullSafe(F.col("f.person_id")) & F.col("u._rejected").isNull(), "left").select("u.*", "f._first")
     dup = F.when(F.col("_first") < F.col("upload_id"), F.col("_first"))
     u = u.withColumn("duplicate_of", dup).withColumn("_text", F.when(F.col("_kind") == "text", F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit(""))).otherwise("")).drop("content", "_first")
-    u = u.withColumn("_readable", F.col("_rejected").isNull() & F.col("duplicate_of").isNull() & (F.trim("_text") != ""))
+    u = u.withColumn("_readable", F.col("_rejected").isNull() & F.col("duplicate_of").isNull() & F.rlike("_text", F.lit(r"(?U)\S")))
     u = checkpointed(u.withColumn("_class", F.when(F.col("_readable"), documents.document_class(F.col("_text"), head=head))))
     read = u.where("_readable")
 

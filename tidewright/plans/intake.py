@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.operators import ingest
+from tidewright.functions import documents
+from tidewright.operators import consistency, ingest
+from tidewright.plans import records, training
 from tidewright.plans.catalog import query
 from tidewright.sources.readers import table
 
@@ -47,12 +49,10 @@ def _uploads(spark, sf):
 
 
 def _ingested(spark, sf):
-    from tidewright.plans.records import _today
-
     people = spark.range(40).select(F.col("id").alias("person_id"), F.get(F.array(*map(F.lit, _NAMES)), (F.col("id") % 7).cast("int")).alias("name"))
     cases = spark.range(80).select((F.floor(F.col("id") / 2) * 10 + F.col("id") % 2).alias("case_id"), F.floor(F.col("id") / 2).alias("person_id"))
     cases = cases.withColumn("fir_number", F.concat(F.col("case_id").cast("string"), F.lit("/2023"))).withColumn("cnr", F.lit(None).cast("string"))
-    return ingest.ingest(_uploads(spark, sf), people, cases, _today())
+    return ingest.ingest(_uploads(spark, sf), people, cases, records._today())
 
 
 # ---- what the shapes say must come out, by key
@@ -98,3 +98,86 @@ def ingest_reviews(spark, sf):
     """What a reviewer has to look at, one item for each kind and reference."""
     r = _ingested(spark, sf).reviews
     return r.select("kind", "upload_id", F.col("confidence").cast("decimal(3,2)").alias("confidence"), F.array_join("titles", " | ").alias("titles"))
+
+
+# ---- seven fields of documents against the record
+
+_FIELDS = ["charge_sheet_date", "remand_date", "arrest_datetime", "release_date", "offence_datetime", "transfer_date", "hearing"]
+_TYPES = ["judicial_custody", "released", "police_custody", "transfer", "on_bail", "judicial_custody", "escaped"]
+
+
+def _record(spark, sf):
+    """Orders as cases, their lines as custody and hearings, and a fact read from a document for each line: its field and
+    how far it is off follow from keys."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("person_id"), F.to_date("o_orderdate").alias("d"))
+    k = F.col("case_id")
+    cases = o.select("case_id", "person_id", F.when(k % 5 > 0, F.date_add("d", 60)).alias("charge_sheet_date"), F.when(k % 7 > 0, F.col("d")).alias("first_remand_date"), F.when(k % 6 > 0, F.date_sub("d", 10)).alias("offence_date"))
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("ship")).groupBy("case_id", "n").agg(F.min("ship").alias("ship")).join(o, "case_id")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    n = F.col("n")
+    custody = line.select("person_id", F.when(n != 3, k).alias("case_id"), pick(_TYPES, n - 1).alias("type"), F.col("ship").alias("start"), F.when((k + n) % 9 > 0, F.date_add("ship", (F.lit(5) + (k + n) % 60).cast("int"))).alias("end"))
+    hearings = line.where("case_id % 3 > 0").select("case_id", F.date_add("ship", 15).alias("date"))
+    field, off = pick(_FIELDS, (k + n) % 7), (F.pmod(k * 31 + n * 17, F.lit(3)) - 1).cast("int")
+    base = F.when(field == "charge_sheet_date", F.date_add("d", 60)).when(field == "remand_date", F.col("d")).when(field == "offence_datetime", F.date_sub("d", 10)).when(field == "hearing", F.date_add("ship", 15)).otherwise(F.col("ship"))
+    facts = line.select((k * 10 + n).alias("fact_id"), "person_id", F.when((k + n) % 4 > 0, k).alias("case_id"), field.alias("field"), F.when((k + n) % 13 > 0, F.date_add(base, off)).alias("value"), F.when((k + n) % 8 == 0, base).alias("alternative"))
+    return facts, cases, custody, hearings
+
+
+_RECORD = f"""o as (select o_orderkey as k, o_custkey as p, cast(o_orderdate as date) as d from orders),
+ca as (select k, p, case when k % 5 > 0 then d + 60 end as cs, case when k % 7 > 0 then d end as fr, case when k % 6 > 0 then d - 10 end as od from o),
+li as (select l_orderkey as k, l_linenumber as n, min(cast(l_shipdate as date)) as ship, any_value(p) as p, any_value(d) as d from lineitem join o on k = l_orderkey group by 1, 2),
+cu as (select p, case when n <> 3 then k end as k, list_extract({_TYPES!r}, n::int) as type, ship as s, case when (k + n) % 9 > 0 then ship + (5 + (k + n) % 60)::int end as e from li),
+he as (select k, ship + 15 as h from li where k % 3 > 0),
+fa0 as (select *, list_extract({_FIELDS!r}, ((k + n) % 7)::int + 1) as field, ((k * 31 + n * 17) % 3)::int - 1 as off from li),
+fa1 as (select *, case field when 'charge_sheet_date' then d + 60 when 'remand_date' then d when 'offence_datetime' then d - 10 when 'hearing' then ship + 15 else ship end as base from fa0),
+fa as (select k * 10 + n as fact_id, f.p, coalesce(case when (k + n) % 4 > 0 then k end, one) as k, field, case when (k + n) % 13 > 0 then base + off end as v, case when (k + n) % 8 = 0 then base end as a
+       from fa1 f left join (select p, min(k) as one from ca group by p having count(*) = 1) u on u.p = f.p),
+j as (select fa.*, ca.cs, ca.fr, ca.od from fa join ca on ca.k = fa.k where v is not null)"""
+
+
+@query(f"""with {_RECORD}, c as (select fact_id, k, field, case field
+    when 'charge_sheet_date' then case when cs is null then 'MISSING' when v <> cs and a is distinct from cs then 'DIFFERS' end
+    when 'remand_date' then case when fr is null then 'MISSING' when v < fr and a is distinct from fr then 'EARLIER' end
+    when 'offence_datetime' then case when v <> od and a is distinct from od then 'DIFFERS' end
+    when 'arrest_datetime' then case when v < (select min(s) from cu where cu.p = j.p and (cu.k = j.k or cu.k is null)) and not exists (select 1 from cu where cu.p = j.p and (cu.k = j.k or cu.k is null) and cu.s = j.a) then 'EARLIER' end
+    when 'release_date' then case when not exists (select 1 from cu where cu.p = j.p and cu.type in ('released', 'escaped') and cu.s in (j.v, coalesce(j.a, j.v)))
+        and exists (select 1 from cu where cu.p = j.p and (cu.k = j.k or cu.k is null) and cu.type not in ('released', 'escaped', 'on_bail', 'absconding') and cu.s <= j.v and (cu.e is null or cu.e > j.v)) then 'CONTINUES' end
+    when 'transfer_date' then case when not exists (select 1 from cu where cu.p = j.p and cu.type = 'transfer' and cu.s = j.v) then 'UNRECORDED' end
+    when 'hearing' then case when exists (select 1 from he where he.k = j.k) and not exists (select 1 from he where he.k = j.k and he.h in (j.v, coalesce(j.a, j.v))) then 'UNRECORDED' end end as conflict from j)
+    select fact_id, k as case_id, field, conflict, field in ('charge_sheet_date', 'remand_date', 'arrest_datetime', 'release_date') as blocking from c where conflict is not null""")
+def field_conflicts(spark, sf):
+    """All seven rules of documents against records, over every line."""
+    return consistency.field_conflicts(*_record(spark, sf))
+
+
+# ---- causes of adjournments: rules first, what no rule knows by a model learned from a quarter of the orders
+
+_SAID = {
+    "accused": ["advocate for the applicant prayed for time", "the applicant side wants a later date", "applicant's advocate out of station, prayed for time"],
+    "both": ["parties are exploring settlement, they ask together", "talks of settlement go on between the parties", "parties together filed a settlement memo"],
+    "court": ["bench did not assemble today", "roster changed, file not placed before the bench", "file not listed, bench rose early today"],
+    "other": ["public holiday declared owing to heavy rain", "heavy rain and flooding near the complex", "holiday declared for the local festival"],
+    "prosecution": ["state asked for more days to trace the seized items", "investigating agency needs days for its report", "agency of the state is yet to trace the report"],
+}
+
+
+_SAID_RULED = "[" + ", ".join(repr(x) for x in records._REASONS[:11]) + "]"
+_SAID_CASES = "case " + " ".join(f"when regexp_matches(t, '(?i){p.replace(chr(39), chr(39) * 2)}') then '{label}'" for p, label, _ in documents.CAUSES) + " end"
+
+
+def _reasons(spark, sf):
+    """(k, said, label): a reason for each order; every fourth is one that a rule knows."""
+    k = F.col("o_orderkey")
+    label = F.get(F.array(*map(F.lit, _SAID)), (k % 5).cast("int"))
+    unruled = F.get(F.flatten(F.array(*[F.array(*map(F.lit, v)) for v in _SAID.values()])), ((k % 5) * 3 + F.floor(k / 5) % 3).cast("int"))
+    said = F.when(k % 4 == 0, F.get(F.array(*map(F.lit, records._REASONS[:11])), (F.floor(k / 4) % 11).cast("int"))).otherwise(F.concat(unruled, F.when(k % 2 == 0, F.concat(F.lit(", item "), (k % 17).cast("string"))).otherwise("")))
+    return table(spark, sf, "orders").select(k.alias("k"), said.alias("said"), F.when(k % 4 > 0, label).alias("label"))
+
+
+@query(f"""with r as (select o_orderkey as k, list_extract({_SAID_RULED}, ((o_orderkey // 4) % 11)::int + 1) as t from orders)
+    select k, case when k % 4 > 0 then list_extract({list(_SAID)!r}, (k % 5)::int + 1) else {_SAID_CASES} end as label, case when k % 4 > 0 then 'classifier' else 'rules' end as method from r""")
+def delay_attribution(spark, sf):
+    """Who caused each adjournment: rules first, then the class learned from the labelled quarter where it is sure enough."""
+    r = _reasons(spark, sf)
+    model = training.learn_causes(r.where("label is not null and k % 4 = 1"), "said", "label")
+    return training.attribute_causes(r, "said", model).select("k", "cause.label", "cause.method")
