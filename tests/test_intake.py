@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import consistency, ingest, monitor
-from tidewright.plans import intake, training
+from tidewright.operators import consistency, ingest, matching, metrics, monitor
+from tidewright.plans import intake, records, training
 from tidewright.streaming import ordered
 
 R = random.Random(3)
@@ -143,3 +143,58 @@ def test_fields_against_the_record(spark):
         1: (1, "DIFFERS", True), 3: (2, "MISSING", True), 4: (1, "EARLIER", True), 6: (2, "MISSING", True), 7: (1, "EARLIER", True), 10: (1, "CONTINUES", True), 14: (2, "CONTINUES", True),
         16: (1, "DIFFERS", False), 19: (1, "UNRECORDED", False), 22: (1, "UNRECORDED", False), 25: (3, "EARLIER", True), 28: (3, "EARLIER", True),
     }
+
+
+def brute_concordance(rows):
+    pairs = low = same = 0
+    for t, e, r in rows:
+        for u, f, s in rows:
+            if e and t is not None and u is not None and (t < u or (t == u and not f)):
+                pairs, low, same = pairs + 1, low + (s < r), same + (s == r)
+    return pairs, round((low + same / 2) / pairs, 6) if pairs else None
+
+
+@pytest.mark.parametrize("block", [100_000, 40, 7, 1])
+def test_concordance_of_all_pairs(spark, block):
+    """Whatever the ranges: ties in time and risk, a time and a risk that a third of the rows share."""
+    rows = [(R.choice([R.randrange(50), 7, 7]), R.random() < 0.6, R.choice([R.randrange(30) / 4, 2.0, 2.0])) for _ in range(300)]
+    df = spark.createDataFrame([*rows, (None, True, 1.0)], "t long, e boolean, r double").repartition(3)
+    got = metrics.concordance_all(df, "t", "e", "r", block).first()
+    assert (got.pairs, got.c_index) == brute_concordance(rows)
+    assert metrics.concordance_all(df.where("false"), "t", "e", "r", block).first().pairs == 0
+
+
+def test_running_sums_in_ranges(spark):
+    values = sorted(R.sample(range(10_000), 500))
+    df = spark.createDataFrame([(float(v), R.randrange(9)) for v in values], "v double, n long").repartition(4)
+    rows = {r.v: r.n for r in df.collect()}
+    for size in (10_000, 60, 3):
+        got = {r.v: r.below_n for r in metrics.running(df, "v", ["n"], size).collect()}
+        assert got == {v: sum(m for w, m in rows.items() if w < v) for v in rows}
+
+
+def test_sweep_equals_clustering_again(spark):
+    """One descending pass gives the clusters that each threshold gives alone, vetoes and all."""
+    pairs = [(a, b, round(R.random(), 2), ["AGE_GAP"] if R.random() < 0.1 else []) for a in range(30) for b in range(a + 1, 30) if R.random() < 0.12]
+    scored = spark.createDataFrame([(*x, "link" if x[2] >= 0.9 else "no_link") for x in pairs], "a long, b long, p double, vetoes array<string>, decision string")
+    thresholds = [0.3, 0.6, 0.9]
+    got = {t: {} for t in thresholds}
+    for r in matching.vetoed_clusters(scored, sweep=thresholds).collect():
+        got[r.threshold][r.id] = r.cluster
+    for t in thresholds:
+        alone = {r.id: r.cluster for r in matching.vetoed_clusters(scored.withColumn("decision", F.when(F.col("p") >= t, "link").otherwise("no_link"))).collect()}
+        assert {i: c for i, c in got[t].items() if c != i or i in alone} == alone and all(got[t][i] == i for i in set(got[t]) - set(alone))
+
+
+def test_probing_an_index_equals_resolving_all(spark, tmp_path):
+    """Batches probed one after the other give every pair that one run over all records gives; a batch may be run again."""
+    people = records._people(spark, "/root/testdata/sf0.001").where("id < 120")
+    index, found = matching.BlockIndex(spark, f"file://{tmp_path}/index"), {}
+    for k in (0, 1, 2, 2):
+        ready = matching.prepared(people.where(F.col("id") % 3 == k))
+        found |= {(r.a, r.b): r.p for r in index.probe(ready).collect()}
+        index.add(ready, f"b{k}")
+    whole = matching.resolve(people)[1]
+    assert found == {(r.a, r.b): r.p for r in whole.collect()} and found
+    queue = matching.duplicate_queue(whole, whole.where("decision = 'link'").select(F.concat_ws(":", "a", "b").alias("ref")))
+    assert {r.decision for r in queue.collect()} <= {"review"}

@@ -295,6 +295,14 @@ def concordance(spark, sf):
     return metrics.concordance(o, ["o_custkey"], "t", "ended", "risk")
 
 
+@query("""with s as (select cast(o_orderdate as date) - date '1995-01-01' as t, o_orderkey % 3 > 0 as e, o_totalprice as r from orders),
+p as (select a.r as x, b.r as y from s a join s b on a.e and (a.t < b.t or (a.t = b.t and not b.e))) select round(sum(case when x > y then 1 when x = y then 0.5 else 0 end) / count(*), 6) as c_index, count(*) as pairs from p""")
+def concordance_all(spark, sf):
+    """The same over all comparable pairs of orders, counted and not formed."""
+    o = table(spark, sf, "orders").select(F.date_diff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).alias("t"), (F.col("o_orderkey") % 3 > 0).alias("ended"), F.col("o_totalprice").alias("risk"))
+    return metrics.concordance_all(o, "t", "ended", "risk")
+
+
 # ---- what follows from a case, over facts that keys put together
 
 _FACT = {

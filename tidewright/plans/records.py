@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,7 @@ from tidewright.operators import consistency, detectors, matching, metrics, rela
 from tidewright.plans import training
 from tidewright.plans.catalog import TODAY, query
 from tidewright.sources.readers import table
+from tidewright.sources.scratch import checkpointed, shared_folder
 from tidewright.streaming import monitoring
 
 
@@ -228,6 +230,23 @@ def er_pairs(spark, sf):
     return matching.resolve(_people(spark, sf))[1]
 
 
+@query()
+def er_sweep(spark, sf):
+    """Pairwise precision and recall at five thresholds, each with clusters of its own, from one pass over the links."""
+    people = _people(spark, sf)
+    return matching.cluster_sweep(matching.resolve(people)[1], people.withColumn("person", F.floor(F.col("id") / 3)), "person", [0.6, 0.75, 0.85, 0.92, 0.97])
+
+
+@query()
+def duplicate_queue(spark, sf):
+    """Every tenth customer is new and probed against the kept index of the others; every third pair is queued already."""
+    people = _people(spark, sf)
+    index = matching.BlockIndex(spark, f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}")
+    index.add(matching.prepared(people.where("id % 10 > 0")), "old")
+    scored = checkpointed(index.probe(matching.prepared(people.where("id % 10 = 0"))))
+    return matching.duplicate_queue(scored, scored.where("(a + b) % 3 = 0").select(F.concat_ws(":", "a", "b").alias("ref")))
+
+
 _OKAPI = """d as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from documents), t as (select id, unnest(ts) as term from d), tf as (select id, term, count(*) as tf from t group by all), l as (select id, len(ts) as dl from d), s as (select count(*) as n, avg(dl) as a from l),
 df as (select term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from tf cross join s group by term, n), fl as (select avg(raw) * 0.25 as f from df), idf as (select term, case when raw < 0 then f else raw end as idf from df cross join fl),
 q as (select query, term, count(*) as times from (select item_id as query, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark) group by all),
