@@ -218,6 +218,17 @@ def test_license_templates(kind):
         assert scanner.scan(clean)[5] == ""
 
 
+@pytest.mark.parametrize("text, label", [
+    ("Apache License, Version 2.0", "apache-2.0"), ("MIT License\n\nCopyright (c) 2020 A", "mit"), ("Licensed under the Apache 2.0 license.", "apache-2.0"), ("// SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("GNU GPL version 3", "gpl-3.0"),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"), ("SPDX-License-Identifier: MIT", "mit"), ("the BSD 3-Clause License applies", "bsd"), ("under the Mozilla Public License", "mpl-2.0"),
+])
+def test_short_forms_of_licenses(text, label):
+    scanner = license_scan.Scanner({}, 0)
+    assert scanner.scan(f"some words before {text} and after".encode())[5].split(",") == [label]
+    for clean in ("the license identifier of a car", "a version 3 of the mit dome", "the apache chief came in 2 0 days", "our public license office", "identifier mit"):
+        assert scanner.scan(clean.encode())[5] == ""
+
+
 def test_gold_pages():
     """Pages put together from known articles and known surroundings: precision and recall in characters."""
     stop = "the of and to in is was that it for on with as by at from".split()

@@ -77,6 +77,42 @@ TEMPLATES = {
     "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"])],
     "zlib": [("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["granted to anyone to use this software"])],
 }
+#: Parts of the full texts by which a copy without its title is told, and the boilerplate that points to a full text.
+PARTS = {
+    "apache-2.0": [
+        ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["as is basis without warranties or conditions"]),
+        ("subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of", ["no charge royalty free irrevocable copyright license"]),
+    ],
+    "mit": [
+        (
+            "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+            "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+            ["other dealings in the software"],
+        ),
+    ],
+    "bsd": [
+        (
+            "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+            ["copyright holders and contributors as is"],
+        ),
+        ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ],
+    "gpl-3.0": [("the gnu general public license is a free copyleft license for software and other kinds of works", ["free copyleft license"])],
+    "gpl-2.0": [("you may copy and distribute verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty", ["conspicuously and appropriately publish on each copy"])],
+    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["mozilla org mpl 2 0"])],
+    "unlicense": [("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free to copy modify publish use compile sell or distribute"])],
+    "isc": [("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ["author disclaims all warranties with regard to this software"])],
+    "zlib": [("the origin of this software must not be misrepresented you must not claim that you wrote the original software", ["must not be misrepresented"])],
+}
+#: Short identifiers, as they stand after SPDX-License-Identifier, and names by which licences are called in running text.
+IDENTIFIERS = {
+    "apache-2.0": ["apache 2 0"], "mit": ["mit"], "bsd": ["bsd 2 clause", "bsd 3 clause"], "gpl-3.0": ["gpl 3 0"], "gpl-2.0": ["gpl 2 0"], "lgpl": ["lgpl 2 1", "lgpl 3 0"], "agpl-3.0": ["agpl 3 0"], "mpl-2.0": ["mpl 2 0"], "epl-2.0": ["epl 2 0"],
+    "cc-by-4.0": ["cc by 4 0"], "cc-by-sa-4.0": ["cc by sa 4 0"], "cc-by-nc-4.0": ["cc by nc 4 0"], "cc0-1.0": ["cc0 1 0"], "unlicense": ["unlicense"], "isc": ["isc"], "zlib": ["zlib"],
+}
+NAMES = {
+    "apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license"], "mit": ["mit license"], "bsd": ["bsd license", "bsd 2 clause license", "bsd 3 clause license"], "gpl-3.0": ["gnu gpl version 3", "gnu gpl v3", "gpl version 3"],
+    "gpl-2.0": ["gnu gpl version 2", "gnu gpl v2", "gpl version 2"], "lgpl": ["gnu lgpl", "lesser general public license"], "agpl-3.0": ["gnu agpl", "affero general public license"], "mpl-2.0": ["mozilla public license"], "epl-2.0": ["eclipse public license"], "isc": ["isc license"], "zlib": ["zlib license"],
+}
 #: So large a part of a template's words must stand in its order, each at most DRIFT words from where the others put it.
 COVER, DRIFT = 0.75, 6
 
@@ -87,8 +123,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _templates() -> list[tuple[str, list[bytes], list[bytes]]]:
-    """(label, words, key phrases) of every template."""
-    return [(label, t.encode().split(), [b" " + k.encode() + b" " for k in keys]) for label, ts in TEMPLATES.items() for t, keys in ts]
+    """(label, words, key phrases) of every template; names and identifiers stand whole."""
+    said = [(label, t, keys) for ts_of in (TEMPLATES, PARTS) for label, ts in ts_of.items() for t, keys in ts]
+    said += [(label, f"license identifier {x}", [f"license identifier {x}"]) for label, xs in IDENTIFIERS.items() for x in xs]
+    said += [(label, x, [x]) for label, xs in NAMES.items() for x in xs]
+    return [(label, t.encode().split(), [b" " + k.encode() + b" " for k in keys]) for label, t, keys in said]
 
 
 def word_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], int]:
