@@ -70,3 +70,29 @@ def fused_confidence(values: DataFrame, keys: list[str], value: str, confidence:
     one = values.groupBy(*keys, value).agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(confidence), F.lit(1e-9)))))).alias("_c"), F.count(F.lit(1)).alias("_n"))
     top = F.min_by(F.struct(value, "_c", "_n"), F.struct((-F.round("_c", 9)).alias("a"), F.col(value).alias("b")))
     return one.groupBy(*keys).agg(top.alias("_t"), (F.count(F.lit(1)) > 1).alias("disputed")).select(*keys, F.col(f"_t.{value}").alias(value), F.round("_t._c", 6).alias("confidence"), F.col("_t._n").alias("n_sources"), "disputed")
+
+
+def merged_variants(keep: Column, keep_known: Column, other: Column, other_known: Column) -> Column:
+    """Spellings of a person after another was merged into it, sorted and distinct: those of both, and the other's own
+    name unless it is the one that stays. The name that stays isn't taken out of what was known before."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(F.coalesce(keep_known, none), F.coalesce(other_known, none), F.array_except(F.array(other), F.array(keep)))))
+
+
+# What agreement adds, the most that it gives, and the most for a lone second reading and for a dispute.
+AGREED, AT_MOST, ALONE, DISPUTED = 0.05, 0.99, 0.75, 0.5
+
+
+def fused(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, confidence, method, disputed_by) of two readers' facts (keys, value, confidence), one a key each.
+
+    The first reader governs. Where both read the same (but for case and blanks at the ends) the surer of them gains 0.05,
+    0.99 at most; where they differ the first value stays at 0.5 at most and the other is named; what only the second
+    read is to be confirmed, at 0.75 at most. A full outer join of the two."""
+    side = lambda df, p: df.select(*keys, F.col("value").alias(f"{p}v"), F.col("confidence").alias(f"{p}c"), F.lit(True).alias(f"{p}"))
+    j = side(first, "_a").join(side(second, "_b"), keys, "full_outer")
+    same = F.lower(F.trim("_av")).eqNullSafe(F.lower(F.trim("_bv")))
+    sure = F.when(F.col("_b").isNull(), F.col("_ac")).when(F.col("_a").isNull(), F.least("_bc", F.lit(ALONE))).when(same, F.least(F.lit(AT_MOST), F.greatest("_ac", "_bc") + AGREED)).otherwise(F.least("_ac", F.lit(DISPUTED)))
+    method = F.when(F.col("_b").isNull(), "first").when(F.col("_a").isNull(), "second").when(same, "both").otherwise("disputed")
+    value = F.when(F.col("_a").isNull(), F.col("_bv")).otherwise(F.col("_av"))
+    return j.select(*keys, value.alias("value"), F.round(sure, 2).alias("confidence"), method.alias("method"), F.when(method == "disputed", F.col("_bv")).alias("disputed_by"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.functions import documents
-from tidewright.operators import consistency, ingest
+from tidewright.functions import documents, extract
+from tidewright.operators import consistency, ingest, registers
 from tidewright.plans import records, training
 from tidewright.plans.catalog import query
 from tidewright.sources.readers import table
@@ -181,3 +181,73 @@ def delay_attribution(spark, sf):
     r = _reasons(spark, sf)
     model = training.learn_causes(r.where("label is not null and k % 4 = 1"), "said", "label")
     return training.attribute_causes(r, "said", model).select("k", "cause.label", "cause.method")
+
+
+# ---- dates in full, quotes and two readers, over texts that orders put together
+
+_DATED = f"""o as (select o_orderkey as k, cast(o_orderdate as date) as d, cast(o_orderdate as date) + (o_orderkey % 400)::int as n from orders),
+x as (select *, case when day(n) <= 12 and day(n) <> month(n) then make_date(year(n), day(n), month(n)) end as alt from o)"""
+
+
+def _dated(spark, sf):
+    """A record for each order: a certain date in words of one of three languages, a numeric one (every fifth badly read),
+    three times of four with a time of day."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf, "orders").select(k.alias("k"), F.to_date("o_orderdate").alias("d")).withColumn("n", F.date_add("d", (F.col("k") % 400).cast("int")))
+    word = F.get(F.array(*[F.array(*[F.lit(names[w]) for names in extract.MONTHS]) for w in (0, -2, -1)])[(F.col("k") % 3).cast("int")], F.month("d") - 1)
+    said = F.concat_ws(" ", F.lit("Arrested on"), F.dayofmonth("d").cast("string"), word, F.year("d").cast("string"))
+    figures = F.date_format("n", "dd/MM/yyyy")
+    figures = F.when(F.col("k") % 5 == 0, F.translate(figures, "01", "Ol")).otherwise(figures)
+    time = F.when(F.col("k") % 4 > 0, F.format_string(" at %d:%02d hrs", (F.col("k") % 23).cast("int"), (F.col("k") % 60).cast("int"))).otherwise("")
+    return o.select("k", F.concat(said, F.lit("; produced on "), figures, time).alias("t"))
+
+
+@query(f"""with {_DATED}, r as (select *, alt is not null and abs(n - d) > 180 and abs(alt - d) * 2 < abs(n - d) as turned from x)
+    select k, d as certain, case when turned then alt else n end as value, case when alt is not null then 0.85 when k % 5 = 0 then 0.80 else 0.95 end::decimal(3, 2) as confidence, alt is not null as settled,
+      case when k % 4 > 0 then printf('%02d:%02d', (k % 23)::int, (k % 60)::int) end as time from r""", dates="certain value confidence")
+def dates_in_context(spark, sf):
+    """Dates of a text, ambiguous ones settled by the record's certain date, with the time of day that follows."""
+    d = _dated(spark, sf).select("k", "t", F.posexplode(extract.dates_in("t", records._today())).alias("pos", "x")).select("k", "t", F.concat_ws(":", "k", "pos").alias("id"), "pos", "x.*")
+    out = extract.by_context(d, "k", "id")
+    certain = out.where("pos = 0").select("k", F.col("value").alias("certain"))
+    return out.where("pos = 1").join(certain, "k").select("k", "certain", "value", F.col("confidence").cast("decimal(3,2)").alias("confidence"), F.array_contains("flags", "AMBIGUITY_RESOLVED_BY_CONTEXT").alias("settled"), extract.time_of_day(F.substring("t", F.col("end") + 1, F.length("t"))).alias("time"))
+
+
+@query("""with w as (select conv_id, turn, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as ws from conversations where text is not null),
+    q as (select *, ws[2 + turn % 3 : 4 + turn % 3] as quote from w where len(ws) > 6)
+    select conv_id, turn, case when turn % 4 = 3 then null else length(regexp_extract(text, '^((?:\\s*\\S+){' || (1 + turn % 3) || '}\\s+)')) end as start,
+      case when turn % 4 = 3 then null else length(regexp_extract(text, '^((?:\\s*\\S+){' || (4 + turn % 3) || '})')) end as "end" from q
+      where regexp_extract_all(text, '\\S+') = ws and len(list_filter(range(1, len(ws) - 1), lambda i: ws[i] = quote[1] and ws[i + 1] = quote[2] and ws[i + 2] = quote[3])) = 1 and position(array_to_string(quote, ' ') in array_to_string(ws, ' ')) = length(array_to_string(ws[: 1 + turn % 3], ' ')) + 2""")
+def quoted_evidence(spark, sf):
+    """Three words of a turn as a quote with other blanks between them, and where it stands; every fourth was made up."""
+    c = table(spark, sf, "conversations").where("text is not null").withColumn("ws", F.filter(F.split("text", r"\s+"), lambda w: w != "")).where("size(ws) > 6")
+    n = F.col("turn") % 3
+    first = (n + 2).cast("int")
+    quote = F.slice("ws", first, 3)
+    # only quotes that stand once, and first as such, have one answer
+    once = F.size(F.filter(F.sequence(F.lit(0), F.size("ws") - 3), lambda i: (F.get("ws", i) == quote[0]) & (F.get("ws", i + 1) == quote[1]) & (F.get("ws", i + 2) == quote[2]))) == 1
+    plain = F.position(F.array_join(quote, " "), F.array_join("ws", " ")) == F.length(F.array_join(F.slice("ws", 1, first - 1), " ")) + 2
+    said = F.when(F.col("turn") % 4 == 3, F.concat(F.array_join(quote, " "), F.lit(" zzz-made-up"))).otherwise(F.array_join(quote, "  \t "))
+    return c.where(once & plain).select("conv_id", "turn", extract.find_quote(F.col("text"), said).alias("s")).select("conv_id", "turn", "s.start", "s.end")
+
+
+@query("""with a as (select l_orderkey as k, l_linenumber as n, min(l_returnflag) as v, round(min(l_discount) * 8 + 0.1, 2) as c from lineitem where (l_orderkey + l_linenumber) % 3 < 2 group by all),
+    b as (select l_orderkey as k, l_linenumber as n, case when min(l_quantity) > 25 then lower(min(l_returnflag)) || ' ' else min(l_linestatus) end as v, round(min(l_tax) * 8 + 0.2, 2) as c from lineitem where (l_orderkey + l_linenumber) % 3 > 0 group by all)
+    select coalesce(a.k, b.k) as k, coalesce(a.n, b.n) as n, coalesce(a.v, b.v) as value, round(case when b.k is null then a.c when a.k is null then least(b.c, 0.75) when lower(trim(a.v)) = lower(trim(b.v)) then least(0.99, greatest(a.c, b.c) + 0.05) else least(a.c, 0.5) end, 2) as confidence,
+      case when b.k is null then 'first' when a.k is null then 'second' when lower(trim(a.v)) = lower(trim(b.v)) then 'both' else 'disputed' end as method from a full outer join b on a.k = b.k and a.n = b.n""")
+def fused_readers(spark, sf):
+    """Two readers of each line: what both, one or neither of them bears out."""
+    l, key = table(spark, sf, "lineitem"), [F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")]  # noqa: E741
+    shift = (F.col("l_orderkey") + F.col("l_linenumber")) % 3
+    a = l.where(shift < 2).groupBy(*key).agg(F.min("l_returnflag").alias("value"), F.round(F.min("l_discount") * 8 + 0.1, 2).alias("confidence"))
+    b = l.where(shift > 0).groupBy(*key).agg(F.when(F.min("l_quantity") > 25, F.concat(F.lower(F.min("l_returnflag")), F.lit(" "))).otherwise(F.min("l_linestatus")).alias("value"), F.round(F.min("l_tax") * 8 + 0.2, 2).alias("confidence"))
+    return registers.fused(a, b, ["k", "n"]).drop("disputed_by")
+
+
+@query("""with v as (select o_custkey as c, list_sort(list(distinct o_orderpriority)) as p, min(o_orderpriority) as m from orders group by 1)
+    select a.c as kept, array_to_string(list_sort(list_distinct(a.p || b.p || case when b.m <> a.m then [b.m] else [] end)), ',') as variants from v a join v b on a.c % 2 = 0 and b.c = a.c + 1""")
+def merged_name_variants(spark, sf):
+    """Every odd person merged into the even one before."""
+    v = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.collect_set("o_orderpriority").alias("p"), F.min("o_orderpriority").alias("m"))
+    a, b = v.where("c % 2 = 0"), v.select((F.col("c") - 1).alias("c"), F.col("p").alias("q"), F.col("m").alias("o"))
+    return a.join(b, "c").select(F.col("c").alias("kept"), F.array_join(registers.merged_variants(F.col("m"), F.col("p"), F.col("o"), F.col("q")), ",").alias("variants"))
