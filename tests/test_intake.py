@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.operators import consistency, ingest, matching, metrics, monitor
+from tidewright.functions import extract
+from tidewright.operators import consistency, ingest, matching, metrics, monitor, registers
 from tidewright.plans import intake, records, training
 from tidewright.streaming import ordered
 
@@ -198,3 +199,34 @@ def test_probing_an_index_equals_resolving_all(spark, tmp_path):
     assert found == {(r.a, r.b): r.p for r in whole.collect()} and found
     queue = matching.duplicate_queue(whole, whole.where("decision = 'link'").select(F.concat_ws(":", "a", "b").alias("ref")))
     assert {r.decision for r in queue.collect()} <= {"review"}
+
+
+def test_dates_badly_read_and_in_three_languages():
+    today = dt.date(2024, 6, 1)
+    read = lambda t: [(t[d[0] : d[1]], d[2], d[3], d[5]) for d in extract._dates(t, today)]
+    assert read("on lO/O3/2O23 or 25/1I/2O22") == [("lO/O3/2O23", dt.date(2023, 3, 10), 0.6, dt.date(2023, 10, 3)), ("25/1I/2O22", dt.date(2022, 11, 25), 0.8, None)]
+    assert read("12 ಜನವರಿ 2024, 5 फरवरी 2023 and 3rd day of Sept, 2022") == [("12 ಜನವರಿ 2024", dt.date(2024, 1, 12), 0.97, None), ("5 फरवरी 2023", dt.date(2023, 2, 5), 0.97, None), ("3rd day of Sept, 2022", dt.date(2022, 9, 3), 0.97, None)]
+    assert read("SO/IS/lOOl") == [] and read("room 1.2 of 3.4 and 12/13") == [] and read("31/02/2024") == [("31/02/2024", None, 0.0, None)]
+    assert [d[4] for d in extract._dates("O5/O3/98", today)] == [["TWO_DIGIT_YEAR", "OCR_DIGIT_CORRECTED", "AMBIGUOUS_DMY_MDY"]]
+
+
+def test_context_settles_dates(spark):
+    rows = [
+        (1, 1, dt.date(2023, 1, 9), dt.date(2023, 9, 1), ["AMBIGUOUS_DMY_MDY"]), (1, 2, dt.date(2023, 8, 20), None, []), (1, 3, dt.date(2023, 2, 1), dt.date(2023, 1, 2), ["AMBIGUOUS_DMY_MDY"]),
+        (2, 4, dt.date(2023, 1, 9), dt.date(2023, 9, 1), ["AMBIGUOUS_DMY_MDY"]), (3, 5, dt.date(2023, 3, 4), dt.date(2023, 4, 3), ["AMBIGUOUS_DMY_MDY"]), (3, 6, dt.date(2023, 4, 3), None, []), (3, 7, None, None, ["IMPOSSIBLE_DATE"]),
+    ]
+    df = spark.createDataFrame([(*r[:4], 0.75, r[4]) for r in rows], "k int, id int, value date, alternative date, confidence double, flags array<string>")
+    got = {r.id: (r.value, r.confidence, "AMBIGUITY_RESOLVED_BY_CONTEXT" in r.flags) for r in extract.by_context(df, "k", "id").collect()}
+    assert got == {1: (dt.date(2023, 9, 1), 0.85, True), 2: (dt.date(2023, 8, 20), 0.75, False), 3: (dt.date(2023, 2, 1), 0.85, True), 4: (dt.date(2023, 1, 9), 0.75, False), 5: (dt.date(2023, 3, 4), 0.85, True), 6: (dt.date(2023, 4, 3), 0.75, False), 7: (None, 0.75, False)}
+
+
+def test_quotes_times_and_two_readers(spark):
+    q = [("a (b)  c.d\ne", "(b) c.d e", (2, 12)), ("abc", "b", (1, 2)), ("abc", " ", None), ("a+b", "a +b", None), ("x [y]* z", "[y]*\tz", (2, 8)), (None, "x", None), ("x y", "x y", (0, 3))]
+    df = spark.createDataFrame([(k, t, s) for k, (t, s, _) in enumerate(q)], "k int, t string, s string")
+    assert [r.f and (r.f.start, r.f.end) for r in df.orderBy("k").select(extract.find_quote(F.col("t"), F.col("s")).alias("f")).collect()] == [w for *_, w in q]
+    times = spark.createDataFrame([(" at 9:05 hrs",), ("at 25:00",), ("none",), (None,), ("ಸಮಯ 18.30",)], "t string")
+    assert [r.h for r in times.select(extract.time_of_day(F.col("t")).alias("h")).collect()] == ["09:05", None, None, None, "18:30"]
+    one = spark.createDataFrame([(1, "A", 0.9), (2, "A ", 0.96), (3, "A", 0.4), (4, None, 0.8)], "k int, value string, confidence double")
+    two = spark.createDataFrame([(1, "B", 0.9), (2, "a", 0.98), (3, "a", 0.5), (5, "C", 0.9), (4, "x", 0.9)], one.schema)
+    got = {r.k: (r.value, r.confidence, r.method, r.disputed_by) for r in registers.fused(one, two, ["k"]).collect()}
+    assert got == {1: ("A", 0.5, "disputed", "B"), 2: ("A ", 0.99, "both", None), 3: ("A", 0.55, "both", None), 4: (None, 0.5, "disputed", "x"), 5: ("C", 0.75, "second", None)}

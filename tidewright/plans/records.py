@@ -83,43 +83,65 @@ def delay_days(spark, sf):
     return timeline.delay_days(h, custody, ["user_id"]).select("user_id", "accused_days", "uncertain_days")
 
 
-# ---- extraction, over fixed texts, as the driver's tables hold no such records
+# ---- extraction, over a file for each customer: its shape and numbers follow from the key
+
+
+def _filed(spark, sf, texts):
+    """(id, t): customers' files, the shape chosen by the key and the key in front."""
+    k = F.col("c_custkey")
+    chosen = F.get(F.array(*[F.lit(t).cast("string") for _, t in texts]), (k % len(texts)).cast("int"))
+    return table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lit("("), k.cast("string"), F.lit(") "), chosen).alias("t"))
+
+
+def _expected(values: str, n: int, columns: str) -> str:
+    """SQL of what each customer's file must give, by the number of its shape."""
+    return f"with v as ({values}) select c_custkey as id, {columns} from customer join v on c_custkey % {n} + 1 = v.i"
+
 
 _DATED = [
     (1, "Arrested on 05/03/2024 at 10:00"), (2, "filed 25-12-2023; next 12th January 2024"), (3, "March 5, 2024 and June 2023"), (4, "born 01/02/98"), (5, "on 31/02/2024"), (6, "hearing 03/25/2023"), (7, "until 9 Aug 2031"), (8, "೦೫/೦೩/೨೦೨೪"), (9, None),
 ]
 
 
-@query(_values([(1, 12, dt.date(2024, 3, 5), 0.3), (2, 6, dt.date(2023, 12, 25), 0.95), (2, 23, dt.date(2024, 1, 12), 0.97), (3, 0, dt.date(2024, 3, 5), 0.3), (3, 18, dt.date(2023, 6, 1), 0.5), (4, 5, dt.date(1998, 2, 1), 0.65), (5, 3, None, 0.0), (6, 8, dt.date(2023, 3, 25), 0.7), (7, 6, dt.date(2031, 8, 9), 0.3), (8, 0, dt.date(2024, 3, 5), 0.3)], "id, pos, value, confidence"), dates="value confidence")
+@query(_expected(_values([(1, 12, dt.date(2024, 3, 5), 0.3), (2, 6, dt.date(2023, 12, 25), 0.95), (2, 23, dt.date(2024, 1, 12), 0.97), (3, 0, dt.date(2024, 3, 5), 0.3), (3, 18, dt.date(2023, 6, 1), 0.5), (4, 5, dt.date(1998, 2, 1), 0.65), (5, 3, None, 0.0), (6, 8, dt.date(2023, 3, 25), 0.7), (7, 6, dt.date(2031, 8, 9), 0.3), (8, 0, dt.date(2024, 3, 5), 0.3)], "i, pos, value, confidence"), len(_DATED), "pos + length(c_custkey::varchar) + 3 as pos, value, confidence"), dates="value confidence")
 def date_parse(spark, sf):
-    d = spark.createDataFrame(_DATED, "id long, t string")
-    x = d.select("id", F.explode(extract.dates_in("t", _today())).alias("d"))
-    return x.select(F.col("id").cast("int").alias("id"), F.col("d.start").alias("pos"), "d.value", F.col("d.confidence").cast("decimal(4,2)").alias("confidence"))
+    x = _filed(spark, sf, _DATED).select("id", F.explode(extract.dates_in("t", _today())).alias("d"))
+    return x.select("id", F.col("d.start").alias("pos"), "d.value", F.col("d.confidence").cast("decimal(4,2)").alias("confidence"))
 
 
 _LAW = [(1, "u/s 379 r/w 34 IPC"), (2, "Sec. 20(b)(ii) of the NDPS Act"), (3, "sections 302, 307 & 511 IPC"), (4, "u/s 5O6 IPC"), (5, "room 12 of 14"), (6, "Section 303(2)")]
 
 
-@query(_values([(1, "IPC", "379", "common_intention", 0.9), (2, "NDPS", "20(b)(ii)", None, 0.9), (3, "IPC", "302", "attempt", 0.9), (3, "IPC", "307", "attempt", 0.9), (4, "IPC", "506", None, 0.75), (6, "UNKNOWN", "303(2)", None, 0.7)], "id, act, section, modifier, confidence"), dates="confidence")
+@query(_expected(_values([(1, "IPC", "379", "common_intention", 0.9), (2, "NDPS", "20(b)(ii)", None, 0.9), (3, "IPC", "302", "attempt", 0.9), (3, "IPC", "307", "attempt", 0.9), (4, "IPC", "506", None, 0.75), (6, "UNKNOWN", "303(2)", None, 0.7)], "i, act, section, modifier, confidence"), len(_LAW), "act, section, modifier, confidence"), dates="confidence")
 def section_parse(spark, sf):
-    d = spark.createDataFrame(_LAW, "id long, t string")
-    x = d.select("id", F.explode(extract.charges_in("t")).alias("c"))
-    return x.select(F.col("id").cast("int").alias("id"), "c.act", "c.section", "c.modifier", F.col("c.confidence").cast("decimal(3,2)").alias("confidence"))
+    x = _filed(spark, sf, _LAW).select("id", F.explode(extract.charges_in("t")).alias("c"))
+    return x.select("id", "c.act", "c.section", "c.modifier", F.col("c.confidence").cast("decimal(3,2)").alias("confidence"))
+
+
+_MEMO_SQL = """m as (select c_custkey as k, c_custkey || '/2024' as fir, c_name || ' s/o Shankar, aged about ' || (20 + c_custkey % 50) || ' years' as who, printf('25/%02d/2023', (c_custkey % 12 + 1)::int) as stated, (['Not done', 'Yes', 'perhaps'])[c_custkey % 3 + 1] as med from customer)"""
 
 
-_MEMO = "Police Station: Hebbal   FIR No.: 12/2024\nAccused: Ravi Kumar s/o Shankar, aged about 30 years\nDate of arrest (as stated): 25/01/2024\nMedical examination: Not done\nNote: none\n26/01/2024: Counsel absent. Call on 13/02/2024.\n"
+def _memos(spark, sf):
+    """A memo for each customer: labels on shared lines, its name, number and dates, and a hearing."""
+    k = F.col("c_custkey")
+    month = F.format_string("%02d", (k % 12 + 1).cast("int"))
+    who = F.concat("c_name", F.lit(" s/o Shankar, aged about "), (20 + k % 50).cast("string"), F.lit(" years"))
+    med = F.get(F.array(F.lit("Not done"), F.lit("Yes"), F.lit("perhaps")), (k % 3).cast("int"))
+    t = F.concat(F.lit("Police Station: Hebbal   FIR No.: "), k.cast("string"), F.lit("/2024\nAccused: "), who, F.lit("\nDate of arrest (as stated): 25/"), month, F.lit("/2023\nMedical examination: "), med, F.lit("\nNote: none\n26/"), month, F.lit("/2023: Counsel absent. Call on 13/02/2024.\n"))
+    return table(spark, sf, "customer").select(k.alias("id"), t.alias("t"))
 
 
-@query(_values([("accused", "Ravi Kumar s/o Shankar, aged about 30 years", 51, 0.9), ("fir_number", "12/2024", 34, 0.9), ("medical_examination", "Not done", 155, 0.9), ("police_station", "Hebbal", 16, 0.9), ("stated_arrest_date", "25/01/2024", 123, 0.95)], "field, value, pos, confidence"), dates="confidence")
+@query(f"""with {_MEMO_SQL}, f as (select k as id, unnest([struct_pack(field := 'police_station', value := 'Hebbal', pos := 16, c := 0.9), struct_pack(field := 'fir_number', value := fir, pos := 34, c := 0.9), struct_pack(field := 'accused', value := who, pos := 34 + length(fir) + 10, c := 0.9),
+    struct_pack(field := 'stated_arrest_date', value := stated, pos := 34 + length(fir) + 10 + length(who) + 29, c := 0.95), struct_pack(field := 'medical_examination', value := med, pos := 34 + length(fir) + 10 + length(who) + 29 + 10 + 22, c := case when med = 'perhaps' then 0.4 else 0.9 end)]) as x from m)
+    select id, x.field as field, x.value as value, x.pos::int as pos, x.c::decimal(3, 2) as confidence from f""", dates="confidence")
 def label_fields(spark, sf):
-    d = spark.createDataFrame([(1, _MEMO)], "id long, t string")
-    f = extract.labelled_fields(d, "id", "t", _today())
-    return f.select("field", "value", F.col("start").alias("pos"), F.col("confidence").cast("decimal(3,2)").alias("confidence"))
+    f = extract.labelled_fields(_memos(spark, sf), "id", "t", _today())
+    return f.select("id", "field", "value", F.col("start").alias("pos"), F.col("confidence").cast("decimal(3,2)").alias("confidence"))
 
 
-@query(_values([(dt.date(2024, 1, 26), "Counsel absent.", dt.date(2024, 2, 13))], "date, reason, next_date"), dates="date next_date")
+@query("select c_custkey as id, make_date(2023, (c_custkey % 12 + 1)::int, 26) as date, 'Counsel absent.' as reason, date '2024-02-13' as next_date from customer", dates="date next_date")
 def hearing_lines(spark, sf):
-    return extract.hearings(spark.createDataFrame([(1, _MEMO)], "id long, t string"), "id", "t", _today()).select("date", "reason", "next_date")
+    return extract.hearings(_memos(spark, sf), "id", "t", _today()).select("id", "date", "reason", "next_date")
 
 
 @query("""with n as (select conv_id, turn, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as l from conversations) select conv_id, turn, case when l > 0 then 'en' else 'unknown' end as mix from n""")
@@ -315,9 +337,12 @@ _FACTS = [
 ]
 
 
-@query(_values([(1, "GROUNDS_NOT_COMMUNICATED", 0.8883), (1, "PRODUCTION_BEYOND_24H", 0.8875), (1, "WOMAN_ARRESTED_AT_NIGHT", 0.7942), (2, "DATE_CONTRADICTION_FIR_CHARGESHEET", 0.6108), (2, "FIR_DELAY_UNEXPLAINED", 0.6108), (2, "MECHANICAL_REMAND", 0.705), (2, "SEIZURE_WITHOUT_INDEPENDENT_WITNESS", 0.5883)], "id, code, rank"), dates="rank")
+@query(_expected(_values([(1, "GROUNDS_NOT_COMMUNICATED", 0.8883), (1, "PRODUCTION_BEYOND_24H", 0.8875), (1, "WOMAN_ARRESTED_AT_NIGHT", 0.7942), (2, "DATE_CONTRADICTION_FIR_CHARGESHEET", 0.6108), (2, "FIR_DELAY_UNEXPLAINED", 0.6108), (2, "MECHANICAL_REMAND", 0.705), (2, "SEIZURE_WITHOUT_INDEPENDENT_WITNESS", 0.5883)], "i, code, rank"), 3, "code, rank"), dates="rank")
 def lapse_detectors(spark, sf):
-    f = spark.createDataFrame([(*r, False, k) for k, r in enumerate(_FACTS)], "id int, field string, value string, confidence double, reviewed boolean, fact_id int")
+    """One of three sets of facts for each customer, and what it lacks."""
+    told = spark.createDataFrame([(*r, k) for k, r in enumerate(_FACTS)], "i int, field string, value string, confidence double, n int")
+    f = table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).join(F.broadcast(told), F.col("id") % 3 + 1 == F.col("i"))  # fourteen rows
+    f = f.select("id", "field", "value", "confidence", F.lit(False).alias("reviewed"), (F.col("id") * 100 + F.col("n")).alias("fact_id"))
     return detectors.detect(detectors.wide_facts(f, "id"), "id").select("id", "code", F.col("rank").cast("decimal(5,4)").alias("rank"))
 
 
@@ -331,10 +356,14 @@ def derived_maximum(spark, sf):
     return table(spark, sf, "part").select("p_partkey", rules.derived_term(kind, F.col("p_size"), modifier).alias("t")).select("p_partkey", "t.*")
 
 
-@query(_values([(1, "ravi kumar k", "raju", "shankar"), (2, "mohammed rafiq", "", ""), (3, "ar", "", ""), (4, "", "", "")], "id, primary_name, aliases, relative"))
+@query("""with c as (select c_custkey as id, 'k' || translate(c_custkey::varchar, '0123456789', 'abdefghilm') as s from customer)
+    select id, (['ravi ' || s || ' k', 'mohammed rafiq ' || s, 'ar', ''])[id % 4 + 1] as primary_name, case id % 4 when 0 then 'raju' else '' end as aliases, case id % 4 when 0 then s else '' end as relative from c""")
 def name_parts(spark, sf):
-    n = spark.createDataFrame([(1, "Sri Ravi Kumar Ke @ Raju s/o Late Shankar"), (2, "Md. Rafiq"), (3, "Ar"), (4, None)], "id int, name string")
-    x = n.select("id", text.normalised_name(F.col("name")).alias("n"))
+    """Customers' names in four ways of writing them, spelled from their keys."""
+    k = F.col("c_custkey")
+    s = F.concat(F.lit("k"), F.translate(k.cast("string"), "0123456789", "abdefghilm"))
+    name = F.when(k % 4 == 0, F.concat(F.lit("Sri Ravi "), s, F.lit(" Ke @ Raju s/o Late "), s)).when(k % 4 == 1, F.concat(F.lit("Md. Rafiq "), s)).when(k % 4 == 2, F.lit("Ar"))
+    x = table(spark, sf, "customer").select(k.alias("id"), text.normalised_name(name).alias("n"))
     return x.select("id", F.array_join("n.primary", " ").alias("primary_name"), F.coalesce(F.array_join(F.flatten("n.aliases"), ","), F.lit("")).alias("aliases"), F.array_join("n.relative", " ").alias("relative"))
 
 
