@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewright.functions import documents, extract
 from tidewright.operators import consistency, ingest, registers
 from tidewright.plans import records, training
 from tidewright.plans.catalog import query
+from tidewright.sources.knowledge import knowledge
 from tidewright.sources.readers import table
+from tidewright.sources.scratch import shared_folder
+from tidewright.sources.versioned import VersionedTable
 
 _NAMES = ["Ravi Kumar", "Sita Devi", "Mohan Das", "Asha Rani", "Imran Khan", "Gopal Shetty", "Meera Nair"]
 #: What stands at the head of each uploaded text: eleven shapes, one for every way through the chain.
@@ -251,3 +256,37 @@ def merged_name_variants(spark, sf):
     v = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.collect_set("o_orderpriority").alias("p"), F.min("o_orderpriority").alias("m"))
     a, b = v.where("c % 2 = 0"), v.select((F.col("c") - 1).alias("c"), F.col("p").alias("q"), F.col("m").alias("o"))
     return a.join(b, "c").select(F.col("c").alias("kept"), F.array_join(registers.merged_variants(F.col("m"), F.col("p"), F.col("o"), F.col("q")), ",").alias("variants"))
+
+
+# ---- a table that is merged into, and knowledge files
+
+
+@query("""with a as (select c_custkey, c_acctbal, c_nationkey from customer where c_custkey % 3 > 0), n as (select c_custkey, c_acctbal + 1 as c_acctbal, c_nationkey from customer where c_custkey % 4 = 0)
+    select * from a where c_custkey % 4 > 0 and c_custkey % 5 > 0 union all select * from n""")
+def table_upsert(spark, sf):
+    """Customers merged into a versioned table: every fourth anew, every fifth deleted."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    t = VersionedTable(spark, f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}")
+    t.write(c.where("c_custkey % 3 > 0"))
+    t.upsert(c.where("c_custkey % 4 = 0").withColumn("c_acctbal", (F.col("c_acctbal") + 1).cast(c.schema["c_acctbal"].dataType)), ["c_custkey"], c.where("c_custkey % 5 = 0"))
+    return t.read()
+
+
+@query("""select case when p_partkey % 2 = 0 then 'IPC' else 'BNS' end as act, p_partkey::varchar as section, case when p_partkey % 6 = 5 then 'life' when p_partkey % 6 = 4 then 'none' else 'term' end as max_kind,
+    case when p_partkey % 6 < 4 then p_size * 12 + p_partkey % 12 end as max_months, case when p_partkey % 7 = 0 then true else p_partkey % 5 = 0 end as verified, case when p_partkey % 7 = 0 then 'r' || p_partkey % 3 end as verified_by from part""")
+def knowledge_records(spark, sf):
+    """Parts as sections of two acts: written as knowledge files, a draft of each section first, and read with an overlay."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
+    k = F.col("k")
+    term = F.when(k % 6 == 5, F.lit('"life"')).when(k % 6 == 4, F.lit("null")).otherwise(F.format_string('{"years": %d, "months": %d}', "size", k % 12))
+    record = lambda t, fine, ok: F.concat(F.lit('{"section": "'), k.cast("string"), F.lit('", "max_imprisonment": '), t, F.lit(', "fine_only": '), fine, F.lit(', "verified": '), ok, F.lit("}"))
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    act = F.when(k % 2 == 0, "I.P.C").otherwise("bns")
+    rows = p.withColumn("act", act).withColumn("shard", k % 4)
+    file = lambda text: rows.groupBy("act", "shard").agg(F.concat(F.lit('{"act": "'), F.first("act"), F.lit('", "records": ['), F.array_join(F.sort_array(F.collect_list(text)), ", "), F.lit("]}")).alias("value")).select("value")
+    root = f"{shared_folder(spark)}/knowledge-{uuid.uuid4().hex}"
+    for name, text in (("a-draft", record(F.lit('"death"'), F.lit("false"), F.lit("true"))), ("b-final", record(term, flag(k % 6 == 4), flag(k % 5 == 0)))):
+        file(text).repartition(8).write.option("maxRecordsPerFile", 1).text(f"{root}/{name}")
+    both = f"{root}/{{a-draft,b-final}}/part-*"
+    overlay = p.where("k % 7 = 0").select(F.concat_ws(":", F.when(k % 2 == 0, "IPC").otherwise("BNS"), k.cast("string")).alias("key"), F.lit(True).alias("verified"), F.concat(F.lit("r"), (k % 3).cast("string")).alias("verified_by"))
+    return knowledge(spark, both, overlay).records.select("act", "section", "max_kind", "max_months", "verified", "verified_by")
