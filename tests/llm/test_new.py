@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import queries, spelling, toxicity, vector_codes
+from tidewright.llm import quality, queries, spelling, toxicity, vector_codes
 
 R = random.Random(5)
 NAN, INF = float("nan"), float("inf")
@@ -242,3 +242,17 @@ def test_toxicity_edges(spark):
     odd = df.withColumnRenamed("text", "a.b").withColumnRenamed("doc_id", "i.d")
     assert toxicity.score_documents(odd, model, "i.d", "a.b").count() == len(rows)
     assert toxicity.fit(df, labels, lang_col=None).langs == []
+
+
+def test_quality_held_out(spark):
+    """Ratings that aren't learned from: how often the higher grade has the higher expected grade, and poor and toxic
+    texts that are kept."""
+    sf = "/root/testdata/sf0.1"
+    docs, rated = spark.read.parquet(f"{sf}/documents.parquet"), quality.graded(spark.read.parquet(f"{sf}/labels.parquet"))
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality.fit(docs, rated.where(~out))
+    rows = quality.grade(docs.join(rated.where(out), "doc_id", "left_semi"), model).join(rated, "doc_id").collect()
+    pairs = [(a.expected_grade > b.expected_grade) + 0.5 * (a.expected_grade == b.expected_grade) for a in rows for b in rows if a.grade > b.grade]
+    kept = [r for r in rows if r.keep]
+    print("rank", np.mean(pairs), "kept", len(kept), "of", sum(r.grade == 2 for r in rows), "good", sum(r.grade == 2 for r in kept))
+    assert np.mean(pairs) >= 0.8 and sum(r.grade == 2 for r in kept) / len(kept) >= 0.85
