@@ -5,9 +5,9 @@
 3. For each block of items one distributed pass sketches A'A of the TF-IDF passage matrix A with a random test matrix; the Nystrom form of the
    randomised SVD gives the leading right singular vectors.
 4. Windows of every document and the items are compared by cosine in that space; candidates are verified word by word.
-5. What the cosine loses is found exactly, and named apart: an item's rarest words that together weigh more than may be
-   missing are its pivots; a stretch that passes the checks holds one of them, so the surroundings of every pivot are
-   checked too for the items that no candidate of the document has confirmed.
+5. What the cosine loses is found exactly: an item's rarest words that together weigh more than may be missing are its
+   pivots; a stretch that passes the checks holds one of them, so the surroundings of every pivot are checked too for the
+   items that no candidate of the document holds whole. Without this step (exact=False) the search is measured alone.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ PASSAGE, RANK, EXTRA, BLOCK = 32, 96, 16, 2_000
 #: Items of fewer words are sought as exact phrases.
 PHRASE = 3
 #: (longest item, window, stride) by item length: an item fills most of some window.
-SCALES = ((24, 24, 10), (56, 56, 20), (240, 112, 40), (1 << 30, 448, 150))
+SCALES = ((24, 24, 10), (56, 56, 20), (240, 112, 40), (1 << 30, 240, 80))
 #: (longest item, words beside it) of the stretches that are checked exactly; longer items have at least LONGER.
 SPANS, LONGER = ((24, 24), (56, 56)), 112
 #: Words, a multiple of PASSAGE, windows and pairs of a place and an item that are handled at once: they bound a task's memory, not what it handles.
@@ -192,10 +192,9 @@ def _pivots(items: list[list[int]], weight: np.ndarray, wanted: list[int] | None
 
 
 def _pivots_verified(ids, lengths, pivots, items, weight, hits) -> None:
-    """Adds to the documents' hits every item that they don't hold yet and that passes the checks in a stretch of span()
-    words. Longer stretches, by a sixteenth of the item, are checked at fewer starts: none that passes is lost."""
+    """Adds to the documents' hits every item that they don't hold whole yet and that passes the checks in a stretch of
+    span() words, which no candidate's stretch exceeds. Longer stretches, by a sixteenth of the item, are checked at fewer starts: none that passes is lost."""
     starts, of = pivots
-    known = [frozenset(h) for h in hits]
     ends = np.cumsum(lengths)
     n = np.append(np.diff(starts), 0)  # -1 is the last
     all_at = np.flatnonzero(n[ids])
@@ -210,8 +209,6 @@ def _pivots_verified(ids, lengths, pivots, items, weight, hits) -> None:
         place, item, doc = place[order], item[order], doc[order]
         heads = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])))) if len(place) else []
         for i, d, own in zip(item[heads].tolist(), doc[heads].tolist(), np.split(place, heads[1:]), strict=True) if len(place) else ():
-            if i in known[d]:
-                continue
             x = items[i]
             reach, step, need = span(len(x)), max(1, len(x) // 16), int(np.ceil(_least(x) * len(x) - 1e-9))
             mask[x] = True
@@ -267,13 +264,12 @@ def _searched(kind, shared, exact: bool):
                 data = part.column(2).to_pylist()
                 ids, lengths = local[np.frombuffer(b"".join(data), kind)], np.array([len(d) for d in data]) // np.dtype(kind).itemsize
                 hits = _candidates_verified(ids, lengths, used, vectors, groups, items, weight)
-                latent = [len({names[i] for i in h}) for h in hits]
                 if exact:
                     _pivots_verified(ids, lengths, pivots, items, weight, hits)
                 _phrases_found(ids, lengths, phrases, of, v, hits)
                 found = [sorted({names[i] for i in h}) for h in hits]
                 scores = [float(max(h.values(), default=0)) for h in hits]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(latent, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "text_key", "item_ids", "n_latent", "overlap"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64())], names=["doc_id", "text_key", "item_ids", "overlap"])
         words.release()
 
     return run
@@ -310,8 +306,7 @@ def _candidates_verified(ids, lengths, used, vectors, groups, items, weight) ->
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", exact: bool = True) -> DataFrame:
-    """One row per document: doc_id, contaminated, item_ids (sorted, distinct), n_latent (how many of them the latent
-    search found), overlap (largest share found, 0 to 1).
+    """One row per document: doc_id, contaminated, item_ids (sorted, distinct), overlap (largest share found, 0 to 1).
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII letters. An item is found in a document where a window
     is a candidate by latent cosine and 70 % of the item's words (90 % of a short item's) stand there in the item's
@@ -329,7 +324,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     vocabulary = [bytes(r["word"]) for r in items.select("text").mapInArrow(_vocabulary, "word binary").distinct().collect()]
     v = len(vocabulary)
     if not v:
-        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.array().cast("array<bigint>").alias("item_ids"), F.lit(0).cast("long").alias("n_latent"), F.lit(0.0).alias("overlap"))
+        return rows.select("doc_id", F.lit(False).alias("contaminated"), F.array().cast("array<bigint>").alias("item_ids"), F.lit(0.0).alias("overlap"))
     hashes = words.hashed_words(b" ".join(vocabulary))[1]
     order = np.argsort(hashes)
     number = {vocabulary[k]: i for i, k in enumerate(order.tolist())}
@@ -351,16 +346,16 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
         hits = found[0]
         for other in found[1:]:
             hits = hits.unionByName(other)
-        hits = hits.where("size(item_ids) > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sum("n_latent").alias("n_latent"), F.max("overlap").alias("overlap"))
+        hits = hits.where("size(item_ids) > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("overlap").alias("overlap"))
         out = numbered.select("doc_id", "text_key").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-        out = out.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("n_latent", F.lit(0)).alias("n_latent"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
-    out = save(out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "n_latent", "overlap"), "contamination")
+        out = out.select("doc_id", F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    out = save(out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "overlap"), "contamination")
     drop(numbered)
     return out
 
 
 def _search_block(numbered: DataFrame, items: list[tuple[int, list[int]]], df: np.ndarray, n: int, kind, exact: bool) -> DataFrame:
-    """(doc_id, text_key, item_ids, n_latent, overlap) of all documents for a block of items; its words are numbered anew."""
+    """(doc_id, text_key, item_ids, overlap) of all documents for a block of items; its words are numbered anew."""
     spark = numbered.sparkSession
     own = np.array(sorted({w for _, ws in items for w in ws}))
     v = len(own)
@@ -390,7 +385,7 @@ def _search_block(numbered: DataFrame, items: list[tuple[int, list[int]]], df: n
     scale = np.where(sigma[:rank] >= NOISE * sigma[0], 1 / np.maximum(sigma[:rank], 0.1 * sigma[0] + 1e-12), 0.0)
     vectors = u[:, :rank] * (idf * used)[:, None] * scale
     shared = spark.sparkContext.broadcast((local, idf, used, vectors, numbers, [i for i, _ in items]))
-    return numbered.mapInArrow(_searched(kind, shared, exact), "doc_id long, text_key long, item_ids array<long>, n_latent long, overlap double")
+    return numbered.mapInArrow(_searched(kind, shared, exact), "doc_id long, text_key long, item_ids array<long>, overlap double")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
