@@ -230,3 +230,11 @@ def test_quotes_times_and_two_readers(spark):
     two = spark.createDataFrame([(1, "B", 0.9), (2, "a", 0.98), (3, "a", 0.5), (5, "C", 0.9), (4, "x", 0.9)], one.schema)
     got = {r.k: (r.value, r.confidence, r.method, r.disputed_by) for r in registers.fused(one, two, ["k"]).collect()}
     assert got == {1: ("A", 0.5, "disputed", "B"), 2: ("A ", 0.99, "both", None), 3: ("A", 0.55, "both", None), 4: (None, 0.5, "disputed", "x"), 5: ("C", 0.75, "second", None)}
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Pairs are small and costly: their number sets the tasks, which their bytes would not."""
+    monkeypatch.setattr(matching, "TASK_PAIRS", 100)
+    df = spark.createDataFrame([(i, "k") for i in range(60)], "id long, k string")
+    pairs = matching.blocked_pairs(df, "id", F.array("k"), F.array(F.lit(0)), 200)
+    assert pairs.count() == 60 * 59 // 2 and pairs.rdd.getNumPartitions() == 18
