@@ -238,3 +238,14 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     df = spark.createDataFrame([(i, "k") for i in range(60)], "id long, k string")
     pairs = matching.blocked_pairs(df, "id", F.array("k"), F.array(F.lit(0)), 200)
     assert pairs.count() == 60 * 59 // 2 and pairs.rdd.getNumPartitions() == 18
+
+
+def test_knowledge_files_grow_in_number_not_in_length(spark, monkeypatch):
+    """A file is parsed whole in one Python process: twice the sections must not make it twice as long."""
+    read = []
+    real = intake.knowledge
+    monkeypatch.setattr(intake, "SECTIONS", 50, raising=False)
+    monkeypatch.setattr(intake, "knowledge", lambda s, path, overlay: (read.append(path), real(s, path, overlay))[1])
+    assert intake.knowledge_records(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    longest = spark.read.text(read[0], wholetext=True).select(F.max(F.size(F.split("value", '"section"')) - 1)).first()[0]
+    assert longest <= 50

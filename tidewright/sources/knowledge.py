@@ -55,6 +55,13 @@ def _term(column: str, kind: str, months: str) -> list:
     return [F.when(raw.isin("life", "death"), raw).when(F.col(column).isNotNull(), "term").alias(kind), F.when(F.col(column).isNotNull() & ~raw.isin("life", "death"), length).alias(months)]
 
 
+def _digest(rows: DataFrame) -> str:
+    """Twelve digits over all rows (x), in any order: hashes of 4,096 buckets of sorted hashes are all that is gathered."""
+    hashed = rows.select(F.sha2("x", 256).alias("h"))
+    of = lambda df, *key: df.groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
+    return of(of(hashed, F.substring("h", 1, 3).alias("bucket")).select("h")).first()["h"][:12]
+
+
 def knowledge(spark: SparkSession, path: str, overlay: DataFrame | None = None) -> Knowledge:
     """All knowledge files at `path` (a pattern), read by Spark whatever store they are in.
 
@@ -64,9 +71,8 @@ def knowledge(spark: SparkSession, path: str, overlay: DataFrame | None = None)
     twelve digits of a hash over them, put together from one row a file.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    hashes = sorted((r["file"], r["h"]) for r in files.select(F.substring_index("file", "/", -1).alias("file"), F.sha2("text", 256).alias("h")).collect())
-    checked = sorted((r["key"], r["verified"], r["verified_by"]) for r in overlay.select("key", "verified", "verified_by").collect()) if overlay else []
-    version = spark.range(1).select(F.sha2(F.lit(json.dumps([hashes, checked], default=str)), 256).alias("v")).first()["v"][:12]
+    seen = files.select(F.to_json(F.struct(F.substring_index("file", "/", -1).alias("file"), F.sha2("text", 256).alias("h"))).alias("x"))
+    version = _digest(seen.unionByName(overlay.select(F.to_json(F.struct("key", "verified", "verified_by")).alias("x"))) if overlay else seen)
     parts = files.mapInArrow(_parts, "file string, place int, kind string, said string")
     of = lambda kind, schema: parts.where(F.col("kind") == kind).select("file", "place", F.from_json("said", schema).alias("r")).select("file", "place", "r.*")
 
