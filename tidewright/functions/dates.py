@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.text import once
+
 # A month is 365.25 / 12 days, kept as integers so that thresholds are exact.
 MONTH_NUM, MONTH_DEN = 36525, 1200
 
@@ -37,17 +39,21 @@ def parse_numeric_date(text: Column, today: Column) -> Column:
     capped at 0.3. No date gives null fields.
     """
     digits = normalise_digits(text)
-    part = [F.nullif(F.regexp_extract(digits, r"(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})(?!\d)", k), F.lit("")).cast("int") for k in (1, 2, 3)]
-    year = pivot_year(part[2], today)
+    parts = [F.nullif(F.regexp_extract(digits, r"(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})(?!\d)", k), F.lit("")).cast("int").alias(n) for k, n in enumerate("aby", 1)]
+
+    def date(year: Column, month: Column, day: Column) -> Column:
+        """Null, without an error that has to be caught, where there is no such day."""
+        last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+        return F.when(month.between(1, 12) & (day >= 1), F.when(day <= last, F.make_date(year, month, day)))
 
-    def date(day: Column, month: Column) -> Column:
-        return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    def read(d: Column) -> Column:
+        dmy, mdy, value = d["dmy"], d["mdy"], F.coalesce(d["dmy"], d["mdy"])
+        sure = F.when(dmy.isNull(), 0.70).when(mdy.isNotNull() & (mdy != dmy), 0.75).otherwise(0.95) - F.when(d["y"] < 100, 0.10).otherwise(0.0)
+        sure = F.when(value > today, F.least(sure, F.lit(0.3))).otherwise(sure)
+        return F.when(d["y"].isNotNull() & value.isNotNull(), F.struct(value.alias("value"), F.round(sure, 2).alias("confidence"), F.when(mdy != dmy, mdy).alias("alternative")))
 
-    dmy, mdy = date(part[0], part[1]), date(part[1], part[0])
-    value = F.coalesce(dmy, mdy)
-    sure = F.when(dmy.isNull(), 0.70).when(mdy.isNotNull() & (mdy != dmy), 0.75).otherwise(0.95) - F.when(part[2] < 100, 0.10).otherwise(0.0)
-    sure = F.when(value > today, F.least(sure, F.lit(0.3))).otherwise(sure)
-    return F.when(part[2].isNotNull() & value.isNotNull(), F.struct(value.alias("value"), F.round(sure, 2).alias("confidence"), F.when(mdy != dmy, mdy).alias("alternative")))
+    both = lambda p, year: F.struct(date(year, p["b"], p["a"]).alias("dmy"), date(year, p["a"], p["b"]).alias("mdy"), p["y"].alias("y"))
+    return once(F.struct(*parts), lambda p: once(both(p, pivot_year(p["y"], today)), read))
 
 
 def age_in_years(born: Column, on: Column) -> Column:

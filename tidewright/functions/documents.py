@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewright.functions.text import once
+
 # Patterns of each class of document, in order of preference.
 CLASSES = {
     "fir": ["first information report", r"\bF\.?I\.?R\b", "ಪ್ರಥಮ ಮಾಹಿತಿ ವರದಿ", "प्रथम सूचना रिपोर्ट"],
@@ -55,16 +57,22 @@ def document_class(text: Column, classes: dict[str, list[str]] = CLASSES, head:
     classes stands with confidence 0.5, and a text without a hit is unknown.
     """
     start = F.coalesce(text, F.lit("")) if head is None else F.substring(F.coalesce(text, F.lit("")), 1, head)
-    hits = {k: sum((F.rlike(start, F.lit(f"(?iu){p}")).cast("int") for p in ps), F.lit(0)) for k, ps in classes.items()}
-    ranked = F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("label")) for i, (k, n) in enumerate(hits.items())]))
-    best, top, second = F.get(ranked, F.lit(0))["label"], -F.get(ranked, F.lit(0))["n"], -F.get(ranked, F.lit(1))["n"]
     made = lambda label, sure, how: F.struct(label.alias("label"), sure.cast("double").alias("confidence"), F.lit(how).alias("method"))
-    return (
-        F.when((top >= 2) & (top > second), made(best, F.round(F.least(F.lit(0.95), 0.6 + 0.15 * top), 2), "rules"))
-        .when((top == 1) & (second == 0), made(best, F.lit(0.7), "rules"))
-        .when(top > 0, made(best, F.lit(0.5), "rules_tie"))
-        .otherwise(made(F.lit("unknown"), F.lit(0.0), "none"))
-    )
+
+    def ranking(start: Column) -> Column:
+        hits = {k: sum((F.rlike(start, F.lit(f"(?iu){p}")).cast("int") for p in ps), F.lit(0)) for k, ps in classes.items()}
+        return F.array_sort(F.array(*[F.struct((-n).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("label")) for i, (k, n) in enumerate(hits.items())]))
+
+    def decided(ranked: Column) -> Column:
+        best, top, second = F.get(ranked, F.lit(0))["label"], -F.get(ranked, F.lit(0))["n"], -F.get(ranked, F.lit(1))["n"]
+        return (
+            F.when((top >= 2) & (top > second), made(best, F.round(F.least(F.lit(0.95), 0.6 + 0.15 * top), 2), "rules"))
+            .when((top == 1) & (second == 0), made(best, F.lit(0.7), "rules"))
+            .when(top > 0, made(best, F.lit(0.5), "rules_tie"))
+            .otherwise(made(F.lit("unknown"), F.lit(0.0), "none"))
+        )
+
+    return once(start, lambda start: once(ranking(start), decided))  # every pattern is looked for once
 
 
 def missing_fields(label: Column, fields: Column, required: dict[str, list[list[str]]] = REQUIRED) -> Column:

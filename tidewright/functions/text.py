@@ -19,13 +19,18 @@ PHONETIC = (
 )
 
 
+def once(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often `then` names it: as the element of an array of one."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def phonetic_token(token: Column) -> Column:
     """Spelling variants of one name part fall together; doubled letters collapse; a final a, u or e goes if long."""
     out = F.regexp_replace(F.lower(token), "[^a-z]", "")
     for a, b in PHONETIC:
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.regexp_replace(out, r"(.)\1+", "$1")
-    return F.when(F.length(out) > 3, F.regexp_replace(out, "[aue]+$", "")).otherwise(out)
+    return once(out, lambda out: F.when(F.length(out) > 3, F.regexp_replace(out, "[aue]+$", "")).otherwise(out))
 
 
 def phonetic_key(name: Column) -> Column:
@@ -54,25 +59,35 @@ def _mapped(token: Column, table: dict[str, str]) -> Column:
 def name_tokens(name: Column) -> Column:
     """Latin tokens of a name without titles, short forms written out; a spelled initial counts only at the end of several."""
     raw = F.filter(F.split(F.lower(name), "[^a-z]+"), lambda t: t != "")
-    n = F.size(raw)
-    last = F.transform(raw, lambda t, i: F.struct(t.alias("t"), ((i == n - 1) & (n > 1)).alias("last")))
-    kept = F.filter(last, lambda x: ~x["t"].isin(HONORIFICS))
-    return F.transform(kept, lambda x: F.when(x["last"], _mapped(_mapped(x["t"], EXPANSIONS), SPELLED_INITIALS)).otherwise(_mapped(x["t"], EXPANSIONS)))
+
+    def written_out(raw: Column) -> Column:
+        n = F.size(raw)
+        last = F.transform(raw, lambda t, i: F.struct(t.alias("t"), ((i == n - 1) & (n > 1)).alias("last")))
+        kept = F.filter(last, lambda x: ~x["t"].isin(HONORIFICS))
+        return F.transform(kept, lambda x: F.when(x["last"], _mapped(_mapped(x["t"], EXPANSIONS), SPELLED_INITIALS)).otherwise(_mapped(x["t"], EXPANSIONS)))
+
+    return once(raw, written_out)
 
 
 def normalised_name(name: Column) -> Column:
     """struct(primary, initials, aliases, relative) of tokens: "A @ B s/o C" has the name A, the alias B and the relative
     C; initials are the single letters of the name."""
     parts = F.split(name, rf"(?i)\s+(?:{'|'.join(RELATION_WORDS)})\s+", 2)
-    names = F.filter(F.split(F.get(parts, F.lit(0)), rf"(?i)@|\b(?:{'|'.join(ALIAS_WORDS)})\b"), lambda p: F.trim(p) != "")
     none = F.array().cast("array<string>")
-    primary = F.coalesce(name_tokens(F.get(names, F.lit(0))), none)
-    return F.struct(
-        primary.alias("primary"),
-        F.filter(primary, lambda t: F.length(t) == 1).alias("initials"),
-        F.transform(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), name_tokens).alias("aliases"),
-        F.coalesce(name_tokens(F.get(parts, F.lit(1))), none).alias("relative"),
-    )
+
+    def parsed(primary: Column, names: Column, parts: Column) -> Column:
+        return F.struct(
+            primary.alias("primary"),
+            F.filter(primary, lambda t: F.length(t) == 1).alias("initials"),
+            F.transform(F.slice(names, 2, F.greatest(F.size(names), F.lit(1))), name_tokens).alias("aliases"),
+            F.coalesce(name_tokens(F.get(parts, F.lit(1))), none).alias("relative"),
+        )
+
+    def named(parts: Column) -> Column:
+        names = F.filter(F.split(F.get(parts, F.lit(0)), rf"(?i)@|\b(?:{'|'.join(ALIAS_WORDS)})\b"), lambda p: F.trim(p) != "")
+        return once(names, lambda names: once(F.coalesce(name_tokens(F.get(names, F.lit(0))), none), lambda primary: parsed(primary, names, parts)))
+
+    return once(parts, named)
 
 
 def reference_key(text: Column) -> Column:

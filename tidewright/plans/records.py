@@ -13,7 +13,7 @@ from tidewright.operators import consistency, detectors, matching, metrics, rela
 from tidewright.plans import training
 from tidewright.plans.catalog import TODAY, query
 from tidewright.sources.readers import table
-from tidewright.sources.scratch import checkpointed, shared_folder
+from tidewright.sources.scratch import checkpointed, shared_folder, spread
 from tidewright.streaming import monitoring
 
 
@@ -90,7 +90,7 @@ def _filed(spark, sf, texts):
     """(id, t): customers' files, the shape chosen by the key and the key in front."""
     k = F.col("c_custkey")
     chosen = F.get(F.array(*[F.lit(t).cast("string") for _, t in texts]), (k % len(texts)).cast("int"))
-    return table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lit("("), k.cast("string"), F.lit(") "), chosen).alias("t"))
+    return spread(table(spark, sf, "customer").select("c_custkey")).select(k.alias("id"), F.concat(F.lit("("), k.cast("string"), F.lit(") "), chosen).alias("t"))
 
 
 def _expected(values: str, n: int, columns: str) -> str:
@@ -128,7 +128,7 @@ def _memos(spark, sf):
     who = F.concat("c_name", F.lit(" s/o Shankar, aged about "), (20 + k % 50).cast("string"), F.lit(" years"))
     med = F.get(F.array(F.lit("Not done"), F.lit("Yes"), F.lit("perhaps")), (k % 3).cast("int"))
     t = F.concat(F.lit("Police Station: Hebbal   FIR No.: "), k.cast("string"), F.lit("/2024\nAccused: "), who, F.lit("\nDate of arrest (as stated): 25/"), month, F.lit("/2023\nMedical examination: "), med, F.lit("\nNote: none\n26/"), month, F.lit("/2023: Counsel absent. Call on 13/02/2024.\n"))
-    return table(spark, sf, "customer").select(k.alias("id"), t.alias("t"))
+    return spread(table(spark, sf, "customer").select("c_custkey", "c_name")).select(k.alias("id"), t.alias("t"))
 
 
 @query(f"""with {_MEMO_SQL}, f as (select k as id, unnest([struct_pack(field := 'police_station', value := 'Hebbal', pos := 16, c := 0.9), struct_pack(field := 'fir_number', value := fir, pos := 34, c := 0.9), struct_pack(field := 'accused', value := who, pos := 34 + length(fir) + 10, c := 0.9),
@@ -363,7 +363,7 @@ def name_parts(spark, sf):
     k = F.col("c_custkey")
     s = F.concat(F.lit("k"), F.translate(k.cast("string"), "0123456789", "abdefghilm"))
     name = F.when(k % 4 == 0, F.concat(F.lit("Sri Ravi "), s, F.lit(" Ke @ Raju s/o Late "), s)).when(k % 4 == 1, F.concat(F.lit("Md. Rafiq "), s)).when(k % 4 == 2, F.lit("Ar"))
-    x = table(spark, sf, "customer").select(k.alias("id"), text.normalised_name(name).alias("n"))
+    x = spread(table(spark, sf, "customer").select("c_custkey")).select(k.alias("id"), F.explode(F.array(text.normalised_name(name))).alias("n"))
     return x.select("id", F.array_join("n.primary", " ").alias("primary_name"), F.coalesce(F.array_join(F.flatten("n.aliases"), ","), F.lit("")).alias("aliases"), F.array_join("n.relative", " ").alias("relative"))
 
 
