@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import documents, extract, text
-from tidewright.sources.scratch import checkpointed
+from tidewright.sources.scratch import checkpointed, spread
 
 # Suffixes that are taken and their kinds; the least confidence that needs no review; the confidence of
 # holds, of facts of a held document, and of names that are the same person's.
@@ -89,12 +89,14 @@ def ingest(uploads: DataFrame, names: DataFrame, cases: DataFrame, today: Column
     confidence at most 0.5 and a note; facts of a badly read page are at most 0.1 surer than its reading. Reviews of one
     kind and reference are one, with all titles and the least confidence. Null ids of person and case mean none.
     """
-    u = _received(uploads, most_bytes)
+    # files are dealt to all tasks, hashed and sniffed once
+    u = checkpointed(_received(spread(uploads), most_bytes))
     first = u.where("_rejected is null").groupBy("sha256", "person_id").agg(F.min("upload_id").alias("_first"))
     u = u.alias("u").join(first.alias("f"), (F.col("u.sha256") == F.col("f.sha256")) & F.col("u.person_id").eqNullSafe(F.col("f.person_id")) & F.col("u._rejected").isNull(), "left").select("u.*", "f._first")
     dup = F.when(F.col("_first") < F.col("upload_id"), F.col("_first"))
     u = u.withColumn("duplicate_of", dup).withColumn("_text", F.when(F.col("_kind") == "text", F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit(""))).otherwise("")).drop("content", "_first")
     u = u.withColumn("_readable", F.col("_rejected").isNull() & F.col("duplicate_of").isNull() & F.rlike("_text", F.lit(r"(?U)\S")))
+    u = u.withColumn("_pages", F.transform(F.split("_text", "\f"), lambda p: F.length(p)))
     u = checkpointed(u.withColumn("_class", F.when(F.col("_readable"), documents.document_class(F.col("_text"), head=head))))
     read = u.where("_readable")
 
@@ -120,7 +122,11 @@ def ingest(uploads: DataFrame, names: DataFrame, cases: DataFrame, today: Column
     out = rest.select("upload_id", "person_id", F.coalesce("_linked", "case_id").alias("case_id"), "filename", "sha256", status.alias("status"), "duplicate_of", "doc_type", "type_confidence", warnings.alias("warnings"), problems.alias("problems"))
 
     # a fact is as sure as its page was read, and no surer than the document that holds it
-    paged = facts.join(read.select("upload_id", "_text", "confidences"), "upload_id").withColumn("page", F.length(F.regexp_replace(F.substring("_text", F.lit(1), F.coalesce("start", F.lit(0))), "[^\f]", "")) + 1)
+    # pages that end before it are counted by their lengths, so that texts aren't shuffled
+    at = F.coalesce("start", F.lit(0))
+    ended = lambda x, n: F.struct((x["at"] + n + 1).alias("at"), (x["n"] + (x["at"] + n < at).cast("int")).alias("n"))
+    page = F.aggregate("_pages", F.struct(F.lit(0).alias("at"), F.lit(1).alias("n")), ended, lambda x: x["n"])
+    paged = facts.join(read.select("upload_id", "_pages", "confidences"), "upload_id").withColumn("page", page)
     reading = F.coalesce(F.get("confidences", F.col("page") - 1), F.lit(1.0))
     known = paged.select("upload_id", "field", "value", "date_value", "page", "start", "end", F.when(reading < 0.9, F.least("confidence", reading + 0.1)).otherwise(F.col("confidence")).alias("_c")).join(v.select("upload_id", "person_id", "case_id", "problems"), "upload_id")
     held = F.size("problems") > 0
