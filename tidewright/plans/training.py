@@ -41,6 +41,10 @@ def holdout_scores(rows: DataFrame, features: list[str], label: str, early: Colu
 SHORTEST, LONGEST, INVERSE, CERTAIN, MOST_SURE = 2, 4, 5.0, 0.7, 0.85
 
 
+#: Distinct texts up to which their causes are broadcast.
+MOST_BROADCAST = 100_000
+
+
 def edge_ngrams(text: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
     """Array of the character n-grams of each word with a blank on either side, lower-cased; a word shorter than an
     n-gram gives itself once, blanks included. Null text has none."""
@@ -81,12 +85,13 @@ def learn_causes(labelled: DataFrame, text_col: str = "text", label_col: str = "
     Rows without text or label teach nothing. What is collected are the classes and, for the coefficients, one row of
     numbers a class; the n-grams stay a table. At least two classes are needed.
     """
-    rows = checkpointed(labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("trim(text) <> '' and label is not null"))
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("trim(text) <> '' and label is not null")
+    rows = checkpointed(rows.groupBy("text", "label").agg(F.count(F.lit(1)).alias("times")))  # equal rows are one, weighed
     labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
     if len(labels) < 2:
         raise ValueError("at least two classes are needed")
-    n = rows.count()
-    df = rows.select(F.explode(F.array_distinct(edge_ngrams(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    n = rows.agg(F.sum("times")).first()[0]
+    df = rows.select("times", F.explode(F.array_distinct(edge_ngrams(F.col("text")))).alias("gram")).groupBy("gram").agg(F.sum("times").alias("df"))
     known = df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).select("gram", "idf")
     known = checkpointed(known.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(1024)).cast("int")))
     # places in the vector without a window over all n-grams: counts of buckets, summed up on the driver (1,024 numbers)
@@ -98,8 +103,8 @@ def learn_causes(labelled: DataFrame, text_col: str = "text", label_col: str = "
     known = checkpointed(known.withColumn("at", (begin + F.row_number().over(Window.partitionBy("bucket").orderBy("gram")) - 1).cast("int")).select("gram", "idf", "at"))
     vectors = _term_weights(rows.select("text").distinct(), known).groupBy("text").agg(_sparse(F.collect_list(F.struct("at", "x")), F.lit(offset)).alias("features"))
     place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
-    data = rows.join(vectors, "text").select("features", place.cast("double").alias("y"))
-    m = LogisticRegression(labelCol="y", family="multinomial", regParam=1 / (INVERSE * n), maxIter=200, standardization=False).fit(data)
+    data = rows.join(vectors, "text").select("features", place.cast("double").alias("y"), F.col("times").cast("double").alias("times"))
+    m = LogisticRegression(labelCol="y", weightCol="times", family="multinomial", regParam=1 / (INVERSE * n), maxIter=200, standardization=False).fit(data)
     own = rows.sparkSession.createDataFrame([(k, c) for k, c in enumerate(zip(*m.coefficientMatrix.toArray().tolist(), strict=True))], "at int, w array<double>")
     return CauseModel(checkpointed(known.join(own, "at").select("gram", "idf", "w")), [float(x) for x in m.interceptVector], labels)
 
@@ -110,8 +115,9 @@ def attribute_causes(reasons: DataFrame, text_col: str, model: CauseModel) -> Da
 
     Each distinct text that no rule knows is scored once, by a join of its n-grams with their weights and a sum.
     """
-    ruled = reasons.withColumn("_rule", documents.delay_cause(F.col(text_col)))
-    texts = ruled.where("_rule is null").select(F.col(text_col).alias("text")).distinct()
+    said = F.coalesce(F.col(text_col), F.lit(""))  # a missing reason counts as empty, which a rule knows
+    known = checkpointed(reasons.select(said.alias("text")).distinct().select("text", F.explode(F.array(documents.delay_cause(F.col("text")))).alias("_rule")))
+    texts = known.where("_rule is null").select("text")
     x = _term_weights(texts, model.weights.select("gram", "idf")).join(model.weights.select("gram", "w"), "gram")
     sums = x.groupBy("text").agg(*[F.sum(F.col("x") * F.get("w", F.lit(k))).alias(f"z{k}") for k in range(len(model.labels))])
     # a text without a known n-gram is scored by the intercepts alone
@@ -124,5 +130,6 @@ def attribute_causes(reasons: DataFrame, text_col: str, model: CauseModel) -> Da
         F.when(sure, F.col("guess")).otherwise("unknown").alias("label"), F.round(F.when(sure, F.least("p", F.lit(MOST_SURE))).otherwise(F.col("p")), 3).alias("confidence"), F.when(sure, "classifier").otherwise("classifier_low_confidence").alias("method"),
     )
     rule = F.struct(F.col("_rule.label").alias("label"), F.col("_rule.confidence").cast("double").alias("confidence"), F.lit("rules").alias("method"))
-    out = ruled.join(best, ruled[text_col] == best["text"], "left").withColumn("cause", F.when(F.col("_rule").isNotNull(), rule).otherwise(learned))
-    return out.select(*reasons.columns, "cause")
+    causes = checkpointed(known.join(best, "text", "left").select(F.col("text").alias("_said"), F.when(F.col("_rule").isNotNull(), rule).otherwise(learned).alias("cause")))
+    causes = F.broadcast(causes) if causes.count() <= MOST_BROADCAST else causes
+    return reasons.withColumn("_said", said).join(causes, "_said").select(*reasons.columns, "cause")
