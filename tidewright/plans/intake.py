@@ -12,7 +12,7 @@ from tidewright.plans import records, training
 from tidewright.plans.catalog import query
 from tidewright.sources.knowledge import knowledge
 from tidewright.sources.readers import table
-from tidewright.sources.scratch import shared_folder
+from tidewright.sources.scratch import checkpointed, shared_folder, spread
 from tidewright.sources.versioned import VersionedTable
 
 _NAMES = ["Ravi Kumar", "Sita Devi", "Mohan Das", "Asha Rani", "Imran Khan", "Gopal Shetty", "Meera Nair"]
@@ -118,6 +118,7 @@ def _record(spark, sf):
     k = F.col("case_id")
     cases = o.select("case_id", "person_id", F.when(k % 5 > 0, F.date_add("d", 60)).alias("charge_sheet_date"), F.when(k % 7 > 0, F.col("d")).alias("first_remand_date"), F.when(k % 6 > 0, F.date_sub("d", 10)).alias("offence_date"))
     line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("n"), F.to_date("l_shipdate").alias("ship")).groupBy("case_id", "n").agg(F.min("ship").alias("ship")).join(o, "case_id")
+    line = checkpointed(line)  # facts, custody and hearings are made of it
     pick = lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
     n = F.col("n")
     custody = line.select("person_id", F.when(n != 3, k).alias("case_id"), pick(_TYPES, n - 1).alias("type"), F.col("ship").alias("start"), F.when((k + n) % 9 > 0, F.date_add("ship", (F.lit(5) + (k + n) % 60).cast("int"))).alias("end"))
