@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewright.sources.scratch import checkpointed
+
 #: How a reading contradicts the record, by field: any other date, or only an earlier one.
 EARLIER = ["remand_date", "arrest_datetime"]
 
@@ -89,7 +91,7 @@ def field_conflicts(facts: DataFrame, cases: DataFrame, custody: DataFrame, hear
     """
     only = cases.groupBy("person_id").agg(F.count(F.lit(1)).alias("_n"), F.min("case_id").alias("_only")).where("_n = 1")
     f = facts.where("value is not null").join(only, "person_id", "left").withColumn("case_id", F.coalesce("case_id", "_only")).drop("_n", "_only")
-    f = f.join(cases.drop("person_id"), "case_id")
+    f = checkpointed(f.join(cases.drop("person_id"), "case_id"))  # every rule reads it
     value, other = F.col("value"), F.col("alternative")
 
     # against dates of the case itself

@@ -199,7 +199,7 @@ def _dated(spark, sf):
     """A record for each order: a certain date in words of one of three languages, a numeric one (every fifth badly read),
     three times of four with a time of day."""
     k = F.col("o_orderkey")
-    o = table(spark, sf, "orders").select(k.alias("k"), F.to_date("o_orderdate").alias("d")).withColumn("n", F.date_add("d", (F.col("k") % 400).cast("int")))
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_orderdate")).select(k.alias("k"), F.to_date("o_orderdate").alias("d")).withColumn("n", F.date_add("d", (F.col("k") % 400).cast("int")))
     word = F.get(F.array(*[F.array(*[F.lit(names[w]) for names in extract.MONTHS]) for w in (0, -2, -1)])[(F.col("k") % 3).cast("int")], F.month("d") - 1)
     said = F.concat_ws(" ", F.lit("Arrested on"), F.dayofmonth("d").cast("string"), word, F.year("d").cast("string"))
     figures = F.date_format("n", "dd/MM/yyyy")
@@ -213,10 +213,14 @@ def _dated(spark, sf):
       case when k % 4 > 0 then printf('%02d:%02d', (k % 23)::int, (k % 60)::int) end as time from r""", dates="certain value confidence")
 def dates_in_context(spark, sf):
     """Dates of a text, ambiguous ones settled by the record's certain date, with the time of day that follows."""
-    d = _dated(spark, sf).select("k", "t", F.posexplode(extract.dates_in("t", records._today())).alias("pos", "x")).select("k", "t", F.concat_ws(":", "k", "pos").alias("id"), "pos", "x.*")
+    d = _dated(spark, sf).select("k", "t", F.posexplode(extract.dates_in("t", records._today())).alias("pos", "x"))
+    after = F.when(F.col("pos") == 1, F.substring("t", F.col("x.end") + 1, F.length("t")))
+    d = checkpointed(d.select("k", after.alias("after"), F.concat_ws(":", "k", "pos").alias("id"), "pos", "x.*"))  # texts are read once
     out = extract.by_context(d, "k", "id")
-    certain = out.where("pos = 0").select("k", F.col("value").alias("certain"))
-    return out.where("pos = 1").join(certain, "k").select("k", "certain", "value", F.col("confidence").cast("decimal(3,2)").alias("confidence"), F.array_contains("flags", "AMBIGUITY_RESOLVED_BY_CONTEXT").alias("settled"), extract.time_of_day(F.substring("t", F.col("end") + 1, F.length("t"))).alias("time"))
+    # the two dates of a record, of which each has one
+    at = lambda n, *c: F.max(F.when(F.col("pos") == n, F.struct("value", *c)))
+    both = out.groupBy("k").agg(at(0).alias("a"), at(1, "confidence", "flags", "after").alias("b")).where("a is not null and b is not null")
+    return both.select("k", F.col("a.value").alias("certain"), "b.value", F.col("b.confidence").cast("decimal(3,2)").alias("confidence"), F.array_contains("b.flags", "AMBIGUITY_RESOLVED_BY_CONTEXT").alias("settled"), extract.time_of_day(F.col("b.after")).alias("time"))
 
 
 @query("""with w as (select conv_id, turn, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as ws from conversations where text is not null),
@@ -226,10 +230,13 @@ def dates_in_context(spark, sf):
       where regexp_extract_all(text, '\\S+') = ws and len(list_filter(range(1, len(ws) - 1), lambda i: ws[i] = quote[1] and ws[i + 1] = quote[2] and ws[i + 2] = quote[3])) = 1 and position(array_to_string(quote, ' ') in array_to_string(ws, ' ')) = length(array_to_string(ws[: 1 + turn % 3], ' ')) + 2""")
 def quoted_evidence(spark, sf):
     """Three words of a turn as a quote with other blanks between them, and where it stands; every fourth was made up."""
-    c = table(spark, sf, "conversations").where("text is not null").withColumn("ws", F.filter(F.split("text", r"\s+"), lambda w: w != "")).where("size(ws) > 6")
+    c = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text").where("text is not null"))
     n = F.col("turn") % 3
     first = (n + 2).cast("int")
-    quote = F.slice("ws", first, 3)
+    # exploded, so that no filter splits the text anew for each of its words
+    c = c.select("*", F.explode(F.array(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("ws")).where("size(ws) > 6")
+    c = c.select("*", F.explode(F.array(F.slice("ws", first, 3))).alias("quote"))
+    quote = F.col("quote")
     # only quotes that stand once, and first as such, have one answer
     once = F.size(F.filter(F.sequence(F.lit(0), F.size("ws") - 3), lambda i: (F.get("ws", i) == quote[0]) & (F.get("ws", i + 1) == quote[1]) & (F.get("ws", i + 2) == quote[2]))) == 1
     plain = F.position(F.array_join(quote, " "), F.array_join("ws", " ")) == F.length(F.array_join(F.slice("ws", 1, first - 1), " ")) + 2
