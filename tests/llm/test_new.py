@@ -244,6 +244,26 @@ def test_toxicity_edges(spark):
     assert toxicity.fit(df, labels, lang_col=None).langs == []
 
 
+def test_toxicity_learns_from_every_label(spark):
+    """A word that tells and stands only in documents beyond the first 20,000 by the hash of their id."""
+    docs = spark.range(21_000).selectExpr("id as doc_id", "row_number() over (order by xxhash64(id), id) > 20000 as late")
+    docs = docs.selectExpr("doc_id", "concat('the of and n', doc_id, if(late, ' vile', ' mild')) as text", "'en' as lang", "cast(late as int) as toxic").localCheckpoint()
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    out = toxicity.score_documents(spark.createDataFrame([(1, "of the vile"), (2, "of the mild")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.predicted for r in out.collect()} == {1: 1, 2: 0}
+
+
+def test_toxicity_by_many_shards(spark, monkeypatch):
+    """Many shards, some words in one of them only: the model depends on the rows alone and still tells."""
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 400)
+    rows = [(k, " ".join(R.choice("the of and to in is was that it for".split()) for _ in range(9)) + (" vile" if k % 3 == 0 else ""), "en") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = df.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    model, again = toxicity.fit(df.repartition(3), labels), toxicity.fit(df.repartition(7), labels)
+    assert all(np.array_equal(getattr(model, c), getattr(again, c)) for c in ("known", "embedding", "filters", "bias", "out", "thresholds"))
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in toxicity.score_documents(df, model).collect()) >= 590
+
+
 def test_quality_held_out(spark):
     """Ratings that aren't learned from: how often the higher grade has the higher expected grade, and poor and toxic
     texts that are kept."""
