@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,45 @@ def test_pivots_lose_nothing():
     assert due >= 15
 
 
+def test_decontamination_checks_only_what_can_pass(monkeypatch):
+    """The search finds what a check of every window finds, but checks few: neither common words without an item's rare
+    ones nor a rare word alone costs a check."""
+    rng = np.random.default_rng(11)
+    v = 80
+    weight = np.where(np.arange(v) < 60, 0.3, 6.0)  # words from 60 are rare
+    items = [[*rng.integers(0, 60, 6 * n), *range(60 + 4 * i, 64 + 4 * i), *rng.integers(0, 60, 2)] for i, n in enumerate((2, 3, 6, 9, 30))]
+    items = [[int(w) for w in x] for x in items]
+    docs_ = []
+    for k in range(60):
+        x = items[k % 5]
+        part = x if k < 10 else [w for w in x if w < 60] * 3 if k < 40 else [-1] * 200 + [w for w in x if w >= 60][:1]
+        docs_.append(np.concatenate([rng.integers(-40, 60, 40).clip(-1), part, rng.integers(-40, 60, 40).clip(-1), np.full(200, -1)]).astype(np.int16))
+    vectors = np.abs(rng.standard_normal((v, 8))) + 0.5  # every window is a candidate by its cosine
+    shared = type("Shared", (), {"value": (np.append(np.arange(v), -1), weight, np.ones(v, bool), vectors, items, list(range(5)))})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array([d.tobytes() for d in docs_], pa.binary())], names=["doc_id", "text_key", "ids"])
+    real, calls = decontaminate._verified, []
+    monkeypatch.setattr(decontaminate, "_verified", lambda *a: calls.append(1) or real(*a))
+    due = [[i for i, x in enumerate(items) if any(real(x, weight, d[s : s + decontaminate.span(len(x))]) for s in range(len(d)))] for d in docs_]
+    assert due[:10] == [[k % 5] for k in range(10)] and not any(due[10:])
+    for exact in (False, True):
+        calls.clear()
+        (out,) = decontaminate._searched(np.int16, shared, exact)([batch])
+        assert out.column(2).to_pylist() == due and len(calls) < 200
+
+
+def test_run_sums():
+    rng = np.random.default_rng(12)
+    table = rng.integers(-9, 9, (30, 5)).astype(np.float32)
+    of, x = rng.integers(0, 30, 500), rng.integers(1, 4, 500).astype(np.float32)
+    for n in (0, 3, 9, 200):
+        starts = rng.integers(0, 200, n)
+        sizes = np.where(np.arange(n) % 50 == 7, 300, rng.integers(0, 40, n))
+        for own in (None, x):
+            rows = table[of] if own is None else table[of] * x[:, None]
+            want = np.array([rows[s : s + k].sum(axis=0) for s, k in zip(starts, sizes, strict=True)]).reshape(n, 5)
+            assert (decontaminate._run_sums(table, of, starts, sizes, own) == want).all()
+
+
 def test_common_subsequence():
     def slow(a, b):
         row = [0] * (len(b) + 1)

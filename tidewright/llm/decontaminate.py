@@ -5,9 +5,10 @@
 3. For each block of items one distributed pass sketches A'A of the TF-IDF passage matrix A with a random test matrix; the Nystrom form of the
    randomised SVD gives the leading right singular vectors.
 4. Windows of every document and the items are compared by cosine in that space; candidates are verified word by word.
-5. What the cosine loses is found exactly: an item's rarest words that together weigh more than may be missing are its
-   pivots; a stretch that passes the checks holds one of them, so the surroundings of every pivot are checked too for the
-   items that no candidate of the document holds whole. Without this step (exact=False) the search is measured alone.
+   An item's rarest words that together weigh more than may be missing are its pivots; a stretch that passes the checks
+   holds one of them, so windows whose stretch holds no pivot of any item of their length are not compared.
+5. What the cosine loses is found exactly: the surroundings of every pivot are checked too for the items that no
+   candidate of the document holds whole. Without this step (exact=False) the search is measured alone.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SCALES = ((24, 24, 10), (56, 56, 20), (240, 112, 40), (1 << 30, 240, 80))
 SPANS, LONGER = ((24, 24), (56, 56)), 112
 #: Words, a multiple of PASSAGE, windows and pairs of a place and an item that are handled at once: they bound a task's memory, not what it handles.
 PIECE, WINDOWS, PAIRS = 1 << 15, 1024, 1 << 20
+#: Runs of rows that are left to be added up one by one.
+FEW = 8
 #: Singular values below this share of the largest belong to the sketch's own noise.
 NOISE = 0.02
 #: Cosine of a candidate; share of the item's words in a common subsequence; share of its IDF weight and of its answer
@@ -107,6 +110,28 @@ def _frequencies(kind, v: int):
     return run
 
 
+def _run_sums(table: np.ndarray, of: np.ndarray, starts: np.ndarray, sizes: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows table[of] (times x) over runs of `of`, which may overlap: a step adds the k-th row of every run that
+    has one, until FEW runs are left, which are added up one by one."""
+
+    def rows(at):
+        own = table.take(of[at], axis=0)
+        return own if x is None else own * x[at, None]
+
+    order = np.argsort(-sizes, kind="stable")
+    sums = np.zeros((len(sizes), table.shape[1]), table.dtype)
+    begin, size = starts[order], sizes[order]
+    down, steps = -size, int(size[FEW]) if len(size) > FEW else 0
+    for k in range(steps):
+        n = np.searchsorted(down, -k)
+        sums[:n] += rows(begin[:n] + k)
+    for i in range(min(FEW, len(size))):
+        sums[i] += rows(np.arange(begin[i] + steps, begin[i] + size[i])).sum(axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def _sketched(kind, shared):
     """Each task's share of A' (A Omega), rows of A being unit TF-IDF vectors of passages."""
 
@@ -126,12 +151,12 @@ def _sketched(kind, shared):
                 norm = np.sqrt(np.add.reduceat(x * x, heads))
                 sizes = np.diff(np.append(heads, len(x)))
                 x /= np.repeat(np.maximum(norm, 1e-9), sizes)
-                y = np.add.reduceat(omega[word] * x[:, None], heads, axis=0)
+                y = _run_sums(omega, word, heads, sizes, x)
                 order = np.argsort(word, kind="stable")
                 w = word[order]
                 at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
                 row = np.repeat(np.arange(len(heads)), sizes)[order]
-                total[w[at]] += np.add.reduceat(y[row] * x[order][:, None], at, axis=0)
+                total[w[at]] += _run_sums(y, row, at, np.diff(np.append(at, len(w))), x[order])
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["z"])
         words.release()
 
@@ -211,12 +236,14 @@ def _pivots_verified(ids, lengths, pivots, items, weight, hits) -> None:
         for i, d, own in zip(item[heads].tolist(), doc[heads].tolist(), np.split(place, heads[1:]), strict=True) if len(place) else ():
             x = items[i]
             reach, step, need = span(len(x)), max(1, len(x) // 16), int(np.ceil(_least(x) * len(x) - 1e-9))
+            due = WEIGHT * weight[list(set(x))].sum() - 1e-9
             mask[x] = True
-            for run in np.split(own, np.flatnonzero(np.diff(own) > 2 * reach) + 1):
+            for run in np.split(own, np.flatnonzero(np.diff(own) > 2 * reach) + 1) if len(own) > 1 else (own,):
                 lo, hi = max(ends[d] - lengths[d], run[0] - reach + 1), min(ends[d], run[-1] + reach)
-                q = lo + np.flatnonzero(mask[ids[lo:hi]])
-                if len(q) < need:
+                q = lo + np.flatnonzero(mask[ids[lo : min(ends[d], hi + reach + step)]])
+                if len(q) < need or weight[list(set(ids[q].tolist()))].sum() < due:  # what all stretches lack together, each lacks
                     continue
+                q = q[: np.searchsorted(q, hi)]
                 done = lo
                 for s in q[np.searchsorted(q, q + reach) - np.arange(len(q)) >= need].tolist():
                     if s >= done and hits[d].get(i, 0) < 1:
@@ -257,8 +284,9 @@ def _searched(kind, shared, exact: bool):
             own = [i for i in long if least < len(items[i]) <= most]
             if own:
                 q = np.array([vectors[items[i]].sum(axis=0) for i in own])
-                groups.append((min(window, max(len(items[i]) for i in own) * 2), stride, own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)))
-        used = np.append(used, False)  # -1 is the last
+                rare = np.append(np.diff(_pivots(items, weight, own)[0]) > 0, False)  # -1 is the last
+                groups.append((min(window, max(len(items[i]) for i in own) * 2), stride, own, rare, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)))
+        used, vectors = np.append(used, False), vectors.astype(np.float32)
         for batch in batches:
             for part in words.by_size(batch, 2, 1 << 20):
                 data = part.column(2).to_pylist()
@@ -275,30 +303,39 @@ def _searched(kind, shared, exact: bool):
     return run
 
 
+def _beside(length: int) -> int:
+    """Words on either side of a window in which an item of `length` words is looked for, too."""
+    return length // 2 + 4
+
+
 def _candidates_verified(ids, lengths, used, vectors, groups, items, weight) -> list[dict[int, float]]:
     """For each of some documents, whose words follow one another in `ids`, the items found with their shares."""
     hits: list[dict[int, float]] = [{} for _ in lengths]
     ends = np.cumsum(lengths)
-    at = np.flatnonzero(used[ids])  # places of words that carry features; windows are sums between two of them
+    at = np.flatnonzero(used[ids])  # places of words that carry features
     if not len(at):
         return hits
-    for window, stride, own, q in groups:
+    features, before = ids[at], np.concatenate(([0], np.cumsum(used[ids])))
+    for window, stride, own, rare, q in groups:
+        pivots = np.concatenate(([0], np.cumsum(rare[ids])))
+        if not pivots[-1]:
+            continue
         n = np.maximum(1, -(-(lengths - window) // stride) + 1)
         doc = np.repeat(np.arange(len(lengths)), n)
         first = (ends - lengths)[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * stride
         last = np.minimum(first + window, ends[doc])
-        lo, hi = np.searchsorted(at, first), np.searchsorted(at, last)
-        some = hi - lo >= 2
-        doc, first, last, lo, hi = doc[some], first[some], last[some], lo[some], hi[some]
+        most = _beside(max(len(items[i]) for i in own))
+        some = pivots[np.minimum(last + most, ends[doc])] > pivots[np.maximum(first - most, (ends - lengths)[doc])]
+        some &= before[last] - before[first] >= 2
+        doc, first, last = doc[some], first[some], last[some]
+        lo, hi = before[first], before[last]
         for k in range(0, len(doc), WINDOWS):
-            begin, end = lo[k], hi[k : k + WINDOWS].max()  # windows are in order of their places
-            sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[ids[at[begin:end]]], axis=0)])
-            x = (sums[hi[k : k + WINDOWS] - begin] - sums[lo[k : k + WINDOWS] - begin]).astype(np.float32)
+            x = _run_sums(vectors, features, lo[k : k + WINDOWS], (hi - lo)[k : k + WINDOWS])
             cosine = (x @ q) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
             for r, c in zip(*(y.tolist() for y in np.nonzero(cosine >= COSINE)), strict=True):
                 i, d = own[c], doc[k + r]
                 if hits[d].get(i, 0) < 1:
-                    reach = len(items[i]) // 2 + 4
+                    reach = _beside(len(items[i]))
                     share = _verified(items[i], weight, ids[max(ends[d] - lengths[d], first[k + r] - reach) : min(ends[d], last[k + r] + reach)])
                     if share:
                         hits[d][i] = max(hits[d].get(i, 0), share)
