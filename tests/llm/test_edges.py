@@ -5,13 +5,14 @@ import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import bpe, decontaminate, exact_dedup, html_text, jaccard_join, language_id, license_scan, line_dedup, pii, quality, queries, words
+from tidewright.llm import bpe, common, decontaminate, exact_dedup, html_text, jaccard_join, language_id, license_scan, line_dedup, pii, quality, queries, words
 
 R = random.Random(11)
 LETTERS, DIGITS, PHRASE = "a" * 1_000_000, "1" * 1_000_000, "cc by " * 170_000
@@ -371,3 +372,22 @@ def test_jaccard_across_components(spark):
 
 def test_common_words_need_no_space():
     assert words.common_subsequence([1, 2, 3], [3, 1, 9, 2]) == 2 and words.common_subsequence([], [1]) == 0
+
+
+def _on_disk(spark) -> set[str]:
+    """Shuffle blocks on this machine's disk."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n")
+    return {b for b in blocks.split("\n") if b.startswith("shuffle_")}
+
+
+def test_shuffles_and_wide_scratch_tables_go_at_once(spark):
+    """A saved table leaves no shuffle file behind, and a join of texts leaves no table of prefixes or pairs."""
+    before = _on_disk(spark)
+    common.save(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "probe")
+    assert _on_disk(spark) <= before
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    known = set(folder.iterdir())
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3 * 50 + k) % 400}" for k in range(30 + i % 3))) for i in range(60)], "doc_id long, text string")
+    assert jaccard_join.jaccard_classes(docs).select("component_id").distinct().count() <= 20
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - known}
+    assert not left & {"prefixes", "entries", "shared", "mixed", "star-pairs", "cross-pairs"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -259,16 +260,21 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = save(reps.join(groups, ["n", "prefix_key"]).select("doc_id", "n", "group_id", "content"), "members")
     heads = members.where("doc_id = group_id").select("doc_id", "content")
     entries = full.join(small(heads, heads.count()), ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("group_id"), "n", "prefix")
-    entries = save(entries, "entries").mapInArrow(_unfold, "token long, pos int, n int, group_id long")
+    packed = save(entries, "entries")
+    # the wide table goes before prefixes are unfolded: from here on sets are needed without their prefixes only
+    narrow = save(sets.select("doc_id", "n", "content"), "sets")
+    drop(sets)
+    entries = packed.mapInArrow(_unfold, "token long, pos int, n int, group_id long")
     # counts are added up before they are shuffled; the join may split a shingle that very many groups share
     tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     shared = save(entries.join(tokens, "token", "left_semi"), "shared")
+    drop(packed)
 
     # one hub per shingle and size class, and per group
     size_class = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
     seen = members.where("doc_id <> group_id").select(F.col("group_id").alias("a"), F.col("doc_id").alias("b"))
     component = members.select("doc_id", F.col("doc_id").alias("component_id"))
-    links = None
+    found: list[DataFrame] = []
     for k in range(star_rounds):
         own = shared.join(component.withColumnRenamed("doc_id", "group_id"), "group_id") if k else shared.withColumn("component_id", F.col("group_id"))
         own = own.withColumn("size_class", size_class).withColumn("side", F.lit(k % 2))
@@ -278,30 +284,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = one.join(hub, ["token", "size_class"]).where("x.group_id <> h.group_id").where(f"{DEN} * least(x.n, h.n) >= {NUM} * greatest(x.n, h.n)").select(F.col("h.group_id").alias("a"), F.col("x.group_id").alias("b"))
         pairs = (pairs.unionByName(seen) if k == 0 else pairs).distinct()
         pairs = save(pairs, "star-pairs")
-        found = _linked(pairs, texts, "star-links")
-        links = found if links is None else links.unionByName(found)
+        found.append(_linked(pairs, texts, "star-links"))
         drop(pairs)
-        component = _components_of(members, links)
+        component = _components_of(members, reduce(DataFrame.unionByName, found))
     # what is left: all pairs of documents in different components that share a prefix shingle or a group
     rest = shared.join(members.select("group_id", "doc_id"), "group_id").join(component, "doc_id").select(F.struct("token").alias("key"), "pos", "n", "doc_id", "component_id")
     inside = members.join(component, "doc_id").select(F.struct("group_id").alias("key"), F.lit(0).alias("pos"), "n", "doc_id", "component_id")
-    pairs = save(_across(rest).unionByName(_across(inside)).distinct(), "cross-pairs")
-    links = links.unionByName(_linked(pairs, texts, "cross-links"))
-    component = _components_of(members, links)
-    drop(pairs, shared)
+    mixed = [_mixed(rest), _mixed(inside)]
+    pairs = save(_across(mixed[0]).unionByName(_across(mixed[1])).distinct(), "cross-pairs")
+    drop(shared, *mixed)
+    found.append(_linked(pairs, texts, "cross-links"))
+    component = _components_of(members, reduce(DataFrame.unionByName, found))
+    drop(pairs)
 
     # back to all documents: through its set's representative; the smallest document of a component is one
     of_set = same.join(component, same["rep"] == component["doc_id"]).select("content", "component_id")
-    labelled = full.select("doc_id", "n", "content").join(of_set, "content").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = nameless.mapInArrow(_prefixes(common, bits), _PREFIX).unionByName(sets.where("n = 0"))
+    labelled = narrow.where("n > 0").join(of_set, "content").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    alone = nameless.mapInArrow(_prefixes(common, bits), _PREFIX).select("doc_id", "n").unionByName(narrow.where("n = 0").select("doc_id", "n"))
     return labelled.unionByName(alone.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of keys that more than one component holds; the others pair nothing."""
+    mixed = rows.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("key")
+    return save(rows.join(mixed, "key", "left_semi"), "mixed")
+
+
 def _across(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents of different components that share a key, where sizes and the places of what they share
-    allow the similarity. Keys that one component holds alone pair nothing; all conditions stand in the join itself."""
-    mixed = rows.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("key")
-    rows = save(rows.join(mixed, "key", "left_semi"), "mixed")
+    allow the similarity. All conditions stand in the join itself."""
     side = lambda s: rows.select("key", *(F.col(c).alias(c + s) for c in rows.columns if c != "key"))
     may = f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b) and {NUM + DEN} * least(n_a - pos_a, n_b - pos_b) >= {NUM} * (n_a + n_b)"
     pairs = side("_a").join(side("_b"), "key").where("component_id_a < component_id_b")
