@@ -1,15 +1,17 @@
 """Timelines, extraction and consistency on small cases worked out by hand."""
 
 import datetime as dt
+import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright.functions import extract, text
 from tidewright.functions.extract import _dates, _segments
-from tidewright.operators import consistency, matching, relational, timeline
+from tidewright.operators import consistency, matching, pairs, relational, timeline
 from tidewright.plans import records
 
 D0 = dt.date(2024, 1, 1)
@@ -161,3 +163,41 @@ def test_hot_names_are_cut_not_skipped(spark):
     assert {(r.key, r.n) for r in matching.oversized_keys(matching.prepared(df), "id", F.col("blocks")).collect()} == {("ravi", 209), ("kumar", 209)}
     ages = spark.createDataFrame([(a,) for a in [None, -3, *range(0, 240, 3)]], "age int").withColumn("b", matching.bands(F.col("age"))).collect()
     assert all(set(x.b) & set(y.b) for x in ages for y in ages if x.age is None or y.age is None or abs(x.age - y.age) < 10)
+
+
+def test_texts_as_bits_equal_the_plain_functions():
+    rng = random.Random(5)
+    values = ["", "a", "é b", "x" * 70, "ab " * 30, *("".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 24))) for _ in range(60))]
+    t = pairs._Texts(values)
+    a, b = (np.array(x) for x in zip(*((i, j) for i in range(len(values)) for j in range(len(values))), strict=True))
+    x, y = t.code[a], t.code[b]
+    for exact, most, plain in ((t.jaro_winkler, t.jaro_winkler_at_most, text._jaro_winkler), (t.indel, t.indel_at_most, text._indel_ratio)):
+        want = np.array([plain(values[i], values[j]) for i, j in zip(a, b, strict=True)])
+        assert (exact(x, y) == want).all() and (most(x, y) >= want - 1e-12).all()
+
+
+def test_blocks_in_parts_give_each_pair_once_and_clusters_need_links_alone(spark, monkeypatch):
+    """Large keys are cut into parts that meet as arrays; a score to reach loses none of the pairs that have it; clusters from
+    links that ask for other pairs equal those from all pairs."""
+    people = records._people(spark, "/root/testdata/sf0.001")
+    whole = {(r.a, r.b): r for r in matching.resolve(people)[1].collect()}
+    ready = matching.prepared(people)
+    plain = matching.scored_pairs(matching.pair_features(matching.blocked_pairs(ready, "id", F.col("blocks"), matching.bands(F.col("age"))), ready))
+    assert {(r.a, r.b): r for r in plain.collect()} == whole
+    monkeypatch.setattr(matching, "PART", 8)
+    monkeypatch.setattr(pairs, "HELD_ROWS", 50)
+    monkeypatch.setattr(pairs, "AT_ONCE", 64)
+    under = matching.blocked(people, most=10)
+    every = under.pairs().collect()
+    cut = matching.blocked_pairs(ready, "id", F.col("blocks"), matching.bands(F.col("age")), 10).collect()
+    assert len(every) == len(cut) and {(r.a, r.b): r for r in every} == {k: whole[k] for k in {(r.a, r.b) for r in cut}}
+    for least in (0.45, 0.6, 0.92):
+        assert sorted((r.a, r.b, r.p, r.vetoes, r.decision) for r in under.pairs(least).collect() if r.p >= least) == sorted((r.a, r.b, r.p, r.vetoes, r.decision) for r in every if r.p >= least)
+    monkeypatch.setattr(pairs, "FEWEST_LINKS", 3)
+    scored, thresholds = spark.createDataFrame(every, under.pairs().schema), [0.3, 0.6, 0.92]
+    for ahead in (0, 8):
+        monkeypatch.setattr(pairs, "AHEAD", ahead)
+        got = under.clusters(scored.where("p >= 0.3"), ages=False, sweep=thresholds)
+        assert set(got.collect()) == set(matching.vetoed_clusters(scored, sweep=thresholds).collect())
+        got = under.clusters(scored.where("decision = 'link'"), ages=True)
+        assert set(got.collect()) == set(matching.vetoed_clusters(scored, people.select("id", "age")).collect())
